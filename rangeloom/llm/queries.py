@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from .exact import OP3_SQL, op3_exact_dedup
+from .langid import op6_language
 from .mixing import OP10_SQL, op10_mixing
+from .quality import op5_quality
 from .simhash import op1_simhash
+from .toxicity import op7_toxicity
 
 
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
         "op3_exact_dedup": op3_exact_dedup,
+        "op5_quality": op5_quality,
+        "op6_language": op6_language,
+        "op7_toxicity": op7_toxicity,
         "op10_mixing": op10_mixing,
     }
 

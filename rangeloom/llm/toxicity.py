@@ -1,0 +1,213 @@
+"""Toxicity: a linear classifier over words and their beginnings, regularised by counterfactual swaps.
+
+Features of a document are its distinct words (lower case, outer punctuation off) and the words'
+beginnings of 3 to 8 letters, each with how often it occurs. For labelled sentences that name a group,
+the identity term is swapped for others of its kind; the loss adds ``swap_penalty`` times the square of the
+change in score, so the weight of a group's name goes to where other names have it and neutral
+mentions of a group aren't marked.
+"""
+
+from __future__ import annotations
+
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import fold, materialize, table
+
+#: Identity terms by kind; a swap stays inside a kind.
+IDENTITY_TERMS = (
+    ("women", "men", "girls", "boys", "nonbinary"),
+    ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"),
+    ("black", "white", "asian", "latino", "arab", "african", "european"),
+    ("gay", "lesbian", "straight", "bisexual", "transgender"),
+    ("immigrants", "refugees", "foreigners", "natives"),
+    ("disabled", "blind", "deaf", "elderly", "young"),
+)
+_KIND = {w: k for k in IDENTITY_TERMS for w in k}
+_OUTER = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—¡¿"
+
+
+def words(text: str | None) -> Counter:
+    """Distinct white-space words of the whole text, lower case, with counts."""
+    return Counter((text or "").lower().split())
+
+
+def grams(word: str) -> list[str]:
+    w = word.strip(_OUTER)
+    return [f"={w}", *(w[:n] for n in range(3, min(8, len(w)) + 1))] if w else []
+
+
+def _shape(counts: Counter) -> tuple[float, float]:
+    n = sum(counts.values())
+    return n, np.log1p(n)
+
+
+def _vector(counts: Counter, index: dict[str, int] | None = None) -> dict:
+    out: dict = {}
+    for w, n in counts.items():
+        for g in grams(w):
+            if index is None or g in index:
+                k = g if index is None else index[g]
+                out[k] = out.get(k, 0) + min(n, 3)
+    return out
+
+
+class Model:
+    """Weights by feature and the calibration of a document's sums. Plain data, so it travels to the executors."""
+
+    def __init__(self, weights: dict[str, float], bias: float, top: np.ndarray):
+        self.weights, self.bias, self.top = weights, bias, top
+        self._cache: dict[str, float] = {}
+
+    def word(self, w: str) -> float:
+        s = self._cache.get(w)
+        if s is None:
+            if len(self._cache) > 300_000:  # bounded; texts repeat their frequent words
+                self._cache.clear()
+            get = self.weights.get
+            s = self._cache[w] = sum(get(g, 0.0) for g in grams(w))
+        return s
+
+    def evidence(self, counts: Counter) -> np.ndarray:
+        word = self.word
+        s = [(word(w), n) for w, n in counts.items()]
+        total = sum(n for _, n in s)
+        high = sorted((x for x, _ in s if x > 0), reverse=True)
+        up = sum(x * min(n, 3) for x, n in s if x > 0)
+        mean = sum(x * n for x, n in s) / max(total, 1)
+        return np.array([1.0, high[0] if high else 0.0, sum(high[:3]) / 3, up / np.sqrt(total + 20.0), up / (total + 20.0) * 10, mean, np.log1p(total) / 5])
+
+    def score(self, text: str | None) -> float:
+        z = float(self.evidence(words(text)) @ self.top)
+        return 1 / (1 + np.exp(-min(max(z, -30), 30)))
+
+
+def swaps(counts: Counter) -> list[Counter]:
+    """The sentence with each identity term replaced by the next of its kind, all round the kind."""
+    out = []
+    for w in [w for w in counts if w.strip(_OUTER) in _KIND]:
+        kind = _KIND[w.strip(_OUTER)]
+        for other in kind:
+            if other != w.strip(_OUTER):
+                c = Counter(counts)
+                c[other] += c.pop(w)
+                out.append(c)
+    return out
+
+
+def train(texts: list[str | None], labels: list[int], swap_penalty: float = 1.0, epochs: int = 12, min_docs: int = 4, decay: float = 3e-4, max_features: int = 60_000, seed: int = 0) -> Model:
+    """Fit by mini-batch Adam. Features in fewer than ``min_docs`` documents of the sample are left out."""
+    bags = [words(t) for t in texts]
+    df: Counter = Counter()
+    for b in bags:
+        df.update({g for w in b for g in grams(w)})
+    terms = {g for k in IDENTITY_TERMS for w in k for g in grams(w)}
+    keep = [g for g, n in df.most_common(max_features) if n >= min_docs or g in terms]
+    index = {g: i for i, g in enumerate(dict.fromkeys([*keep, *sorted(terms)]))}
+    y = np.array(labels, np.float64)
+
+    def rows(bag):
+        v = _vector(bag, index)
+        k, x = np.fromiter(v.keys(), np.int64, len(v)), np.log1p(np.fromiter(v.values(), np.float64, len(v)))
+        return k, x / np.sqrt(20.0 + sum(bag.values())) * 5
+
+    data = [rows(b) for b in bags]
+    pairs: list[list] = [[] for _ in bags]
+    for i, b in enumerate(bags):
+        for c in swaps(b)[:12]:
+            v, u = dict(zip(*map(np.ndarray.tolist, data[i]), strict=True)), dict(zip(*map(np.ndarray.tolist, rows(c)), strict=True))
+            delta = {k: v.get(k, 0) - u.get(k, 0) for k in v.keys() | u.keys()}
+            delta = {k: d for k, d in delta.items() if d}
+            pairs[i].append((np.fromiter(delta.keys(), np.int64, len(delta)), np.fromiter(delta.values(), np.float64, len(delta))))
+    rng, n = np.random.default_rng(seed), len(index)
+    w, b, m, v, t = np.zeros(n), 0.0, np.zeros(n), np.zeros(n), 0
+    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3)) if len(y) else y
+    held = np.arange(len(y)) % 4 == 3 if len(y) >= 200 else np.zeros(len(y), bool)  # the words' weights never see it; it calibrates their sums
+    for _ in range(epochs if len(y) else 0):
+        order = rng.permutation(np.nonzero(~held)[0])
+        for at in range(0, len(order), 64):
+            g, gb, part = np.zeros(n), 0.0, order[at : at + 64]
+            for i in part:
+                k, x = data[i]
+                err = (1 / (1 + np.exp(-np.clip(w[k] @ x + b, -30, 30))) - y[i]) * weight[i]
+                g[k] += err * x
+                gb += err
+                for pk, d in pairs[i]:
+                    g[pk] += swap_penalty * 2 * (w[pk] @ d) * d / len(pairs[i])
+            g, gb, t = g / len(part) + decay * w, gb / len(part), t + 1
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+            b -= 0.05 * gb
+    names = list(index)
+    model = Model({names[i]: float(w[i]) for i in np.nonzero(np.abs(w) > 0.02)[0]}, b, np.zeros(7))
+    if len(y):
+        e = np.stack([model.evidence(c) for c in bags])[held] if held.any() else np.stack([model.evidence(c) for c in bags])
+        y = y[held] if held.any() else y
+        model.top = _logistic(e, y, np.ones(len(y)), ridge=0.3)
+    model._cache.clear()
+    return model
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:
+    """Ridge logistic regression by Newton steps."""
+    a = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ a, -30, 30)))
+        h = (x * (weight * (p * (1 - p) + 1e-6))[:, None]).T @ x + ridge * np.eye(len(a))
+        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - ridge * a)
+        a += step * min(1.0, 5 / max(np.abs(step).max(), 1e-9))
+    return a
+
+
+def sample_labelled(docs: DataFrame, labels: DataFrame, target: str, folds: int = 5, held_out: int = 0, sample: int = 4000) -> list[tuple]:
+    """``(text, label)`` of at most ``sample`` labelled documents outside the held-out fold, first by hash of the id.
+
+    The bound is for fitting only; ids come first, so that only the sample's texts reach the driver.
+    Texts over 100,000 characters are skipped here (never when scoring).
+    """
+    ids = labels.where(F.col(target).isNotNull() & (fold(F.col("doc_id"), folds) != held_out)).groupBy("doc_id").agg(F.min(target).alias("y"))
+    picked = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = docs.select("doc_id", "text").join(F.broadcast(materialize(picked, "labelled")), "doc_id")
+    rows = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= 100_000).select("doc_id", "text", "y").collect()
+    return [(r.text, int(r.y)) for r in sorted(rows, key=lambda r: (r.doc_id, r.text or ""))]
+
+
+def toxicity_scores(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``doc_id, score`` of every row's whole text; null counts as empty and gets the score of no evidence."""
+    box = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b in batches:
+            s = [box.value.score(t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64())], ["doc_id", "score"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double")
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, swap_penalty: float = 1.0) -> Model:
+    """Classifier from at most ``sample`` labelled documents; with no labels every score is 0.5."""
+    rows = sample_labelled(docs, labels, "toxic", sample=sample)
+    return train([t for t, _ in rows], [y for _, y in rows], swap_penalty)
+
+
+def op7_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scores = toxicity_scores(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return scores.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: documents that the classifier rejects go; the columns stay."""
+    model = spark.sparkContext.broadcast(fit(docs, table(spark, sf_dir, "labels")))
+    names = docs.columns
+
+    def run(batches):
+        for b in batches:
+            ok = [model.value.score(t) < 0.5 for t in b.column(names.index("text")).to_pylist()]
+            yield b.filter(pa.array(ok, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
