@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontam import op4_decontamination
 from .exact import OP3_SQL, op3_exact_dedup
 from .html import op2_html_text
 from .langid import op6_language
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op1_simhash": op1_simhash,
         "op2_html_text": op2_html_text,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_decontamination": op4_decontamination,
         "op5_quality": op5_quality,
         "op6_language": op6_language,
         "op7_toxicity": op7_toxicity,
