@@ -46,9 +46,9 @@ def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", ca
     2. The directory doubles until no bucket holds over ``capacity`` entries. It has 2^``max_depth``
        ranges at most, whatever the data: that bounds what the driver sees and what is broadcast.
     3. Owner tasks write each bucket's key range, sorted, as its own file in the shared folder.
-    4. Hashes with several rows are chains: their texts' bytes are compared by grouping on
-       ``(hash, text)``, copies merged before the shuffle. A chain with more than one text is a
-       collision and is grouped by its bytes; all others by their hash, now proven enough.
+    4. Rows of a hash form a chain. Texts are compared by their bytes, by grouping on ``(hash, text)``,
+       copies merged before the shuffle. A chain with more than one text is a collision and its
+       rows are grouped by their bytes; all others by their hash, now proven enough.
 
     Null text counts as empty. A null id sorts last. Rows that repeat an id and a text count one by
     one and exactly one is kept. An empty table gives no rows; other columns are ignored.
@@ -67,10 +67,9 @@ def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", ca
     index = entries.join(F.broadcast(where), "cell").select("bucket", "h", "n", "first")
     index = materialize(index.repartition("bucket").sortWithinPartitions("bucket", "h"), "exact-index")
 
-    chains = index.where("n > 1").select("h")
-    texts = rows.join(chains, "h", "left_semi").groupBy("h", "norm").agg(F.count("*").alias("n"), F.min(_first()).alias("first"))
-    texts = materialize(texts.select("h", F.unhex(F.sha2("norm", 256)).alias("sha"), "n", "first"), "exact-chains")
-    collided = materialize(texts.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").select("h"), "exact-collided")
+    # Every text is compared by its bytes; copies merge before the shuffle. A hash with two texts is a collision.
+    texts = rows.groupBy("h", "norm").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("texts"))
+    collided = materialize(texts.where("texts > 1").select("h"), "exact-collided")
 
     cols = ["doc_id", F.col("first.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("first.uid") == F.col("uid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "bucket"]
     if collided.isEmpty():
