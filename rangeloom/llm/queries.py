@@ -9,6 +9,7 @@ from .langid import op6_language
 from .mixing import OP10_SQL, op10_mixing
 from .quality import op5_quality
 from .simhash import op1_simhash
+from .suffix import op9_suffix_dedup
 from .toxicity import op7_toxicity
 from .warc import OP8_SQL, op8_warc_fixity
 
@@ -23,6 +24,7 @@ def queries() -> dict:
         "op6_language": op6_language,
         "op7_toxicity": op7_toxicity,
         "op8_warc_fixity": op8_warc_fixity,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_mixing": op10_mixing,
     }
 
