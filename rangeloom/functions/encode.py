@@ -71,7 +71,7 @@ def encode_i128(c: pa.Array) -> pa.Array:
 
 
 def _checked(c: Column, size: int) -> Column:
-    return F.when(F.octet_length(c) == size, c).otherwise(F.raise_error(F.concat(F.lit(f"expected {size} bytes, got "), F.octet_length(c).cast("string"))).cast("binary"))
+    return F.when(c.isNull() | (F.octet_length(c) == size), c).otherwise(F.raise_error(F.concat(F.lit(f"expected {size} bytes, got "), F.octet_length(c).cast("string"))).cast("binary"))
 
 
 def decode_i32(c: Column) -> Column:

@@ -55,7 +55,9 @@ class GenSortReader(DataSourceReader):
         n, k = self.records, min(self.parts, self.records)
         return [Range(self.path, n * i // k, n * (i + 1) // k) for i in range(k)]
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # no record, so no partition
+            return
         path, at, end = part.value
         where, p = _open(path)
         with where.open_input_file(p) as f:
@@ -120,7 +122,9 @@ class KvBinReader(DataSourceReader):
             out += [Range(f, a, b) for a, b in kvbin_ranges(list(struct.unpack(f"<{len(raw) // 8}Q", raw)), _size(f), max(1, self.parts // len(files)))]
         return out
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # no record, so no partition
+            return
         path, at, end = part.value
         where, p = _open(path)
         keys: list[bytes] = []

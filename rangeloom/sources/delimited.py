@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,8 +14,8 @@ from .schemas import LINEITEM, YELLOW_TAXI, YELLOW_TRIPS
 _WHOLE = r"^[+-]?[0-9]+$"
 _REAL = r"^[+-]?(?:[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))$"
 _DATE = r"^[0-9]{1,4}-[0-9]{1,2}-[0-9]{1,2}$"
-#: Never in a text file's field, so that an empty field stays empty and only a missing one is null.
-_NEVER = "\x01"
+#: Never in a text file.
+_NEVER, _QUOTE = "\x01", "\x02"
 
 
 def parsed(c: Column, kind: T.DataType) -> Column:
@@ -42,19 +44,33 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType, keys: l
         raise ValueError("key and value columns are needed")
     if bad := [k for k in (*keys, *values) if not 0 <= k < len(schema)]:
         raise ValueError(f"no columns {bad}")
-    width = max(*keys, *values) + 1
     fields = schema.fields
     for k in (*keys, *values):
         parsed(F.lit(""), fields[k].dataType)  # raises for a type that no field can have
-    text = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
-    rows = spark.read.schema(text).options(sep=delimiter, header=header, quote='"', escape='"', mode="PERMISSIVE", nullValue=_NEVER, emptyValue="", multiLine=False).csv(path)
-    picked = {k: parsed(F.col(f"_c{k}"), fields[k].dataType) for k in dict.fromkeys((*keys, *values))}
-    out = rows.select(*(c.alias(fields[k].name) for k, c in picked.items()))
+    # The reader only cuts lines, skips each file's header and blank lines: it can't tell an empty field from a missing one.
+    lines = spark.read.schema("line string").options(sep=_NEVER, header=header, quote="", escape=_NEVER, mode="PERMISSIVE", enforceSchema=True, multiLine=False).csv(path)
+    row = lines.select(tokens(F.col("line"), delimiter).alias("t"))
+    picked = {k: parsed(F.get("t", F.lit(k)), fields[k].dataType) for k in dict.fromkeys((*keys, *values))}
+    out = row.select(*(c.alias(fields[k].name) for k, c in picked.items()))
     for k in picked:
         out = out.where(F.col(fields[k].name).isNotNull())
     return out
 
 
+def tokens(line: Column, delimiter: str = ",") -> Column:
+    """Fields of a line. Quotes protect delimiters; two quotes inside quotes are one."""
+    plain = re.escape(delimiter)
+    line = F.regexp_replace(line, "\r$", "")
+    quoted = F.split(line, plain + '(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+
+    def unquote(f: Column) -> Column:
+        whole = f.rlike('^".*"$')
+        inner = F.when(whole, F.substr(f, F.lit(2), F.length(f) - 2)).otherwise(f)
+        return F.translate(F.replace(F.replace(inner, F.lit('""'), F.lit(_QUOTE)), F.lit('"'), F.lit("")), _QUOTE, '"')
+
+    return F.when(F.instr(line, '"') > 0, F.transform(quoted, unquote)).otherwise(F.split(line, plain, -1))
+
+
 def read_lineitem(spark: SparkSession, path: str, keys=(8, 9, 13, 14, 15), values=(0, 3), delimiter: str = ",", header: bool = True) -> DataFrame:
     return read_delimited(spark, path, LINEITEM, list(keys), list(values), delimiter, header)
 
