@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -56,7 +56,7 @@ class _Ids(dict):
         self.terms = terms
 
     def __missing__(self, w):
-        if len(self) > 400_000:
+        if len(self) > 60_000:
             self.clear()
         t = w.strip(_OUTER)
         k = self[w] = self.terms.get(t, -1) if t else -2
@@ -242,7 +242,7 @@ def indexes(benchmark: DataFrame, threshold: float = THRESHOLD, max_bytes: int =
     return out
 
 
-def _batches(batch, column, step=500):
+def _batches(batch, column, step=250):
     for at in range(0, batch.num_rows, step):
         part = batch.slice(at, step)
         yield part, part.column(column).to_pylist()
@@ -254,6 +254,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_c
     Null or empty texts and items without a word match nothing. Repeated documents and items
     each have their rows. Documents aren't shuffled; the index is broadcast, in slices of bounded size.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = None
     for index in indexes(benchmark, threshold):
@@ -278,6 +279,7 @@ def op4_decontamination(spark, sf_dir):
 
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that contain a test item go; the columns stay."""
+    small_batches(spark)
     names, schema = docs.columns, docs.schema
     for index in indexes(table(spark, sf_dir, "benchmark")):
         box = spark.sparkContext.broadcast(index)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fold, materialize, table
+from .common import fold, materialize, small_batches, table
 
 SEGMENT = 1024
 LANES = 1 << 15
@@ -167,6 +167,7 @@ def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, docs_per_lang: int =
 
 def language_of(docs: DataFrame, model: dict[str, str], text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc_id, lang_pred, score`` of every row's whole text; ``und`` and 0 if it is null or has no letter."""
+    small_batches(docs.sparkSession)
     box = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

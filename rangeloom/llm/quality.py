@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import fold, small_batches, table
 from .toxicity import _logistic, sample_labelled
 
 WIDTH = 4
@@ -163,6 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Network:
 
 def quality_scores(docs: DataFrame, net: Network, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc_id, score`` of every row's whole text; null counts as empty, and an empty text has a score like any other."""
+    small_batches(docs.sparkSession)
     box = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):

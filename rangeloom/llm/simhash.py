@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, table
+from .common import connected_components, materialize, small_batches, table
 
 SEED = 42
 BLOCK = 1 << 15
@@ -107,24 +107,26 @@ def _forest(radius: int):
 
     def run(key, rows):
         fp, home = rows.column("fp").to_numpy().view(np.uint64), rows.column("home").to_numpy(zero_copy_only=False)
-        own, other = np.unique(fp[home]), np.unique(fp)
-        tree: dict[int, int] = {}
-
-        def root(x):
-            while (up := tree.setdefault(x, x)) != x:
-                tree[x] = x = tree.setdefault(up, up)
-            return x
-
+        other = np.unique(fp)
+        own = np.searchsorted(other, np.unique(fp[home]))
+        tree = np.arange(len(other))
         a, b = [], []
-        step = max(1, (1 << 20) // max(1, len(other)))
+        step = max(1, BLOCK // max(1, len(other)))
         for k in range(0, len(own), step):
-            i, j = np.nonzero(np.bitwise_count(own[k : k + step, None] ^ other[None, :]) <= radius)
-            for x, y in zip(own[k + i].tolist(), other[j].tolist(), strict=True):
-                if x != y and (p := root(x)) != (q := root(y)):
-                    tree[p] = q
-                    a.append(x)
-                    b.append(y)
-        return pa.table({"a": np.array(a, np.uint64).view(np.int64), "b": np.array(b, np.uint64).view(np.int64)})
+            part = own[k : k + step]
+            i, j = np.nonzero(np.bitwise_count(other[part][:, None] ^ other[None, :]) <= radius)
+            i = part[i]
+            while (apart := tree[i] != tree[j]).any():
+                i, j = i[apart], j[apart]
+                # One link for each tree on the left, then all labels at once; a chain of joins takes a few rounds.
+                _, first = np.unique(tree[i], return_index=True)
+                for x, y in zip(i[first].tolist(), j[first].tolist(), strict=True):
+                    p, q = tree[x], tree[y]
+                    if p != q:
+                        tree[tree == p] = q
+                        a.append(x)
+                        b.append(y)
+        return pa.table({"a": other[a].view(np.int64) if a else np.zeros(0, np.int64), "b": other[b].view(np.int64) if b else np.zeros(0, np.int64)})
 
     return run
 
@@ -161,6 +163,7 @@ def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shi
     counts as empty (fingerprint zero). A null id is in the group of its fingerprint but never names it,
     unless no other id does: then ``component_id`` is null. Repeated rows come out as often as they came in.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     prints = materialize(rows.mapInArrow(_fingerprints(shingle), "doc_id long, fp long"), "simhash-prints")
     firsts = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")

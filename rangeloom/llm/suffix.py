@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, small_batches, table
 
 LENGTH = 400
 GRAM = 128
@@ -270,6 +270,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     """
     if gram & (gram - 1) or gram > length:
         raise ValueError("gram must be a power of two, at most length")
+    small_batches(docs.sparkSession)
     span0 = length - gram
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
     base = docs.select(data.alias("data")).withColumn("uid", F.unhex(F.sha2("data", 256))).where(F.octet_length("data") >= length)

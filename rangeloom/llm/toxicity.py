@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, table
+from .common import fold, materialize, small_batches, table
 
 #: Identity terms by kind; a swap stays inside a kind.
 IDENTITY_TERMS = (
@@ -66,7 +66,7 @@ class Model:
     def word(self, w: str) -> float:
         s = self._cache.get(w)
         if s is None:
-            if len(self._cache) > 300_000:  # bounded; texts repeat their frequent words
+            if len(self._cache) > 50_000:  # bounded; texts repeat their frequent words
                 self._cache.clear()
             get = self.weights.get
             s = self._cache[w] = sum(get(g, 0.0) for g in grams(w))
@@ -178,11 +178,12 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, target: str, folds: int
 
 def toxicity_scores(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc_id, score`` of every row's whole text; null counts as empty and gets the score of no evidence."""
+    small_batches(docs.sparkSession)
     box = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for b in batches:
-            s = [box.value.score(t) for t in b.column("text").to_pylist()]
+            s = [box.value.score(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double")
@@ -202,12 +203,13 @@ def op7_toxicity(spark, sf_dir):
 
 def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the classifier rejects go; the columns stay."""
+    small_batches(spark)
     model = spark.sparkContext.broadcast(fit(docs, table(spark, sf_dir, "labels")))
     names = docs.columns
 
     def run(batches):
         for b in batches:
-            ok = [model.value.score(t) < 0.5 for t in b.column(names.index("text")).to_pylist()]
+            ok = [model.value.score(t.as_py()) < 0.5 for t in b.column(names.index("text"))]
             yield b.filter(pa.array(ok, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
