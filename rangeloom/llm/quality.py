@@ -24,9 +24,9 @@ PIECE = 1 << 13  # blocks looked up at once
 
 
 def blocks_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts laid one after the other, each from a block's start and padded with zeros; and blocks per text."""
+    """Texts laid from a block's start, padded with zeros, with an empty block after each; and blocks per text without that."""
     n = np.array([max(2, -(-len(t) // BLOCK)) for t in texts])
-    at = np.concatenate(([0], np.cumsum(n)))
+    at = np.concatenate(([0], np.cumsum(n + 1)))
     flat = np.zeros(at[-1] * BLOCK + WIDTH, np.uint8)
     for t, k in zip(texts, at.tolist(), strict=False):
         flat[k * BLOCK : k * BLOCK + len(t)] = np.frombuffer(t, np.uint8)
@@ -81,9 +81,8 @@ class Network:
             u = self.chunks(flat)
             u = np.maximum(np.maximum(u[:-1], u[1:]) + self.bias, 0)
             h = np.maximum(u @ self.w + self.wb, 0)
-            first = np.concatenate(([0], np.cumsum(n)[:-1]))
+            first = np.concatenate(([0], np.cumsum(n + 1)[:-1]))
             edges = np.stack([first, first + n - 1], axis=1).ravel()  # chunks of a text: one fewer than its blocks
-            edges = edges[: -1] if edges[-1] == len(h) else edges
             out[at:end, :HIDDEN] = np.maximum.reduceat(h, edges, axis=0)[::2]
             out[at:end, HIDDEN:] = np.add.reduceat(h, edges, axis=0)[::2] / (n - 1)[:, None]
             at = end
