@@ -79,16 +79,17 @@ class Parser:
         self.index = np.full(0x10000, len(symbols), np.int32)  # unseen letters share the last symbol, which no state has
         self.index[symbols[symbols < 0x10000]] = np.nonzero(symbols < 0x10000)[0]
         self.width = width = len(symbols) + 1
-        tables, self.roots, at = [], [], 0
+        tables, self.starts, at = [], [], 0
         for c in cleaned:
             goto = suffix_automaton(self._codes(c).tolist())
-            to = np.full((len(goto), width), -1, np.int64)
+            dead = len(goto)  # after a letter that the language doesn't have, and before the first
+            to = np.full((dead + 1, width), -1, np.int64)
             for s, g in enumerate(goto):
                 to[s, list(g.keys())] = list(g.values())
-            again = np.where(to[0] >= 0, to[0], 0)
+            again = np.where(to[0] >= 0, to[0], dead)
             tables.append(np.where(to >= 0, 2 * (to + at) * width, 2 * (again + at)[None, :] * width + 1).astype(np.int32).ravel())
-            self.roots.append(at * width)
-            at += len(goto)
+            self.starts.append((at + dead) * width)
+            at += dead + 1
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
         self.lengths = np.array([max(len(c), 2) for c in cleaned])
 
@@ -111,13 +112,13 @@ class Parser:
         for j, (_, c) in enumerate(parts):
             grid[: len(c), j] = c
         live = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # lanes still running at each step
-        states = np.repeat(np.array(self.roots, np.int32)[:, None], len(parts), axis=1)
+        states = np.repeat(np.array(self.starts, np.int32)[:, None], len(parts), axis=1)
         found = np.zeros(states.shape, np.int32)
         for row, n in zip(grid, live.tolist(), strict=True):
             v = self.table.take(states[:, :n] + row[:n])
             found[:, :n] += v & 1
             states[:, :n] = v >> 1
-        np.add.at(out, [i for i, _ in parts], found.T + 1)  # the first phrase of a segment begins without a miss
+        np.add.at(out, [i for i, _ in parts], found.T)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and score (its share if phrases are weighed by their code length). Ties go to the first by name."""
