@@ -291,7 +291,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
                     yield pa.RecordBatch.from_arrays([pa.array([uid] * m, pa.binary()), pa.array(h[s].view(np.int64)), pa.array(p[s]), pa.array(lo[s].astype(np.int32)), pa.array(hi[s].astype(np.int32))], ["uid", "h", "p", "lo", "hi"])
 
     every = materialize(base.mapInArrow(find, "uid binary, h long, p long, lo int, hi int"), "suffix-runs")
-    shared = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # A table of its own, so that the join below deals a very common anchor to several tasks.
+    shared = materialize(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "suffix-shared")
     where = materialize(every.join(shared, "h", "left_semi").groupBy("uid").agg(F.collect_set(F.struct("p", "lo", "hi")).alias("runs")), "suffix-where")
 
     box = docs.sparkSession.sparkContext.broadcast(_bloom(where.select("uid")))
