@@ -33,9 +33,13 @@ _OUT_TAGS = frozenset("nav footer aside form menu dialog head".split())
 _OUT = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal "
     "overlay newsletter subscribe subscription signup login register comment comments commentlist disqus reply replies respond discussion related recommended recommendations share sharing social widget pagination pager "
-    "toolbar search complementary contentinfo dialog hidden skip disclaimer copyright toc tags tagcloud".split()
+    "toolbar search complementary contentinfo dialog skip disclaimer copyright tags tagcloud footer masthead topbar warning flash toast paywall announcement announcements feedback".split()
 )
 _IN = frozenset("article articlebody content main body post entry story text maincontent".split())
+#: What an article element may be called besides: a reader's comment or a teaser is no article of the page.
+_NOT_THE_ARTICLE = frozenset("comment comments reply replies disqus related sponsored advert teaser".split())
+_THE_ARTICLE = frozenset("post entry hentry main content".split())
+_PAGE_HEADER = frozenset("site page top global main".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
@@ -56,11 +60,14 @@ def _region(tag: str, attrs: str) -> int:
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
                 return -1
-            if key in ("class", "id", "role", "itemprop") and value:
-                words = {w.lower() for w in _CAMEL.split(value)}
-                if words & _OUT and not (tag in ("body", "html", "article", "main")):
+            if key in ("class", "id", "role", "itemprop") and value and tag not in ("body", "html"):
+                words = {w.lower() for w in _CAMEL.split(value) if w}
+                if tag in ("article", "main"):
+                    if words & _NOT_THE_ARTICLE and not words & _THE_ARTICLE:
+                        return -1
+                elif words & _OUT or "header" in words and (len(words) == 1 or words & _PAGE_HEADER):
                     return -1
-                if words & _IN:
+                elif words & _IN:
                     named = 1
     return 1 if tag in ("article", "main") else named
 
@@ -139,6 +146,8 @@ def blocks(html: str) -> list[Block]:
             kind = _region(name, attrs)
             if name == "header" and not good:
                 kind = -1
+            elif kind < 0 and good and "header" in attrs and not bad and name in ("div", "header"):
+                kind = _region(name, attrs.replace("header", ""))  # a header inside the article is the article's own
             number += 1
             stack.append((name, number, bad + (kind < 0), good + (kind > 0)))
         elif _ATTR.search(attrs) and _region(name, attrs) < 0 and not attrs.endswith("/"):

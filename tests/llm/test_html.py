@@ -24,6 +24,17 @@ def test_page_without_an_article_element():
     assert html.main_text(page).split("\n\n") == [long.strip(), "Brief.", long.strip()]
 
 
+def test_regions_by_name():
+    text = "A sentence that is long enough to look like prose to anyone who reads it."
+    inside = lambda block: html.main_text(f'<body class="post single"><div id="header"><p>{text}</p></div><main>{block}<p>Kept: {text}</p></main></body>')
+    assert inside("") == f"Kept: {text}"
+    for out in ('<div class="sidebar">', '<div id="cookieNotice">', '<section class="reader-comments">', '<article class="comment">', '<div class="ad ad-top">', '<div role="navigation">', "<div hidden>", '<div style="display: none">', '<div class="newsletter-signup">', '<div class="share-buttons">'):
+        assert inside(f"{out}<p>{text}</p></{out[1:].split()[0].rstrip('>')}>") == f"Kept: {text}", out
+    assert inside('<div class="overflow-hidden"><p>In.</p></div>') == f"In.\n\nKept: {text}"
+    assert inside('<div class="header"><h1>Title of it</h1></div>') == f"Title of it\n\nKept: {text}"
+    assert inside("<header><h1>Title of it</h1></header>") == f"Title of it\n\nKept: {text}"
+
+
 def test_odd_pages():
     assert html.main_text(None) == html.main_text("") == html.main_text("   ") == html.main_text("<nav>x</nav>") == ""
     assert html.main_text("<article><p>a &lt; b &amp;amp; c") == "a < b &amp; c"
