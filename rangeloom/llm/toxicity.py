@@ -66,7 +66,7 @@ class Model:
     def word(self, w: str) -> float:
         s = self._cache.get(w)
         if s is None:
-            if len(self._cache) > 50_000:  # bounded; texts repeat their frequent words
+            if len(self._cache) > 150_000:  # bounded; texts repeat their frequent words
                 self._cache.clear()
             get = self.weights.get
             s = self._cache[w] = sum(get(g, 0.0) for g in grams(w))
