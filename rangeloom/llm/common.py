@@ -7,6 +7,8 @@ import tempfile
 import uuid
 import zlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +67,39 @@ def fold_of(doc_id: int | None, parts: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % parts
 
 
+BLOOM_BITS = 26
+
+
+def bloom_bits(column: str = "uid") -> dict[str, Column]:
+    """Columns ``b0`` and ``b1``: a key's places in the filter."""
+    return {f"b{k}": F.pmod(F.xxhash64(column, F.lit(k)), F.lit(1 << BLOOM_BITS)) for k in range(2)}
+
+
+def bloom(keys: DataFrame, column: str = "uid") -> np.ndarray:
+    """Filter of fixed size (8 MB) over a column of keys: it only spares a shuffle, a join decides."""
+    bits = keys.select(F.explode(F.array(*bloom_bits(column).values())).alias("bit"))
+    words = bits.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 31 as int)))").alias("bits"))
+    out = np.zeros(1 << (BLOOM_BITS - 5), np.uint32)
+    for part in words.toArrow().to_batches():
+        out[part.column("word").to_numpy()] = part.column("bits").to_numpy().astype(np.uint32)
+    return out
+
+
+def passing(rows: DataFrame, box) -> DataFrame:
+    """Rows whose ``b0`` and ``b1`` are in the broadcast filter, without these two columns."""
+    kept = [c for c in rows.columns if c not in ("b0", "b1")]
+
+    def run(batches):
+        for b in batches:
+            ok = np.ones(b.num_rows, bool)
+            for c in ("b0", "b1"):
+                bit = b.column(c).to_numpy()
+                ok &= (box.value[bit >> 5] >> (bit & 31).astype(np.uint32) & 1).astype(bool)
+            yield b.select(kept).filter(pa.array(ok, pa.bool_()))
+
+    return rows.mapInArrow(run, rows.select(*kept).schema)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest node reachable from each node that has an edge: ``(node, root)``.
 

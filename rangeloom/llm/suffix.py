@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, table
+from .common import bloom, bloom_bits, materialize, passing, small_batches, table
 
 LENGTH = 400
 GRAM = 128
@@ -31,7 +31,6 @@ PIECE = 1 << 20
 #: Symbols sorted at once, and different strings of one anchor: a group always fits.
 CHUNK = 1 << 20
 CROWD = 1024
-BLOOM_BITS = 26
 
 _TABLE = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -237,31 +236,6 @@ def _sort_groups(batches):
         yield work(held)
 
 
-def _bloom(keys: DataFrame) -> np.ndarray:
-    """Bits of 16-byte keys in a filter of fixed size (8 MB): it only spares a shuffle, a join decides."""
-    bits = [F.pmod(F.xxhash64("uid", F.lit(k)), F.lit(1 << BLOOM_BITS)) for k in range(2)]
-    bits = keys.select(F.explode(F.array(*bits)).alias("bit"))
-    words = bits.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 31 as int)))").alias("bits"))
-    out = np.zeros(1 << (BLOOM_BITS - 5), np.uint32)
-    for part in words.toArrow().to_batches():
-        out[part.column("word").to_numpy()] = part.column("bits").to_numpy().astype(np.uint32)
-    return out
-
-
-def _passing(rows: DataFrame, box) -> DataFrame:
-    """Rows whose ``b0`` and ``b1`` are in the filter."""
-
-    def run(batches):
-        for b in batches:
-            ok = np.ones(b.num_rows, bool)
-            for c in ("b0", "b1"):
-                bit = b.column(c).to_numpy()
-                ok &= (box.value[bit >> 5] >> (bit & 31).astype(np.uint32) & 1).astype(bool)
-            yield b.filter(pa.array(ok))
-
-    return rows.mapInArrow(run, rows.schema)
-
-
 def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """``(rows, spans)``: per row ``id, uid, n_bytes``, and per distinct text ``uid`` the maximal removed spans.
 
@@ -295,9 +269,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     shared = materialize(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "suffix-shared")
     where = materialize(every.join(shared, "h", "left_semi").groupBy("uid").agg(F.collect_set(F.struct("p", "lo", "hi")).alias("runs")), "suffix-where")
 
-    box = docs.sparkSession.sparkContext.broadcast(_bloom(where.select("uid")))
-    hashed = base.withColumns({f"b{k}": F.pmod(F.xxhash64("uid", F.lit(k)), F.lit(1 << BLOOM_BITS)) for k in range(2)})
-    texts = _passing(hashed, box).select("uid", "data").join(where, "uid")
+    box = docs.sparkSession.sparkContext.broadcast(bloom(where.select("uid")))
+    hashed = base.withColumns(bloom_bits())
+    texts = passing(hashed, box).select("uid", "data").join(where, "uid")
 
     def cut(batches):
         """Occurrences, and each different string once in a task."""
@@ -383,9 +357,8 @@ def dedup_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", l
     ``length`` keep all. Repeated rows count as copies of each other.
     """
     base, spans = repeated_spans(docs, text, length, gram, crowd)
-    bits = [F.pmod(F.xxhash64("uid", F.lit(k)), F.lit(1 << BLOOM_BITS)) for k in range(2)]
-    box = docs.sparkSession.sparkContext.broadcast(_bloom(spans.select("uid")))
-    texts = _passing(base.withColumns({"b0": bits[0], "b1": bits[1]}), box).select("uid", "data").join(spans, "uid")
+    box = docs.sparkSession.sparkContext.broadcast(bloom(spans.select("uid")))
+    texts = passing(base.withColumns(bloom_bits()), box).select("uid", "data").join(spans, "uid")
 
     def clean(batches):
         seen: set[bytes] = set()

@@ -127,3 +127,46 @@ def test_stage_keeps_one_of_each_group(spark):
     out = simhash.simhash_stage(spark, docs_of(spark, rows), "")
     assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "2", "None"]
     assert out.columns == docs_of(spark, []).columns
+
+
+def jaccard(a, b):
+    x, y = (set(simhash.shingles((t or "").encode()).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y) if x | y else 0.0
+
+
+def prose(rng, n):
+    return [rng.choice(["the", "of", "and"]) if rng.random() < 0.3 else "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("small", [256, 2])
+def test_similar_groups_find_edited_copies_and_nothing_else(spark, small):
+    rng = random.Random(21)
+    rows, copies, others = [], {}, set()
+    for k in range(150):
+        words = prose(rng, rng.randrange(120, 500))
+        rows.append((k, " ".join(words)))
+        edited = [rng.choice(words) if rng.random() < (0.01, 0.03)[k % 2] else w for w in words]
+        rows.append((1000 + k, " ".join(edited)))
+        if jaccard(rows[-2][1], rows[-1][1]) >= 0.8:
+            copies[1000 + k] = k
+        else:
+            others.add(1000 + k)
+    crowd = prose(rng, 400)
+    for k in range(60):  # a crowd of copies of one text, each alike to it, fewer alike to each other
+        rows.append((5000 + k, " ".join(rng.choice(crowd) if k and rng.random() < 0.012 else w for w in crowd)))
+    rows += [(9000, None), (9001, ""), (9002, None), (9003, "a short one"), (9004, "A short  one"), (9005, "another short one"), (None, rows[0][1]), (None, "an id is missing here")]
+    got = simhash.similar_groups(docs_of(spark, rows), small=small, slice_size=16).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got if r.doc_id is not None}
+    hit = sum(by[c].first_id == k and not by[c].first for c, k in copies.items())
+    assert len(copies) > 80 and hit >= 0.95 * len(copies)
+    assert others and all(by[c].first for c in others)
+    text = dict(rows)
+    near = [k for k in range(5001, 5060) if jaccard(text[5000], text[k]) >= 0.8]
+    assert len(near) > 40 and sum(by[k].first_id == 5000 for k in near) >= 0.95 * len(near)
+    assert all(by[k].first for k in (9000, 9001, 9002, 9003, 9005)) and by[9004].first_id == 9003
+    assert [r.first_id for r in got if r.doc_id is None and not r.first] == [0]
+
+
+def test_similar_groups_of_empty_table(spark):
+    assert simhash.similar_groups(docs_of(spark, [])).count() == 0
