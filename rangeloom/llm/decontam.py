@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +28,16 @@ THRESHOLD = 0.5
 OVERLAP = 0.5
 NGRAM = 5
 POSTINGS_PER_BLOCK = 32
-_OUTER = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—¡¿"
+#: Bytes that part words besides white space: all of ASCII but letters and digits.
+_PARTING = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
-def tokens(text: str | None) -> list[str]:
-    """White-space words in lower case without outer punctuation; words of nothing else are left out."""
-    return [t for w in (text or "").lower().split() if (t := w.strip(_OUTER))]
+def tokens(text: str | None) -> list[bytes]:
+    """Words in lower case (UTF-8), parted by white space and ASCII punctuation."""
+    return (text or "").lower().encode("utf-8", "replace").translate(_PARTING).split()
 
 
-def parts(words: list[str], text: str) -> tuple[list[str], list[str]]:
+def parts(words: list[bytes], text: str) -> tuple[list[bytes], list[bytes]]:
     """Question and answer of an item: cut at the first question mark or, without one that leaves an answer, after two thirds."""
     if "?" in text:
         n = len(tokens(text[: text.index("?") + 1]))
@@ -45,26 +47,12 @@ def parts(words: list[str], text: str) -> tuple[list[str], list[str]]:
     return words[:n], words[n:]
 
 
-def ngrams(words: list[str], n: int = NGRAM) -> set[tuple]:
+def ngrams(words: list[bytes], n: int = NGRAM) -> set[tuple]:
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
-class _Ids(dict):
-    """Raw word to term number: -1 not in the index, -2 no word at all. Remembers a bounded number of raw words."""
-
-    def __init__(self, terms):
-        self.terms = terms
-
-    def __missing__(self, w):
-        if len(self) > 60_000:
-            self.clear()
-        t = w.strip(_OUTER)
-        k = self[w] = self.terms.get(t, -1) if t else -2
-        return k
-
-
 class Index:
-    def __init__(self, items: list[tuple[int, str | None]], threshold: float = THRESHOLD, slack: float = 0.25):
+    def __init__(self, items: list[tuple[int, str | None]], threshold: float = THRESHOLD, slack: float = 0.3):
         items = sorted((i, t or "") for i, t in items)
         bags = [tokens(t) for _, t in items]
         rows = [k for k, b in enumerate(bags) if b]
@@ -95,20 +83,14 @@ class Index:
             self.lists.append((at, x, [at[min(k + POSTINGS_PER_BLOCK, len(at)) - 1] for k in blocks], [max(x[k : k + POSTINGS_PER_BLOCK]) for k in blocks], max(x)))
         self.bound = threshold - slack
         self.heavy_at = np.concatenate(([0], np.cumsum([len(h) for h in heavy]))).astype(np.int64)
+        self.is_heavy = np.array([bool(h) for h in heavy] + [False])  # the last is for -1
         self.heavy_item = np.array([i for h in heavy for i, _ in h], np.int64)
         self.heavy_impact = np.array([x for h in heavy for _, x in h])
-        self._ids = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"_ids": None}
 
     def numbers(self, text: str | None) -> np.ndarray:
-        """Term number of each word of ``tokens(text)``."""
-        if self._ids is None:
-            self._ids = _Ids(self.terms)
-        ids = self._ids
-        out = np.array([ids[w] for w in (text or "").lower().split()], np.int64)
-        return out[out > -2]
+        """Term number of each word of ``tokens(text)``, -1 for those not in the index."""
+        words = tokens(text)
+        return np.fromiter(map(self.terms.get, words, repeat(-1)), np.int64, len(words))
 
     def wand(self, terms: set[int]) -> list[tuple[int, float]]:
         """All items whose score for a passage of these terms reaches the threshold, by block-max WAND."""
@@ -180,21 +162,23 @@ class Index:
         size = np.array([len(d) for d in docs], np.int64)
         owner = np.repeat(np.arange(len(docs)), size)
         within = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-        hit = np.nonzero(flat >= 0)[0]
-        term, block = flat[hit], base[owner[hit]] + 1 + within[hit] // self.step
+        hit = np.nonzero((flat >= 0) & self.is_heavy[flat])[0]
+        # Each term once in a block of one step; a passage is two blocks, so its bound is the sum of two.
+        pair = np.unique((base[owner[hit]] + 1 + within[hit] // self.step) * len(self.terms) + flat[hit])
+        block, term = np.divmod(pair, len(self.terms))
         n = self.heavy_at[term + 1] - self.heavy_at[term]
         row = np.repeat(np.arange(len(term)), n)
         k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + self.heavy_at[term][row]
-        key = self.heavy_item[k] * base[-1] + block[row]
-        key, back = np.unique(key, return_inverse=True)
+        key, back = np.unique(self.heavy_item[k] * base[-1] + block[row], return_inverse=True)
         got = np.bincount(back, self.heavy_impact[k], len(key))
-        total = got.copy()
-        for d in (-1, 1):
-            at = np.searchsorted(key, key + d)
-            ok = (at < len(key)) & (key[np.minimum(at, len(key) - 1)] == key + d) if len(key) else np.zeros(0, bool)
+        blocks = []
+        for d in (0, 1):  # the passage that begins here, and the one that ends here
+            total = got.copy()
+            at = np.minimum(np.searchsorted(key, key + 1 - 2 * d), max(len(key) - 1, 0))
+            ok = key[at] == key + 1 - 2 * d if len(key) else np.zeros(0, bool)
             total[ok] += got[at[ok]]
-        blocks = np.unique(key[total >= self.bound - 1e-9] % base[-1])
-        blocks = np.unique(np.concatenate([blocks, blocks - 1]))
+            blocks.append(key[total >= self.bound - 1e-9] % base[-1] - d)
+        blocks = np.unique(np.concatenate(blocks))
         doc = np.searchsorted(base, blocks, side="right") - 1
         first = blocks - base[doc] - 1
         ok = (first >= 0) & (first < steps[np.minimum(doc, len(steps) - 1)])
@@ -204,7 +188,7 @@ class Index:
         """Of each text: item row -> (word at which the best passage begins, score, question and answer overlap), verified ones only."""
         docs = [self.numbers(t) for t in texts]
         out: list[dict] = [{} for _ in texts]
-        words: tuple[int, list[str]] = (-1, [])
+        words: tuple[int, list[bytes]] = (-1, [])
         for d, first in self.windows(docs):
             lo = first * self.step
             ids = docs[d][lo : lo + 2 * self.step]
