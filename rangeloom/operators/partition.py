@@ -17,8 +17,12 @@ from pyspark.sql.window import Window
 
 from ..spec import COUNT, KEY, SIZE, SortSpec
 
-#: Sampled rows for each partition; a bound's share is then off by a few per cent at most.
-SAMPLES_PER_PARTITION = 400
+#: Sampled rows for each partition: a bound is then off by a few per cent of a share; with many partitions fewer do.
+SAMPLES_PER_PARTITION, SAMPLES, LEAST_SAMPLES = 400, 20_000, 60
+
+
+def sample_size(parts: int) -> int:
+    return min(SAMPLES_PER_PARTITION * parts, max(SAMPLES, LEAST_SAMPLES * parts))
 
 
 def target_ratio(parts: int, imbalance: float, bound: int) -> float | None:
@@ -107,14 +111,14 @@ def _order(row: tuple):
 def choose_bounds(df: DataFrame, spec: SortSpec, weight: Column | None = None, seed: int = 17) -> Bounds:
     """Bounds for ``spec.n_partitions`` partitions. Reads keys, tie-break and what the weight needs, twice, and no shuffle.
 
-    The driver gets ``SAMPLES_PER_PARTITION`` rows per partition or so, whatever the size of the data.
+    The driver gets ``sample_size`` rows or so, whatever the size of the data.
     """
     if spec.partition == SIZE and weight is None:
         weight = row_bytes(df)
     columns = spec.keys if spec.partition == KEY else (*spec.keys, *spec.tiebreak)
     thin = df.select(*columns, (weight if spec.partition == SIZE else F.lit(1)).cast("double").alias("_w"))
     n = df.count()
-    want = SAMPLES_PER_PARTITION * spec.n_partitions
+    want = sample_size(spec.n_partitions)
     if spec.partition == SIZE and n > want:
         # Heavy rows matter most: each is taken with odds in proportion to its weight, and then stands for an even share.
         mean = thin.agg(F.avg("_w")).first()[0] or 1.0
