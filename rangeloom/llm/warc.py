@@ -64,7 +64,7 @@ def manifest(rows: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
 def write_warc(rows: DataFrame, path: str, shards: int, text: str = "record") -> None:
     """Archive of ``records`` at ``path/shard=N``, one compressed file for a shard, in order of the digests."""
     rows = rows.select(_shard(shards).alias("shard"), "sha256", F.col(text).alias("value"))
-    rows = rows.repartition("shard").sortWithinPartitions("shard", "sha256").select("shard", "value")
+    rows = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "sha256").select("shard", "value")
     rows.write.partitionBy("shard").option("lineSep", END).option("compression", "gzip").text(path)
 
 
