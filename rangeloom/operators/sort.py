@@ -12,7 +12,7 @@ from ..functions.encode import encode_f32, encode_f64
 from ..spec import SortSpec
 from ..storage import materialize
 from .partition import Bounds, choose_bounds, partition_by_range, row_bytes
-from .stats import MergeStats, RunGenerationStats, SortStats
+from .stats import MergeStats, RunGenerationStats, SortStats, io_by_stage, io_since
 
 
 def order_columns(df: DataFrame, spec: SortSpec) -> list[Column]:
@@ -87,12 +87,16 @@ def merge_runs(runs: DataFrame, spec: SortSpec, bounds: Bounds | None = None) ->
 
 def sort_with_stats(df: DataFrame, spec: SortSpec, n_runs: int) -> tuple[DataFrame, SortStats]:
     """Both phases with their statistics. The result is stored, so that reading it again doesn't sort again."""
+    spark = df.sparkSession
+    seen = io_by_stage(spark)
     runs, first = run_generation(df, spec, n_runs)
+    first_io, seen = io_since(spark, seen), io_by_stage(spark)
     began = time.time()
     sorted_rows = materialize(merge_runs(runs.drop("run"), spec).withColumn("pid", F.spark_partition_id()), "sorted")
+    merge_io = io_since(spark, seen)
     per = sorted_rows.groupBy("pid").agg(F.count("*").alias("n_rows"), F.sum(row_bytes(df)).alias("n_bytes")).orderBy("pid").collect()
     merged = MergeStats(len(first.runs), [(r.n_rows, r.n_bytes) for r in per], time.time() - began)
-    return sorted_rows, SortStats(first, [merged])
+    return sorted_rows, SortStats(first, [merged], first_io, merge_io)
 
 
 def range_scan(df: DataFrame, key: str, lower=None, upper=None) -> DataFrame:

@@ -97,15 +97,22 @@ def throughput(rows: int, n_bytes: float, seconds: float) -> str:
 
 
 def io_by_stage(spark) -> dict[int, IoStats]:
-    """Read, written and spilled bytes of every finished stage, from the session's own status store."""
-    store, out = spark._jsc.sc().statusStore(), {}
-    stages = store.stageList(None)
+    """Read, written and spilled bytes of every stage so far, from the session's own status store."""
+    jvm, out = spark._jvm, {}
+    none = spark.sparkContext._gateway.new_array(jvm.double, 0)
+    stages = spark._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, none, jvm.java.util.ArrayList())
     for k in range(stages.size()):
         s = stages.apply(k)
-        out[s.stageId()] = IoStats(s.inputBytes() + s.shuffleReadBytes(), s.inputRecords() + s.shuffleReadRecords(), s.outputBytes() + s.shuffleWriteBytes(), s.outputRecords() + s.shuffleWriteRecords(), s.diskBytesSpilled())
+        seen = IoStats(s.inputBytes() + s.shuffleReadBytes(), s.inputRecords() + s.shuffleReadRecords(), s.outputBytes() + s.shuffleWriteBytes(), s.outputRecords() + s.shuffleWriteRecords(), s.diskBytesSpilled())
+        out[s.stageId()] = out.get(s.stageId(), IoStats()) + seen
     return out
 
 
+def io_since(spark, before: dict[int, IoStats]) -> IoStats:
+    """Sum over the stages that weren't in ``before``."""
+    return sum((io for k, io in io_by_stage(spark).items() if k not in before), IoStats())
+
+
 def summary_table(runs: list[tuple[str, SortStats]]) -> str:
     """Fixed-width table of several configurations."""
     head = f"{'config':<24}{'runs':>8}{'rows':>14}{'run-gen s':>11}{'merge s':>10}{'total s':>10}{'M rows/s':>10}{'max/mean':>10}"

@@ -84,6 +84,7 @@ def test_two_phases_with_stats(spark):
     assert sum(r[1] for r in stats.run_generation.runs) == stats.merges[0].rows == 1000
     assert len(stats.run_generation.runs) == 4 and stats.seconds > 0
     assert stats.merges[0].imbalance()["rows"] < 1.2
+    assert stats.run_generation_io.write_records >= 1000 and stats.merge_io.read_bytes > 0 and stats.read_amplification() > 0
     assert "Merge 1" in str(stats) and verify.same_rows(df, out.drop("pid"))
 
 
