@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 import zlib
 
 import numpy as np
@@ -12,23 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import delete, materialize, shared_dir  # noqa: F401
+
 #: ASCII white space and its complement, as the operators' contracts name them.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, ``local[*]``) a folder of this machine is set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = os.path.join(tempfile.gettempdir(), f"rangeloom-{os.getuid()}")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Texts can be long: Arrow batches of ``rows`` rows, unless the session already asks for fewer."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -36,21 +23,15 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and files outlive executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    back._stored_at = path
-    return back
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in as many partitions as shuffles have, before rows multiply."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def discard(df: DataFrame) -> None:
     """Delete the files behind a DataFrame that ``materialize`` made."""
     if path := getattr(df, "_stored_at", None):
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+        delete(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,20 +27,22 @@ def directory(cells: list[tuple[int, int]], capacity: int, max_depth: int) -> li
     next bit, others keep their local depth. Returns ``(first_cell, last_cell, bucket)``, ranges of
     the hash in order that cover it. At ``max_depth`` a bucket stays overfull and its file just grows.
     """
-    load = dict(cells)
+    load = [0] * (1 << max_depth)
+    for c, n in cells:
+        load[c] = n
+    upto = [0, *accumulate(load)]
     out, todo = [], [(0, 0)]
     while todo:
         depth, prefix = todo.pop()
         lo, hi = prefix << (max_depth - depth), (prefix + 1) << (max_depth - depth)
-        inside = [c for c in load if lo <= c < hi] if depth < 8 else range(lo, hi)
-        if depth < max_depth and sum(load.get(c, 0) for c in inside) > capacity:
+        if depth < max_depth and upto[hi] - upto[lo] > capacity:
             todo += [(depth + 1, prefix * 2 + 1), (depth + 1, prefix * 2)]
         else:
             out.append((lo, hi - 1, len(out)))
     return out
 
 
-def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", capacity: int = 1 << 16, max_depth: int = 12, hash_bits: int = 64) -> DataFrame:
+def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", capacity: int = 1 << 16, max_depth: int = 16, hash_bits: int = 64) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256, bucket``.
 
     1. Each row becomes an index record ``(hash, id)``; equal hashes are counted before the shuffle,

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom, bloom_bits, connected_components, materialize, passing, small_batches, table
+from .common import bloom, bloom_bits, connected_components, materialize, passing, small_batches, spread, table
 
 SEED = 42
 BLOCK = 1 << 15
@@ -86,7 +86,10 @@ def anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return home, np.stack(out, axis=1)
 
 
-def _visits(columns: list[str], check: str):
+_VISIT = "anchor long, node long, check long, home boolean"
+
+
+def _visits(columns: list[str], check: str, homes_only: bool = False):
     """(anchor, node, check, home) of each row, for both halves of each fingerprint column; the anchor's high bits name the half."""
 
     def run(batches):
@@ -96,6 +99,7 @@ def _visits(columns: list[str], check: str):
                 fp = b.column(c).to_numpy(zero_copy_only=False).view(np.uint64)
                 for k in (0, 1):
                     home, every = anchors((fp >> np.uint64(32 * k)).astype(np.int64) & 0xFFFFFFFF)
+                    every = home[:, None] if homes_only else every
                     rows, cols = np.nonzero(every >= 0)
                     at = every[rows, cols]
                     yield pa.RecordBatch.from_arrays([pa.array(at | ((2 * n + k) << 33)), pa.array(node[rows]), pa.array(seen[rows]), pa.array(at == home[rows])], ["anchor", "node", "check", "home"])
@@ -155,20 +159,23 @@ def links(fps: DataFrame, radius: int = 3, small: int = 256, slice_size: int = 2
     """Links ``(a, b)`` between different fingerprints that span the classes of ``radius`` or fewer differing bits."""
     if radius != 3:
         raise ValueError("the halves' threshold is worked out for a radius of 3")
-    rows = fps.select(F.col("fp").alias("node"), "fp")
-    return _met(rows.mapInArrow(_visits(["fp"], "fp"), "anchor long, node long, check long, home boolean"), radius, small, slice_size)
+    return _met(fps.select(F.col("fp").alias("node"), "fp"), ["fp"], "fp", radius, small, slice_size)
 
 
-def _met(visits: DataFrame, radius: int, small: int, slice_size: int, hubs: bool = False) -> DataFrame:
+def _met(prints: DataFrame, columns: list[str], check: str, radius: int, small: int, slice_size: int, hubs: bool = False) -> DataFrame:
     """Pairs of nodes that meet at an anchor, at home for one of them, with checks at most ``radius`` bits apart.
 
-    Anchors with no home, or no company for it, fall out in a join on counts. Where homes times
-    members is up to ``small``, the pairs are compared in the join itself. Crowded anchors are dealt in
-    slices of ``slice_size`` homes, each with all visitors, to several tasks that give out a forest.
+    Homes are counted first; the join with these counts is the one shuffle of all visits, and those to an
+    anchor without a home end there, as most do. Where homes times members is up to ``small``, the pairs
+    are compared in the join itself. Crowded anchors are dealt in slices of ``slice_size`` homes, each
+    with all visitors, to several tasks that give out a forest.
     """
-    met = materialize(visits, "simhash-visits")
-    counts = met.groupBy("anchor").agg(F.count_if("home").alias("homes"), F.count("*").alias("members")).where("homes > 0 and members > 1")
-    rows = materialize(met.join(counts, "anchor"), "simhash-met")
+    prints = spread(prints)
+    homes = prints.mapInArrow(_visits(columns, check, homes_only=True), _VISIT).groupBy("anchor").agg(F.count("*").alias("homes"))
+    homes = materialize(homes, "simhash-homes")  # a table, so that a crowded anchor's join can be dealt to several tasks
+    rows = materialize(prints.mapInArrow(_visits(columns, check), _VISIT).join(homes, "anchor"), "simhash-met")
+    members = materialize(rows.groupBy("anchor").agg(F.count("*").alias("members")).where("members > 1"), "simhash-members")
+    rows = rows.join(members, "anchor")
     few = rows.where(F.col("homes") * F.col("members") <= small)
     near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= radius
     at_home = few.where("home").select("anchor", F.col("node").alias("a"), F.col("check").alias("x"))
@@ -209,7 +216,7 @@ def op1_simhash(spark, sf_dir):
 # --- groups by verified similarity -----------------------------------------------------------------------------------
 
 #: Fingerprint words of a text, each anchored by its halves, and one more that pairs are checked by before their texts are.
-WORDS = 6
+WORDS = 4
 CHECK_RADIUS = 16
 _SALTS = np.random.default_rng(64).integers(0, 1 << 63, WORDS + 1, dtype=np.uint64)
 
@@ -271,8 +278,7 @@ def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     distinct = materialize(found.groupBy(*names).agg(F.min("uid").alias("node")), "similar-distinct")
     words = distinct.where(" or ".join(f"{n} <> 0" for n in names))
     same = found.join(words, names).where("uid <> node").select(F.col("uid").alias("a"), F.col("node").alias("b"))
-    visits = words.mapInArrow(_visits(names[:-1], names[-1]), "anchor long, node long, check long, home boolean")
-    pairs = same.union(_met(visits, CHECK_RADIUS, small, slice_size, hubs=True))
+    pairs = same.union(_met(words, names[:-1], names[-1], CHECK_RADIUS, small, slice_size, hubs=True))
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-pairs")
 
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "similar-wanted")
@@ -280,12 +286,17 @@ def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     some = passing(rows.select("uid", "text").withColumns(bloom_bits()), box)
 
     def sets(batches):
+        seen: set[int] = set()
         for b in batches:
-            grams = [shingles(t.as_py(), shingle) for t in b.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array(grams, pa.list_(pa.int64()))], ["uid", "grams"])
-
-    texts = some.mapInArrow(sets, "uid long, grams array<long>").join(wanted, "uid").dropDuplicates(["uid"])
-    texts = materialize(texts, "similar-sets")
+            for at in range(0, b.num_rows, 100):
+                part = b.slice(at, 100)
+                new = [k for k, u in enumerate(part.column("uid").to_pylist()) if not (u in seen or seen.add(u))]
+                part = part.take(pa.array(new, pa.int64()))
+                grams = [shingles(t.as_py(), shingle) for t in part.column("text").cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array(grams, pa.list_(pa.int64()))], ["uid", "grams"])
+
+    # A row that is there again in another task just gives a link twice.
+    texts = materialize(some.mapInArrow(sets, "uid long, grams array<long>").join(wanted, "uid"), "similar-sets")
     both = pairs.join(texts.select(F.col("uid").alias("a"), F.col("grams").alias("x")), "a").join(texts.select(F.col("uid").alias("b"), F.col("grams").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     close = both.where(F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y"))).where(shared >= similarity * (F.size("x") + F.size("y") - shared))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom, bloom_bits, materialize, passing, small_batches, table
+from .common import bloom, bloom_bits, discard, materialize, passing, small_batches, table
 
 LENGTH = 400
 GRAM = 128
@@ -268,6 +268,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     # A table of its own, so that the join below deals a very common anchor to several tasks.
     shared = materialize(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "suffix-shared")
     where = materialize(every.join(shared, "h", "left_semi").groupBy("uid").agg(F.collect_set(F.struct("p", "lo", "hi")).alias("runs")), "suffix-where")
+    discard(every)
 
     box = docs.sparkSession.sparkContext.broadcast(bloom(where.select("uid")))
     hashed = base.withColumns(bloom_bits())
@@ -312,6 +313,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     strings = cuts.where("key is not null").select("v", "key", "lo", "hi", "left", "right").distinct()
     strings = strings.join(occurs.groupBy("v").agg(F.count("*").alias("n")), "v")
     todo = materialize(strings.select(F.col("v").alias("root"), "v", "key", F.lit(0).alias("off"), F.lit(span0).alias("span"), "lo", "hi", "left", "right", "n"), "suffix-units")
+    discard(cuts)
 
     ready = []
     while True:
