@@ -28,9 +28,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._stored_at = path
+    for s in _open:
+        s.stored[path] = df.sparkSession
     return back
 
 
+_open: list = []
+
+
+class scratch:
+    """Deletes, at its end, the tables that were stored inside it, but for those it is told to keep."""
+
+    def __enter__(self):
+        self.stored: dict[str, SparkSession] = {}
+        _open.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.stored.pop(getattr(df, "_stored_at", None), None)
+        return df
+
+    def __exit__(self, *failed):
+        _open.remove(self)
+        if failed[0] is None:
+            for path, spark in self.stored.items():
+                delete(spark, path)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
