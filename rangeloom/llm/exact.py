@@ -7,7 +7,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, table
+from .common import SPACE, materialize, scratch, table
 
 
 def normalised(text: Column) -> Column:
@@ -104,12 +104,14 @@ SELECT doc_id, keep_id, group_size, kept, sha256(norm) AS text_sha256 FROM w
 """
 
 
-def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, groups: DataFrame, tables) -> DataFrame:
     """Rows of ``docs`` that ``groups`` keeps, with all columns; only what goes is looked up, so most rows just pass."""
     groups = materialize(groups.select("doc_id", "keep_id", "kept", F.unhex("text_sha256").alias("sha")), "exact-groups")
     same = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     gone = materialize(groups.where(~F.col("kept") & ~same).select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha")).distinct(), "exact-gone")
     again = materialize(groups.where(~F.col("kept") & same).select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha")).distinct(), "exact-again")
+    tables.keep(gone)
+    tables.keep(again)
     sha, names = F.unhex(F.sha2(normalised(F.col("text")), 256)), docs.columns
 
     def met(df, keys, how):
@@ -125,4 +127,6 @@ def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
 
 def exact_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of equal texts, one row stays, with all columns of ``docs``."""
-    return keep_first(docs, exact_groups(docs))
+    with scratch() as tables:
+        groups = exact_groups(docs)
+        return keep_first(docs, groups, tables)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom, bloom_bits, connected_components, materialize, passing, small_batches, spread, table
+from .common import bloom, bloom_bits, connected_components, materialize, passing, scratch, small_batches, spread, table
 
 SEED = 42
 BLOCK = 1 << 15
@@ -86,23 +86,22 @@ def anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return home, np.stack(out, axis=1)
 
 
-_VISIT = "anchor long, node long, check long, home boolean"
+def _visits(columns: list[str], homes: bool):
+    """(anchor, node) of each row, for both halves of each fingerprint column: home anchors, or all others in reach.
 
-
-def _visits(columns: list[str], check: str, homes_only: bool = False):
-    """(anchor, node, check, home) of each row, for both halves of each fingerprint column; the anchor's high bits name the half."""
+    The anchor's high bits name the half.
+    """
 
     def run(batches):
         for b in batches:
-            node, seen = (b.column(c).to_numpy(zero_copy_only=False) for c in ("node", check))
+            node = b.column("node").to_numpy(zero_copy_only=False)
             for n, c in enumerate(columns):
                 fp = b.column(c).to_numpy(zero_copy_only=False).view(np.uint64)
                 for k in (0, 1):
                     home, every = anchors((fp >> np.uint64(32 * k)).astype(np.int64) & 0xFFFFFFFF)
-                    every = home[:, None] if homes_only else every
+                    every = home[:, None] if homes else np.where(every == home[:, None], -1, every)
                     rows, cols = np.nonzero(every >= 0)
-                    at = every[rows, cols]
-                    yield pa.RecordBatch.from_arrays([pa.array(at | ((2 * n + k) << 33)), pa.array(node[rows]), pa.array(seen[rows]), pa.array(at == home[rows])], ["anchor", "node", "check", "home"])
+                    yield pa.RecordBatch.from_arrays([pa.array(every[rows, cols] | ((2 * n + k) << 33)), pa.array(node[rows])], ["anchor", "node"])
 
     return run
 
@@ -171,11 +170,14 @@ def _met(prints: DataFrame, columns: list[str], check: str, radius: int, small:
     with all visitors, to several tasks that give out a forest.
     """
     prints = spread(prints)
-    homes = prints.mapInArrow(_visits(columns, check, homes_only=True), _VISIT).groupBy("anchor").agg(F.count("*").alias("homes"))
-    homes = materialize(homes, "simhash-homes")  # a table, so that a crowded anchor's join can be dealt to several tasks
-    rows = materialize(prints.mapInArrow(_visits(columns, check), _VISIT).join(homes, "anchor"), "simhash-met")
-    members = materialize(rows.groupBy("anchor").agg(F.count("*").alias("members")).where("members > 1"), "simhash-members")
-    rows = rows.join(members, "anchor")
+    homes = materialize(prints.mapInArrow(_visits(columns, True), "anchor long, node long"), "simhash-homes")
+    counts = materialize(homes.groupBy("anchor").agg(F.count("*").alias("homes")), "simhash-counts")  # a table, so that a crowded anchor's join can be dealt to several tasks
+    guests = prints.mapInArrow(_visits(columns, False), "anchor long, node long").join(counts, "anchor")
+    guests = materialize(guests.select("anchor", "node"), "simhash-guests")
+    rows = homes.withColumn("home", F.lit(True)).union(guests.withColumn("home", F.lit(False)))
+    members = rows.groupBy("anchor").agg(F.count("*").alias("members"), F.count_if("home").alias("homes")).where("members > 1")
+    rows = rows.join(materialize(members, "simhash-members"), "anchor").join(prints.select("node", F.col(check).alias("check")), "node")
+    rows = materialize(rows, "simhash-met")
     few = rows.where(F.col("homes") * F.col("members") <= small)
     near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= radius
     at_home = few.where("home").select("anchor", F.col("node").alias("a"), F.col("check").alias("x"))
@@ -312,7 +314,8 @@ def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
 def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies (five-word shingles, similarity 0.8 or more) the row of smallest id stays, with all columns."""
-    gone = similar_groups(docs).where("not first").select(F.col("doc_id").alias("_gone"), F.col("uid").alias("_uid")).distinct()
-    gone = materialize(gone, "simhash-gone")
+    with scratch() as tables:
+        gone = similar_groups(docs).where("not first").select(F.col("doc_id").alias("_gone"), F.col("uid").alias("_uid")).distinct()
+        gone = tables.keep(materialize(gone, "simhash-gone"))
     uid = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").cast("long"))
     return docs.join(gone, (uid == F.col("_uid")) & docs.doc_id.cast("long").eqNullSafe(gone._gone), "left_anti")
