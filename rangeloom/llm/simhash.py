@@ -13,6 +13,8 @@ with probability 2^-22 for each half.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -106,13 +108,11 @@ def _visits(columns: list[str], homes: bool):
     return run
 
 
-def _forest(radius: int, hubs: bool):
+def _forest(radius: int):
     """For each anchor (and slice of its homes): links that keep together what the slice's pairs link.
 
     Homes and visitors are compared in blocks; of the pairs found only those that join two trees are
-    given out, so a crowd of near copies costs a link for each member, not for each pair. ``hubs`` adds, for
-    each home, its nearest neighbour and the neighbour that has most neighbours: what links are then
-    verified and may fall, a copy should meet its original.
+    given out, so a crowd of near copies costs a link for each member, not for each pair.
     """
 
     def run(key, rows):
@@ -123,20 +123,11 @@ def _forest(radius: int, hubs: bool):
         a, b = [], []
         step = max(1, BLOCK // max(1, len(node)))
         far = lambda part: np.bitwise_count(fp[part][:, None] ^ fp[None, :])
-        degree = np.zeros(len(node), np.int64)
-        if hubs:
-            for k in range(0, len(own), step):
-                degree += (far(own[k : k + step]) <= radius).sum(axis=0)
         for k in range(0, len(own), step):
             part = own[k : k + step]
             d = far(part).astype(np.int64)
             d[np.arange(len(part)), part] = 1 << 20
             near = d <= radius
-            if hubs and len(node) > 1:
-                for pick in (d.argmin(axis=1), np.where(near, degree, -1).argmax(axis=1)):
-                    ok = near[np.arange(len(part)), pick]
-                    a += part[ok].tolist()
-                    b += pick[ok].tolist()
             i, j = np.nonzero(near)
             i = part[i]
             while (apart := tree[i] != tree[j]).any():
@@ -161,7 +152,7 @@ def links(fps: DataFrame, radius: int = 3, small: int = 256, slice_size: int = 2
     return _met(fps.select(F.col("fp").alias("node"), "fp"), ["fp"], "fp", radius, small, slice_size)
 
 
-def _met(prints: DataFrame, columns: list[str], check: str, radius: int, small: int, slice_size: int, hubs: bool = False) -> DataFrame:
+def _met(prints: DataFrame, columns: list[str], check: str, radius: int, small: int, slice_size: int) -> DataFrame:
     """Pairs of nodes that meet at an anchor, at home for one of them, with checks at most ``radius`` bits apart.
 
     Homes are counted first; the join with these counts is the one shuffle of all visits, and those to an
@@ -188,7 +179,7 @@ def _met(prints: DataFrame, columns: list[str], check: str, radius: int, small:
     own = F.pmod(F.xxhash64("node"), n).cast("int")
     crowd = crowd.select("anchor", "node", "check", "home", own.alias("own"), F.explode(F.sequence(F.lit(0), n - 1)).alias("slice"))
     crowd = crowd.select("anchor", "slice", "node", "check", (F.col("home") & (F.col("own") == F.col("slice"))).alias("home"))
-    return pairs.union(crowd.groupBy("anchor", "slice").applyInArrow(_forest(radius, hubs), "a long, b long"))
+    return pairs.union(crowd.groupBy("anchor", "slice").applyInArrow(_forest(radius), "a long, b long"))
 
 
 def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 3, radius: int = 3) -> DataFrame:
@@ -217,31 +208,13 @@ def op1_simhash(spark, sf_dir):
 
 # --- groups by verified similarity -----------------------------------------------------------------------------------
 
-#: Fingerprint words of a text, each anchored by its halves, and one more that pairs are checked by before their texts are.
-WORDS = 4
-CHECK_RADIUS = 16
-_SALTS = np.random.default_rng(64).integers(0, 1 << 63, WORDS + 1, dtype=np.uint64)
-
-
-def word_prints(text: bytes | None) -> np.ndarray:
-    """``WORDS + 1`` SimHashes over the distinct words of a whole text. All zero if there is none."""
-    words = set((text or b"").lower().split())
-    if not words:
-        return np.zeros(WORDS + 1, np.uint64)
-    h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64)
-    out = np.empty(WORDS + 1, np.uint64)
-    for k, salt in enumerate(_SALTS):
-        x = h ^ salt
-        x ^= x >> np.uint64(30)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(27)
-        x *= np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(x), BLOCK):
-            ones += np.add.reduce(np.unpackbits(x[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.int32)
-        out[k] = np.packbits(ones * 2 > len(x), bitorder="little").view("<u8")[0]
-    return out
+#: Texts from which common shingles are learned, and the most of these that are kept. They set costs, never results.
+SAMPLE = 20_000
+COMMON = 1 << 18
+#: Members of a crowded shingle that are held at once.
+CHUNK = 4096
+#: Room for rounding in bounds on similarity.
+EPS = 1e-6
 
 
 def shingles(text: bytes | None, n: int = 5) -> np.ndarray:
@@ -253,38 +226,180 @@ def shingles(text: bytes | None, n: int = 5) -> np.ndarray:
     return np.sort(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], np.uint64).view(np.int64))
 
 
+def prefix_size(n: int, similarity: float) -> int:
+    """Two sets of ``similarity`` or more share a member among the first ``prefix_size`` of each, in any one order of all members."""
+    return max(0, min(n, n - math.ceil(similarity * n - EPS) + 1))
+
+
+def _common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that occur in two or more texts of a bounded sample, sorted, and in how many."""
+    rate = max(1, rows.count() // SAMPLE)
+
+    def run(batches):
+        for b in batches:
+            for t in b.column("text").cast(pa.binary()):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), shingle))], ["shingle"])
+
+    some = rows.where(F.pmod(F.xxhash64("uid"), F.lit(rate)) == 0).select("text").mapInArrow(run, "shingle long")
+    found = some.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    keys, n = found.column("shingle").to_numpy(), found.column("n").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def _prefixes(shingle: int, similarity: float, box):
+    """Of each text: the hash of its shingle set, the set's size and its prefix, rare shingles first."""
+
+    def run(batches):
+        common, n = box.value
+        for b in batches:
+            for at in range(0, b.num_rows, 100):
+                part = b.slice(at, 100)
+                nodes, sizes, firsts = [], [], []
+                for t in part.column("text").cast(pa.binary()):
+                    grams = shingles(t.as_py(), shingle)
+                    nodes.append(xxhash.xxh64_intdigest(grams.tobytes(), SEED))
+                    sizes.append(len(grams))
+                    if len(common):
+                        k = np.minimum(np.searchsorted(common, grams), len(common) - 1)
+                        grams = grams[np.argsort(np.where(common[k] == grams, n[k], 0), kind="stable")]
+                    firsts.append(grams[: prefix_size(len(grams), similarity)])
+                cols = [part.column("doc_id"), part.column("uid"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "uid", "node", "size", "prefix"])
+
+    return run
+
+
+def _members(small: int):
+    """From rows sorted by shingle and node: the nodes of each shingle that has several, in one list, or in lists of bounded size where they are a crowd."""
+
+    def lists(s, n, crowd):
+        new = np.concatenate(([True], (s[1:] != s[:-1]) | (n[1:] != n[:-1])))
+        s, n = s[new], n[new]
+        at = np.nonzero(np.concatenate(([True], s[1:] != s[:-1])))[0]
+        m = np.diff(np.append(at, len(s)))
+        big = (m * m > small) & (m > 1)
+        if crowd is not None:
+            big |= s[at] == crowd
+        keep = big | (m > 1)
+        offsets = np.concatenate(([0], np.cumsum(m[keep]))).astype(np.int32)
+        members = pa.ListArray.from_arrays(pa.array(offsets), pa.array(n[np.repeat(keep, m)]))
+        return pa.RecordBatch.from_arrays([pa.array(s[at][keep]), pa.array(big[keep]), members], ["shingle", "crowd", "members"])
+
+    def run(batches):
+        s, n, crowd = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            s = np.concatenate((s, b.column("shingle").to_numpy()))
+            n = np.concatenate((n, b.column("node").to_numpy()))
+            cut = int(np.searchsorted(s, s[-1]))
+            if cut:
+                yield lists(s[:cut], n[:cut], crowd)
+                s, n = s[cut:], n[cut:]
+            if len(s) > max(CHUNK, small):
+                crowd = int(s[0])
+                yield lists(s, n, crowd)
+                s, n = s[:0], n[:0]
+        if len(s):
+            yield lists(s, n, crowd)
+
+    return run
+
+
+def _pairs(batches):
+    """All pairs ``a < b`` of each list, with the number of shingles that have this list."""
+    for b in batches:
+        members, n = b.column("members"), b.column("n").to_numpy()
+        sizes, flat = members.value_lengths().to_numpy(), members.flatten().to_numpy()
+        ends = np.cumsum(sizes)
+        for m in np.unique(sizes).tolist():
+            which = np.nonzero(sizes == m)[0]
+            block = flat[(ends[which] - m)[:, None] + np.arange(m)[None, :]]
+            i, j = np.triu_indices(m, 1)
+            cols = [block[:, i].ravel(), block[:, j].ravel(), np.repeat(n[which], len(i))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "n"])
+
+
+def _across(similarity: float):
+    """Of two slices of a crowd: the pairs that are in different trees and whose sizes allow the similarity."""
+
+    def run(key, rows):
+        node, root, size, left = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("node", "root", "size", "left"))
+        i, j = np.nonzero(left)[0], np.nonzero(~left)[0]
+        j = i if key[1].as_py() == key[2].as_py() else j
+        a, b = [], []
+        step = max(1, (1 << 20) // max(1, len(j)))
+        for k in range(0, len(i), step):
+            x, y = i[k : k + step, None], j[None, :]
+            low, high = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+            p, q = np.nonzero((root[x] != root[y]) & (low >= similarity * high - EPS) & ((node[x] < node[y]) | (key[1].as_py() != key[2].as_py())))
+            a.append(node[i[k + p]])
+            b.append(node[j[q]])
+        a, b = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (a, b))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "n": np.ones(len(a), np.int64)})
+
+    return run
+
+
 def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", similarity: float = 0.8, shingle: int = 5, small: int = 256, slice_size: int = 2048) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, uid, first_id, first``; near copies by verified similarity.
 
-    Candidates are texts whose SimHashes over distinct words agree but for one bit in some half of some fingerprint
-    word (found at the anchors) and but for ``CHECK_RADIUS`` bits in a further word. Of each candidate pair the
-    Jaccard similarity of word n-grams is computed from the whole texts; pairs of ``similarity`` or more
-    link. ``first_id`` is the smallest id of the group and ``first`` is true for the one row that stands for it.
+    A node is a set of word n-grams; texts with equal sets are one. Candidates come from a prefix filter, which loses
+    nothing: put in one order, two sets of Jaccard ``similarity`` or more share one of the first fifth or so of their
+    shingles. The order puts shingles that are common in a sample last, so few texts meet by chance. Of a pair that met, the shared
+    shingles of both prefixes bound the similarity from above; what passes is compared by whole sets and links at
+    ``similarity`` or more.
+
+    Shingles whose members squared are more than ``small`` are crowds. First each of their members is compared with
+    the one that has most of its shingles in crowds and with its neighbour, then, in slices of ``slice_size``, all pairs of members that
+    are not in one tree yet: the pairs left out could only join what is joined.
 
-    ``uid`` is a hash of text and id. Empty texts form no group. Rows that repeat id and text are one node. Null ids
-    sort last. Words replaced at random down to a similarity of 0.8 are found with odds of about 0.97; a block of
-    text added or cut is found less often, see the README.
+    ``first_id`` is the smallest id of the group and ``first`` is true for the one row that stands for it.
+    ``uid`` is a hash of text and id. Empty texts form no group. Rows that repeat id and text are one. Null ids sort last.
     """
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity is above 0, at most 1")
     small_batches(docs.sparkSession)
+    context = docs.sparkSession.sparkContext
     uid = F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(id_col).cast("long"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), uid.alias("uid"), F.col(text).alias("text"))
-    names = [f"p{k}" for k in range(WORDS + 1)]
-
-    def prints(batches):
-        for b in batches:
-            p = np.stack([word_prints(t.as_py()) for t in b.column("text").cast(pa.binary())]) if b.num_rows else np.zeros((0, WORDS + 1), np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("uid"), *(pa.array(np.ascontiguousarray(p[:, k]).view(np.int64)) for k in range(WORDS + 1))], ["doc_id", "uid", *names])
-
-    found = materialize(rows.mapInArrow(prints, "doc_id long, uid long, " + ", ".join(f"{n} long" for n in names)), "similar-prints")
-    # Texts of equal fingerprints meet their first; other texts meet by their firsts.
-    distinct = materialize(found.groupBy(*names).agg(F.min("uid").alias("node")), "similar-distinct")
-    words = distinct.where(" or ".join(f"{n} <> 0" for n in names))
-    same = found.join(words, names).where("uid <> node").select(F.col("uid").alias("a"), F.col("node").alias("b"))
-    pairs = same.union(_met(words, names[:-1], names[-1], CHECK_RADIUS, small, slice_size, hubs=True))
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-pairs")
-
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "similar-wanted")
-    box = docs.sparkSession.sparkContext.broadcast(bloom(wanted))
+    common = context.broadcast(_common(rows, shingle))
+    found = materialize(rows.mapInArrow(_prefixes(shingle, similarity, common), "doc_id long, uid long, node long, size long, prefix array<long>"), "similar-prefixes")
+
+    entries = found.select(F.explode("prefix").alias("shingle"), "node").repartition("shingle").sortWithinPartitions("shingle", "node")
+    met = materialize(entries.mapInArrow(_members(small), "shingle long, crowd boolean, members array<long>"), "similar-met")
+    crowd = materialize(met.where("crowd").select("shingle", F.explode("members").alias("node")), "similar-crowd")
+    lists = met.where("not crowd").groupBy("members").agg(F.count("*").alias("n"))
+    few = materialize(lists.mapInArrow(_pairs, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "similar-few")
+    nodes = found.where("size > 0").groupBy("node").agg(F.min("uid").alias("uid"), F.first("size").alias("size"))
+    crowds = crowd.groupBy("node").agg(F.count("*").alias("crowds"))
+    nodes = materialize(nodes.join(crowds, "node", "left").fillna(0, ["crowds"]), "similar-nodes")
+
+    def able(pairs: DataFrame, unseen: bool) -> DataFrame:
+        """Pairs of which ``n`` shared shingles of the prefixes leave the similarity possible; ``unseen`` if those in crowds are not counted."""
+        for c in ("a", "b"):
+            pairs = pairs.join(nodes.select(F.col("node").alias(c), F.col("size").alias("s" + c), F.col("crowds").alias("c" + c)), c)
+        rest = lambda c: F.col(c) - F.greatest(F.lit(0), F.least(F.col(c), F.col(c) - F.ceil(similarity * F.col(c) - EPS) + 1))
+        most = F.col("n") + (F.least("ca", "cb") if unseen else 0) + F.greatest(rest("sa"), rest("sb"))
+        sizes = F.least("sa", "sb") >= similarity * F.greatest("sa", "sb") - EPS
+        return pairs.where(sizes & (most >= similarity / (1 + similarity) * (F.col("sa") + F.col("sb")) - EPS)).select("a", "b")
+
+    pairs = able(few, True)
+    crowded = crowd.limit(1).count() > 0
+    if crowded:
+        ranked = crowd.join(nodes, "node").select("shingle", F.struct((F.col("crowds") / F.col("size")).alias("share"), "node").alias("rank"))
+        hubs = ranked.groupBy("shingle").agg(F.max("rank").alias("hub"))
+        at_hub = crowd.join(hubs, "shingle").select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
+        chain = F.arrays_zip(F.expr("slice(members, 1, size(members) - 1)").alias("a"), F.expr("slice(members, 2, size(members) - 1)").alias("b"))
+        beside = met.where("crowd").select(F.explode(chain).alias("p")).select("p.a", "p.b")
+        both = at_hub.union(beside).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs.union(able(both.withColumn("n", F.lit(1 << 40)), False)).distinct()
+    pairs = materialize(pairs, "similar-pairs")
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowd.select("node")).distinct()
+    wanted = materialize(wanted.join(nodes, "node").select("node", "uid"), "similar-wanted")
+    box = context.broadcast(bloom(wanted))
     some = passing(rows.select("uid", "text").withColumns(bloom_bits()), box)
 
     def sets(batches):
@@ -298,15 +413,36 @@ def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array(grams, pa.list_(pa.int64()))], ["uid", "grams"])
 
     # A row that is there again in another task just gives a link twice.
-    texts = materialize(some.mapInArrow(sets, "uid long, grams array<long>").join(wanted, "uid"), "similar-sets")
-    both = pairs.join(texts.select(F.col("uid").alias("a"), F.col("grams").alias("x")), "a").join(texts.select(F.col("uid").alias("b"), F.col("grams").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    close = both.where(F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y"))).where(shared >= similarity * (F.size("x") + F.size("y") - shared))
-    trees = connected_components(close.select("a", "b"))
-    named = found.select("doc_id", "uid").join(trees.select(F.col("node").alias("uid"), "root"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    texts = materialize(some.mapInArrow(sets, "uid long, grams array<long>").join(wanted, "uid").select("node", "grams"), "similar-sets")
+
+    def close(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        return both.where(F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y"))).where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+    linked = materialize(close(pairs), "similar-links")
+    trees = connected_components(linked)
+    if crowded:
+        here = crowd.distinct().join(nodes.select("node", "size"), "node").join(trees, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        here = materialize(here.select("shingle", "node", "size", "root"), "similar-rooted")
+        open_ = here.groupBy("shingle").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        n = F.ceil(F.col("m") / slice_size).cast("int")
+        own = F.pmod(F.xxhash64("node"), n).cast("int")
+        slices = here.join(open_.select("shingle", "m"), "shingle").select("shingle", "node", "size", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
+        slices = slices.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "size", "root", (F.col("own") <= F.col("other")).alias("left"))
+        apart = slices.groupBy("shingle", "i", "j").applyInArrow(_across(similarity), "a long, b long, n long")
+        apart = apart.groupBy("a", "b").agg(F.sum("n").alias("n"), F.lit(True).alias("apart")).union(few.withColumn("apart", F.lit(False)))
+        apart = apart.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("apart").alias("apart")).where("apart").select("a", "b", "n")
+        left = materialize(able(apart, False).join(pairs, ["a", "b"], "left_anti"), "similar-apart")
+        more = materialize(close(left), "similar-more")
+        if more.limit(1).count():
+            trees = connected_components(linked.union(more))
+
+    root = F.when(F.col("size") > 0, F.coalesce("root", "node"))
+    named = found.select("doc_id", "uid", "node", "size").join(trees, "node", "left").select("doc_id", "uid", root.alias("root"))
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid")
     named = materialize(named, "similar-named")
-    first = named.join(trees.select(F.col("root").alias("r")).distinct(), F.col("root") == F.col("r"), "left_semi").groupBy("root").agg(F.min(order).alias("f"))
+    first = named.where("root is not null").groupBy("root").agg(F.min(order).alias("f"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     out = named.join(first, "root", "left")
     alone = F.col("f").isNull()
     return out.select("doc_id", "uid", F.when(alone, F.col("doc_id")).otherwise(F.col("f.doc_id")).alias("first_id"), (alone | (F.col("f.uid") == F.col("uid"))).alias("first"))

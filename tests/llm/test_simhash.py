@@ -170,3 +170,39 @@ def test_similar_groups_find_edited_copies_and_nothing_else(spark, small):
 
 def test_similar_groups_of_empty_table(spark):
     assert simhash.similar_groups(docs_of(spark, [])).count() == 0
+
+
+def groups_by_all_pairs(rows):
+    """The smallest id of each row's group, by the similarity of all pairs."""
+    grams = {i: set(simhash.shingles((t or "").encode()).tolist()) for i, t in rows}
+    root = {i: i for i in grams}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in grams:
+        for j in grams:
+            if i < j and grams[i] and 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j]) and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return {i: find(i) for i in grams}
+
+
+@pytest.mark.parametrize("small", [256, 2])
+def test_similar_groups_of_a_crowd_equal_all_pairs(spark, small):
+    """Copies at 0.8 or more to their original but not to each other, originals beside each other, in one crowd."""
+    rng = random.Random(5)
+    shared, rows = prose(rng, 150), []
+    for k in range(8):
+        words = shared + prose(rng, 60)
+        rows.append((len(rows) + 1000 * (k % 2), " ".join(words)))
+        for _ in range(12):
+            copy = list(words)
+            for at in rng.sample(range(len(words)), 4):
+                copy[at] = prose(rng, 1)[0] + "x"
+            rows.append((len(rows) + 1000 * (k % 2), " ".join(copy)))
+    want = groups_by_all_pairs(rows)
+    assert 8 <= len(set(want.values())) < 60
+    got = simhash.similar_groups(docs_of(spark, rows), small=small, slice_size=16).collect()
+    assert {r.doc_id: r.first_id for r in got} == want
