@@ -206,3 +206,17 @@ def test_similar_groups_of_a_crowd_equal_all_pairs(spark, small):
     assert 8 <= len(set(want.values())) < 60
     got = simhash.similar_groups(docs_of(spark, rows), small=small, slice_size=16).collect()
     assert {r.doc_id: r.first_id for r in got} == want
+
+
+def test_similar_groups_find_every_block_added(spark):
+    rng = random.Random(6)
+    rows = []
+    for k in range(240):
+        words = prose(rng, rng.randrange(100, 400))
+        most = int(len(words) * (0.1, 0.15, 0.2, 0.24)[k % 4])
+        block = ["n" + w for w in prose(rng, most)]
+        rows += [(k, " ".join(words)), (1000 + k, " ".join(block + words if k % 2 else words + block))]
+    copies = [k for k in range(240) if jaccard(rows[2 * k][1], rows[2 * k + 1][1]) >= 0.8]
+    got = {r.doc_id: r.first_id for r in simhash.similar_groups(docs_of(spark, rows)).collect()}
+    assert len(copies) > 200 and all(got[1000 + k] == k for k in copies)
+    assert got == groups_by_all_pairs(rows)
