@@ -220,3 +220,18 @@ def test_similar_groups_find_every_block_added(spark):
     got = {r.doc_id: r.first_id for r in simhash.similar_groups(docs_of(spark, rows)).collect()}
     assert len(copies) > 200 and all(got[1000 + k] == k for k in copies)
     assert got == groups_by_all_pairs(rows)
+
+
+@pytest.mark.parametrize("lead", range(4))
+def test_texts_of_the_same_words_keep_their_other_links(spark, lead):
+    """A has B's lines in another order; B' and C are near copies of B. None depends on which has the least hash."""
+    rng = random.Random(8 + lead)
+    lines = [" ".join(prose(rng, 4)) for _ in range(60)]
+    a, b = rng.sample(lines, 60), list(lines)
+    swapped, longer = " ".join(b).split(), " ".join(b) + " anew"
+    swapped[100] = next(w for w in swapped if swapped.count(w) > 1 and w != swapped[100])
+    texts = {1: " ".join(a), 2: " ".join(b), 3: " ".join(swapped), 4: longer}
+    rows = [*texts.items(), *((100 + n, " ".join(rng.sample(lines, 60))) for n in range(20))]
+    want = groups_by_all_pairs(rows)
+    assert want[2] == want[3] == want[4] == 2 and want[1] == 1
+    assert {r.doc_id: r.first_id for r in simhash.similar_groups(docs_of(spark, rows)).collect()} == want
