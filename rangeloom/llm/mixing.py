@@ -92,7 +92,7 @@ def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int]
     return out
 
 
-def mix(docs: DataFrame, members: Column | None = None, text: str = "text", id_col: str = "doc_id", weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = 0, max_patterns: int = 20_000, bucket_bits: int = 12) -> DataFrame:
+def mix(docs: DataFrame, members: Column | None = None, text: str = "text", id_col: str = "doc_id", weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = 0, max_patterns: int = 20_000, bucket_bits: int = 12, key: Column | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, pattern, size, source_size, target, taken``.
 
     ``members`` is an array of the sources a document belongs to (default: its one ``source``; null is a
@@ -104,12 +104,14 @@ def mix(docs: DataFrame, members: Column | None = None, text: str = "text", id_c
     come from sums over 2^``bucket_bits`` ranges of the hash; only the range at the edge is ordered.
 
     Null text has size 0 and takes 0. Repeated rows count each. An empty table gives no rows. ``source_size`` and
-    ``target`` are sums over the members for a document in several sources.
+    ``target`` are sums over the members for a document in several sources. ``key`` tells rows of one id apart: it
+    orders them and is a last column of the result.
     """
+    keys = [] if key is None else ["key"]
     if members is None:
         members = F.array(F.col("source"))
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.array_sort(F.array_distinct(members)).alias("pattern"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), order.alias("order"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.array_sort(F.array_distinct(members)).alias("pattern"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), order.alias("order"), *([] if key is None else [key.alias("key")]))
     rows = materialize(rows.withColumn("bucket", F.conv(F.substring("order", 1, 8), 16, 10).cast("long").bitwiseAND((1 << bucket_bits) - 1)), "mix-sizes")
     found = rows.groupBy("pattern").agg(F.sum("size").alias("words")).limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
@@ -134,10 +136,10 @@ def mix(docs: DataFrame, members: Column | None = None, text: str = "text", id_c
     edge = materialize(edge.select(F.col("pattern").alias("e"), F.col("bucket").alias("edge"), "before"), "mix-edges")  # a row per pattern at most
     rows = rows.join(plan, _same("pattern", "p")).drop("p").join(F.broadcast(edge), _same("pattern", "e"), "left").drop("e")
     whole = rows.where("edge is null or bucket <> edge").withColumn("part", F.when(F.col("bucket") < F.col("edge"), F.col("size")).otherwise(0))
-    ahead = F.sum("size").over(Window.partitionBy("pattern").orderBy("bucket", "order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = F.sum("size").over(Window.partitionBy("pattern").orderBy("bucket", "order", "doc_id", "size", *keys).rowsBetween(Window.unboundedPreceding, -1))
     cut = rows.where("bucket = edge").withColumn("ahead", F.col("before") + F.coalesce(ahead, F.lit(0)))
     cut = cut.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("ahead")))).drop("ahead")
-    return whole.union(cut.select(*whole.columns)).select("doc_id", "pattern", "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("part")).cast("long").alias("taken"))
+    return whole.union(cut.select(*whole.columns)).select("doc_id", "pattern", "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("part")).cast("long").alias("taken"), *keys)
 
 
 def _same(a: str, b: str) -> Column:
@@ -180,8 +182,26 @@ SELECT doc_id, size, source_size, target, (copies * size + greatest(0, least(siz
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last stage: the documents of the mix with what each gives: ``size, source_size, target, taken``; those that give nothing go."""
-    plan = mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "source_size", "target", "taken")
-    plan = plan.groupBy("_id", "_size").agg(F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.max("taken").alias("taken"))
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    left = docs.drop("size", "source_size", "target", "taken").withColumn("size", size)
-    return left.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("size") == F.col("_size"))).drop("_id", "_size")
+    on = {"_id": F.col("doc_id"), "_source": F.col("source"), "_size": F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long"), "_key": F.xxhash64("text")}
+    plan = mix(docs, key=on["_key"]).select(F.col("doc_id").alias("_id"), F.col("pattern")[0].alias("_source"), F.col("size").alias("_size"), F.col("key").alias("_key"), "source_size", "target", "taken")
+    plan = materialize(plan, "mix-plan")
+    alike = plan.groupBy(*on).agg(F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.min("taken").alias("low"), F.max("taken").alias("taken"))
+    alike = materialize(alike.where("taken > 0"), "mix-alike")
+    left = docs.drop("size", "source_size", "target", "taken").withColumns(on).withColumn("size", F.col("_size"))
+
+    def matched(rows: DataFrame, to: DataFrame, names: list[str]) -> DataFrame:
+        to = to.withColumnsRenamed({n: n + "r" for n in names})
+        met = F.lit(True)
+        for n in names:
+            met &= F.col(n).eqNullSafe(F.col(n + "r"))
+        return rows.join(to, met).drop(*(n + "r" for n in names))
+
+    out = matched(left, alike.where("low = taken").drop("low"), list(on)).drop(*on)
+    uneven = alike.where("low <> taken").select(*on)
+    if not uneven.limit(1).count():
+        return out
+    # Rows alike in all of this of which the mix takes unequal parts, at the edge: they are numbered and dealt out one by one.
+    nth = F.row_number().over(Window.partitionBy(*on).orderBy(F.desc("taken")))
+    parts = matched(plan, uneven, list(on)).withColumn("_nth", nth).where("taken > 0")
+    rest = matched(left, uneven, list(on)).withColumn("_nth", F.row_number().over(Window.partitionBy(*on).orderBy("size")))
+    return out.union(matched(rest, parts, [*on, "_nth"]).drop(*on, "_nth").select(*out.columns))

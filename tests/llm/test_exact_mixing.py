@@ -93,3 +93,15 @@ def test_mix_empty_and_overlapping(spark):
     assert all(r.taken <= 20 for r in got)
     out = mixing.mixing_stage(spark, docs_of(spark, rows), "")
     assert {"taken", "size", "target", "source_size", "text", "source"} <= set(out.columns) and out.count() == sum(1 for r in mixing.mix(docs_of(spark, rows)).collect() if r.taken)
+
+
+def test_mixing_stage_tells_rows_of_one_id_apart(spark):
+    rows = [(7 if i % 2 else None, f"w{i % 12} of four words"[: -1 - i % 3], None, f"s{i % 4}", 0) for i in range(96)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = mixing.mix(docs).where("taken > 0").collect()
+    got = mixing.mixing_stage(spark, docs, "").collect()
+    assert sorted((str(r.doc_id), str(r.pattern[0]), r.size, r.taken) for r in want) == sorted((str(r.doc_id), str(r.source), r.size, r.taken) for r in got)
+    total, target = {}, {r.source: r.target for r in got}
+    for r in got:
+        total[r.source] = total.get(r.source, 0) + r.taken
+    assert total == {s: int(t + 0.5) for s, t in target.items()}
