@@ -52,8 +52,8 @@ def ngrams(words: list[bytes], n: int = NGRAM) -> set[tuple]:
 
 
 class Index:
-    def __init__(self, items: list[tuple[int, str | None]], threshold: float = THRESHOLD, slack: float = 0.3):
-        items = sorted((i, t or "") for i, t in items)
+    def __init__(self, items: list[tuple[int | None, str | None]], threshold: float = THRESHOLD, slack: float = 0.3):
+        items = sorted(((i, t or "") for i, t in items), key=lambda p: (p[0] is None, p[0] or 0, p[1]))
         bags = [tokens(t) for _, t in items]
         rows = [k for k, b in enumerate(bags) if b]
         self.ids = [items[k][0] for k in rows]
@@ -216,12 +216,12 @@ class Index:
 
 def indexes(benchmark: DataFrame, threshold: float = THRESHOLD, max_bytes: int = 8 << 20) -> list[Index]:
     """Indexes over slices of the items, each of about ``max_bytes`` of text: what is broadcast at once stays bounded."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null")
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(1, -(-total // max_bytes))
     out = []
     for k in range(slices):
-        part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k).collect()
+        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).collect()
         out.append(Index([(r.item_id, r.text) for r in part], threshold))
     return out
 
@@ -235,7 +235,7 @@ def _batches(batch, column, step=250):
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """A row for each document and test item it contains: ``doc_id, item_id, at_word, score, question_overlap, answer_overlap``.
 
-    Null or empty texts and items without a word match nothing. Repeated documents and items
+    Null or empty texts and items without a word match nothing. An item without an id counts like any other and is reported with a null ``item_id``. Repeated documents and items
     each have their rows. Documents aren't shuffled; the index is broadcast, in slices of bounded size.
     """
     small_batches(docs.sparkSession)

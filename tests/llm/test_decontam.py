@@ -89,3 +89,11 @@ def test_empty_tables_and_stage(spark, tmp_path):
     docs = docs_of(spark, [(1, "clean words"), (2, "so " + items[0][1]), (3, None), (3, None)])
     out = decontam.decontamination_stage(spark, docs, str(tmp_path))
     assert sorted(r.doc_id for r in out.collect()) == [1, 3, 3] and out.columns == docs.columns
+
+
+def test_items_without_an_id_count(spark):
+    rng = random.Random(31)
+    text = [" ".join("".join(rng.choice("pqrstuvw") for _ in range(6)) for _ in range(30)) for _ in range(3)]
+    items = spark.createDataFrame([(1, text[0]), (None, text[1]), (None, text[2])], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"before it {t} after it") for k, t in enumerate(text)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()} == {(0, 1), (1, None), (2, None)}
