@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import materialize, small_batches, table
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -52,7 +52,8 @@ def ngrams(words: list[bytes], n: int = NGRAM) -> set[tuple]:
 
 
 class Index:
-    def __init__(self, items: list[tuple[int | None, str | None]], threshold: float = THRESHOLD, slack: float = 0.3):
+    def __init__(self, items: list[tuple[int | None, str | None]], threshold: float = THRESHOLD, slack: float = 0.3, whole: tuple[int, int, int, dict[bytes, int]] | None = None):
+        """``whole``: number of items, their words, the longest one's words and the items of each term, where these are a slice of more items."""
         items = sorted(((i, t or "") for i, t in items), key=lambda p: (p[0] is None, p[0] or 0, p[1]))
         bags = [tokens(t) for _, t in items]
         rows = [k for k, b in enumerate(bags) if b]
@@ -60,11 +61,11 @@ class Index:
         self.bags = [bags[k] for k in rows]
         self.parts = [parts(bags[k], items[k][1]) for k in rows]
         self.threshold = threshold
-        self.step = max([32, *map(len, self.bags)])
-        n = len(rows)
-        df = Counter(t for b in self.bags for t in set(b))
-        self.terms = {t: k for k, t in enumerate(sorted(df))}
-        mean = sum(map(len, self.bags)) / max(n, 1)
+        sizes = list(map(len, self.bags))
+        n, total, longest, df = whole or (len(rows), sum(sizes), max(sizes, default=0), Counter(t for b in self.bags for t in set(b)))
+        self.step = max(32, longest)
+        self.terms = {t: k for k, t in enumerate(sorted({t for b in self.bags for t in b}))}
+        mean = total / max(n, 1)
         postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         heavy: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         for i, b in enumerate(self.bags):
@@ -214,15 +215,36 @@ class Index:
         return out
 
 
+def _item_terms(batches):
+    """Each item's different terms, with the item's number of words at the first of them and 0 at the others."""
+    for b in batches:
+        for k, text in zip(b.column("slice").to_pylist(), b.column("text").to_pylist(), strict=True):
+            if bag := tokens(text):
+                terms = sorted(set(bag))
+                words = [len(bag)] + [0] * (len(terms) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(terms), pa.int32()), pa.array(terms, pa.binary()), pa.array(words, pa.int64())], ["slice", "term", "words"])
+
+
 def indexes(benchmark: DataFrame, threshold: float = THRESHOLD, max_bytes: int = 8 << 20) -> list[Index]:
-    """Indexes over slices of the items, each of about ``max_bytes`` of text: what is broadcast at once stays bounded."""
+    """Indexes over slices of the items, each of about ``max_bytes`` of text: what is broadcast at once stays bounded.
+
+    Statistics are those of all items, whatever the slices: each gets the document frequencies of its own terms.
+    """
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(1, -(-total // max_bytes))
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)).cast("int"))
+    if slices > 1:
+        terms = materialize(rows.mapInArrow(_item_terms, "slice int, term binary, words long"), "decontam-terms")
+        sums = terms.agg(F.count_if(F.col("words") > 0), F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.max("words"), F.lit(0))).first()
+        df = materialize(terms.groupBy("term").agg(F.count("*").alias("n")), "decontam-df")
     out = []
     for k in range(slices):
-        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).collect()
-        out.append(Index([(r.item_id, r.text) for r in part], threshold))
+        part, whole = rows.where(F.col("slice") == k).collect(), None
+        if slices > 1:
+            found = df.join(terms.where(F.col("slice") == k).select("term").distinct(), "term").toArrow()
+            whole = (*sums, dict(zip(found.column("term").to_pylist(), found.column("n").to_pylist(), strict=True)))
+        out.append(Index([(r.item_id, r.text) for r in part], threshold, whole=whole))
     return out
 
 

@@ -97,3 +97,15 @@ def test_items_without_an_id_count(spark):
     items = spark.createDataFrame([(1, text[0]), (None, text[1]), (None, text[2])], "item_id long, text string")
     docs = spark.createDataFrame([(k, f"before it {t} after it") for k, t in enumerate(text)], "doc_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()} == {(0, 1), (1, None), (2, None)}
+
+
+def test_scores_do_not_depend_on_slices(spark):
+    rng = random.Random(32)
+    rows = [(i, " ".join(words(rng, rng.choice([12, 30, 70])))) for i in range(40)]
+    (one,), many = decontam.indexes(items_of(spark, rows)), decontam.indexes(items_of(spark, rows), max_bytes=1000)
+    assert len(many) > 3 and {x.step for x in many} == {one.step}
+
+    def impacts(index):
+        return {(index.ids[i], t): round(x, 12) for t, k in index.terms.items() for i, x in zip(*index.lists[k][:2], strict=True)}
+
+    assert {k: v for x in many for k, v in impacts(x).items()} == impacts(one)
