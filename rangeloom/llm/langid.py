@@ -150,7 +150,8 @@ def parser_of(texts: dict[str, str]) -> Parser:
 def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, docs_per_lang: int = 150, chars_per_lang: int = 40_000, max_langs: int = 200) -> dict[str, str]:
     """Labelled text per language: pieces of ``docs_per_lang`` documents, first by hash of the id, ``chars_per_lang`` letters in all.
 
-    These bounds are for fitting only. A language with a single document is learned from that one.
+    A piece has 4 * ``chars_per_lang`` / ``docs_per_lang`` characters from a place in the text that a hash of the id gives, so that
+    shared headers aren't what is learned. These bounds are for fitting only; over ``max_langs`` languages it raises. A language with a single document is learned from that one.
     """
     ids = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), folds) != held_out)).select("doc_id", "lang")
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
@@ -159,8 +160,9 @@ def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, docs_per_lang: int =
         raise ValueError(f"over {max_langs} languages")
     piece = 4 * chars_per_lang // docs_per_lang
     rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(ids), (docs.doc_id.eqNullSafe(ids.doc_id)) & (docs.lang == ids.lang), "left_semi")
+    start = (F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.greatest(F.length("text") - piece, F.lit(0)) + 1) + 1).cast("int")
     out: dict[str, str] = {}
-    for r in sorted(rows.select("doc_id", "lang", F.substring("text", 1, piece).alias("t")).collect(), key=lambda r: (r.lang, r.doc_id or -1, r.t)):
+    for r in sorted(rows.select("doc_id", "lang", F.substring(F.col("text"), start, F.lit(piece)).alias("t")).collect(), key=lambda r: (r.lang, r.doc_id or -1, r.t)):
         had = out.get(r.lang, "")
         out[r.lang] = had + r.t + " " if len(had) < chars_per_lang else had
     return {k: v[:chars_per_lang] for k, v in out.items() if len(letters(v))}

@@ -202,3 +202,9 @@ def test_stage_drops_toxic_rows_only(spark, tmp_path, data):
     kept, want = {r.doc_id for r in out.collect()}, {i: t for i, _, t in labels}
     assert out.columns == docs.columns and 9_999 in kept
     assert np.mean([(i not in kept) == bool(t) for i, t in want.items()]) > 0.97
+
+
+def test_language_pieces_come_from_anywhere_in_the_texts(spark):
+    docs = spark.createDataFrame([(i, "header " * 200 + "body " * 800, "xx") for i in range(40)], "doc_id long, text string, lang string")
+    text = langid.fit(docs)["xx"]
+    assert text.count("body") > text.count("header") > 0
