@@ -28,6 +28,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def unused(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """A helper column's name for each of ``names`` that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        n = 0
+        while (found := f"_{name}_{n}") in taken:
+            n += 1
+        out.append(found)
+    return tuple(out)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a DataFrame that ``materialize`` made."""
     if path := getattr(df, "_stored_at", None):

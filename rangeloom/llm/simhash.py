@@ -18,10 +18,11 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import bloom, bloom_bits, connected_components, materialize, passing, scratch, small_batches, spread, table
+from .common import bloom, bloom_bits, connected_components, materialize, passing, scratch, small_batches, spread, table, unused
 
 SEED = 42
 BLOCK = 1 << 15
@@ -211,8 +212,10 @@ def op1_simhash(spark, sf_dir):
 #: Texts from which common shingles are learned, and the most of these that are kept. They set costs, never results.
 SAMPLE = 20_000
 COMMON = 1 << 18
-#: Members of a crowded shingle that are held at once.
+#: Members of a shingle that are held at once.
 CHUNK = 4096
+#: Bits of a set's parity sketch.
+SKETCH = 1024
 #: Room for rounding in bounds on similarity.
 EPS = 1e-6
 
@@ -231,6 +234,12 @@ def prefix_size(n: int, similarity: float) -> int:
     return max(0, min(n, n - math.ceil(similarity * n - EPS) + 1))
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """For each of SKETCH cells, whether an odd number of members falls there: two sketches differ in no more bits than the sets have members apart."""
+    cells = np.bincount(grams.view(np.uint64) >> np.uint64(64 - SKETCH.bit_length() + 1), minlength=SKETCH)
+    return np.packbits(cells & 1).tobytes()
+
+
 def _common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that occur in two or more texts of a bounded sample, sorted, and in how many."""
     rate = max(1, rows.count() // SAMPLE)
@@ -247,113 +256,132 @@ def _common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], n[order]
 
 
-def _prefixes(shingle: int, similarity: float, box):
-    """Of each text: the hash of its shingle set, the set's size and its prefix, rare shingles first."""
+def _prefixes(shingle: int, similarity: float, hot: int, box):
+    """Of each text: the hash of its shingle set, the set's size, sketch and prefix, rare shingles first, and how much of the prefix is before the hot ones."""
 
     def run(batches):
         common, n = box.value
         for b in batches:
             for at in range(0, b.num_rows, 100):
                 part = b.slice(at, 100)
-                nodes, sizes, firsts = [], [], []
+                nodes, sizes, cold, firsts, bits = [], [], [], [], []
                 for t in part.column("text").cast(pa.binary()):
                     grams = shingles(t.as_py(), shingle)
                     nodes.append(xxhash.xxh64_intdigest(grams.tobytes(), SEED))
                     sizes.append(len(grams))
+                    bits.append(sketch(grams))
+                    known = np.zeros(len(grams), np.int64)
                     if len(common):
                         k = np.minimum(np.searchsorted(common, grams), len(common) - 1)
-                        grams = grams[np.argsort(np.where(common[k] == grams, n[k], 0), kind="stable")]
-                    firsts.append(grams[: prefix_size(len(grams), similarity)])
-                cols = [part.column("doc_id"), part.column("uid"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "uid", "node", "size", "prefix"])
+                        known = np.where(common[k] == grams, n[k], 0)
+                    order = np.argsort(known, kind="stable")[: prefix_size(len(grams), similarity)]
+                    firsts.append(grams[order])
+                    cold.append(int((known[order] < hot).sum()))
+                cols = [part.column("doc_id"), part.column("uid"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(cold, pa.int32()), pa.array(bits, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "uid", "node", "size", "cold", "bits", "prefix"])
 
     return run
 
 
-def _members(small: int):
-    """From rows sorted by shingle and node: the nodes of each shingle that has several, in one list, or in lists of bounded size where they are a crowd."""
+def _possible(size_a, rest_a, size_b, rest_b, similarity: float):
+    """Whether sets of these sizes can reach the similarity if they share nothing before a shingle from which on ``rest`` members are left. Numpy or columns."""
+    low, high = (F.least, F.greatest) if isinstance(size_a, Column) else (np.minimum, np.maximum)
+    return (low(size_a, size_b) >= similarity * high(size_a, size_b) - EPS) & (low(rest_a, rest_b) >= similarity / (1 + similarity) * (size_a + size_b) - EPS)
+
 
-    def lists(s, n, crowd):
-        new = np.concatenate(([True], (s[1:] != s[:-1]) | (n[1:] != n[:-1])))
-        s, n = s[new], n[new]
+def _candidates(similarity: float, per_member: int):
+    """From rows sorted by shingle and node: a shingle's pairs that its members' sizes and places allow, up to ``per_member`` for each member, or else its rows.
+
+    Pairs are ``(null, a, b, 0, 0)``; rows of a crowd are ``(shingle, node, null, size, rest)``, those that no other member allows left out.
+    """
+    columns = ["shingle", "a", "b", "size", "rest"]
+
+    def pairs(a, b):
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        zero = pa.array(np.zeros(len(a), np.int32))
+        return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b), zero, zero], columns)
+
+    def rows(s, node, size, rest):
+        return pa.RecordBatch.from_arrays([pa.array(s), pa.array(node), pa.nulls(len(s), pa.int64()), pa.array(size), pa.array(rest)], columns)
+
+    def many(s, node, size, rest):
+        """One shingle of many members, a block of them at a time."""
+        a, b, seen, n, m = [], [], np.zeros(len(node), bool), 0, len(node)
+        step = max(1, (1 << 20) // m)
+        for k in range(0, m, step):
+            i, j = np.nonzero(_possible(size[k : k + step, None], rest[k : k + step, None], size[None, :], rest[None, :], similarity))
+            i += k
+            i, j = i[i < j], j[i < j]
+            seen[i] = seen[j] = True
+            n += len(i)
+            if n <= per_member * m:
+                a.append(node[i])
+                b.append(node[j])
+        if n <= per_member * m:
+            return pairs(np.concatenate(a), np.concatenate(b))
+        return rows(s[seen], node[seen], size[seen], rest[seen])
+
+    def lists(s, node, size, rest):
+        """Whole shingles."""
+        new = np.concatenate(([True], (s[1:] != s[:-1]) | (node[1:] != node[:-1])))
+        s, node, size, rest = s[new], node[new], size[new], rest[new]
         at = np.nonzero(np.concatenate(([True], s[1:] != s[:-1])))[0]
-        m = np.diff(np.append(at, len(s)))
-        big = (m * m > small) & (m > 1)
-        if crowd is not None:
-            big |= s[at] == crowd
-        keep = big | (m > 1)
-        offsets = np.concatenate(([0], np.cumsum(m[keep]))).astype(np.int32)
-        members = pa.ListArray.from_arrays(pa.array(offsets), pa.array(n[np.repeat(keep, m)]))
-        return pa.RecordBatch.from_arrays([pa.array(s[at][keep]), pa.array(big[keep]), members], ["shingle", "crowd", "members"])
+        sizes = np.diff(np.append(at, len(s)))
+        for m in np.unique(sizes[sizes > 1]).tolist():
+            which = at[sizes == m]
+            if m > 2 * per_member + 1:  # fewer can't give more than that
+                for k in which.tolist():
+                    yield many(*(c[k : k + m] for c in (s, node, size, rest)))
+                continue
+            block = which[:, None] + np.arange(m)[None, :]
+            i, j = np.triu_indices(m, 1)
+            x, y = block[:, i], block[:, j]
+            ok = _possible(size[x], rest[x], size[y], rest[y], similarity)
+            yield pairs(node[x[ok]], node[y[ok]])
 
     def run(batches):
-        s, n, crowd = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        held, crowd = None, None
         for b in batches:
             if not b.num_rows:
                 continue
-            s = np.concatenate((s, b.column("shingle").to_numpy()))
-            n = np.concatenate((n, b.column("node").to_numpy()))
+            got = [b.column(c).to_numpy() for c in ("shingle", "node", "size", "rest")]
+            held = got if held is None else [np.concatenate(c) for c in zip(held, got, strict=True)]
+            s = held[0]
             cut = int(np.searchsorted(s, s[-1]))
             if cut:
-                yield lists(s[:cut], n[:cut], crowd)
-                s, n = s[cut:], n[cut:]
-            if len(s) > max(CHUNK, small):
-                crowd = int(s[0])
-                yield lists(s, n, crowd)
-                s, n = s[:0], n[:0]
-        if len(s):
-            yield lists(s, n, crowd)
+                start = 0
+                if crowd is not None:  # the end of a shingle that was too long to hold
+                    start = int(np.searchsorted(s, crowd, side="right"))
+                    yield rows(*(c[:start] for c in held))
+                    crowd = None
+                if cut > start:
+                    yield from lists(*(c[start:cut] for c in held))
+                held = [c[cut:] for c in held]
+            if len(held[0]) > CHUNK:
+                crowd = int(held[0][0])
+                yield rows(*held)
+                held = [c[:0] for c in held]
+        if held is not None and len(held[0]):
+            yield from [rows(*held)] if crowd == int(held[0][0]) else lists(*held)
 
     return run
 
 
-def _pairs(batches):
-    """All pairs ``a < b`` of each list, with the number of shingles that have this list."""
-    for b in batches:
-        members, n = b.column("members"), b.column("n").to_numpy()
-        sizes, flat = members.value_lengths().to_numpy(), members.flatten().to_numpy()
-        ends = np.cumsum(sizes)
-        for m in np.unique(sizes).tolist():
-            which = np.nonzero(sizes == m)[0]
-            block = flat[(ends[which] - m)[:, None] + np.arange(m)[None, :]]
-            i, j = np.triu_indices(m, 1)
-            cols = [block[:, i].ravel(), block[:, j].ravel(), np.repeat(n[which], len(i))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "n"])
-
-
-def _across(similarity: float):
-    """Of two slices of a crowd: the pairs that are in different trees and whose sizes allow the similarity."""
-
-    def run(key, rows):
-        node, root, size, left = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("node", "root", "size", "left"))
-        i, j = np.nonzero(left)[0], np.nonzero(~left)[0]
-        j = i if key[1].as_py() == key[2].as_py() else j
-        a, b = [], []
-        step = max(1, (1 << 20) // max(1, len(j)))
-        for k in range(0, len(i), step):
-            x, y = i[k : k + step, None], j[None, :]
-            low, high = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
-            p, q = np.nonzero((root[x] != root[y]) & (low >= similarity * high - EPS) & ((node[x] < node[y]) | (key[1].as_py() != key[2].as_py())))
-            a.append(node[i[k + p]])
-            b.append(node[j[q]])
-        a, b = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (a, b))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "n": np.ones(len(a), np.int64)})
-
-    return run
-
-
-def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", similarity: float = 0.8, shingle: int = 5, small: int = 256, slice_size: int = 2048) -> DataFrame:
+def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", similarity: float = 0.8, shingle: int = 5, hot: int = 64, hot_again: int = 1024, per_member: int = 8, pivots: int = 16) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, uid, first_id, first``; near copies by verified similarity.
 
     A node is a set of word n-grams; texts with equal sets are one. Candidates come from a prefix filter, which loses
     nothing: put in one order, two sets of Jaccard ``similarity`` or more share one of the first fifth or so of their
-    shingles. The order puts shingles that are common in a sample last, so few texts meet by chance. Of a pair that met, the shared
-    shingles of both prefixes bound the similarity from above; what passes is compared by whole sets and links at
-    ``similarity`` or more.
+    shingles, and at the first one that they share, enough of both is left. Pairs that pass have their parity
+    sketches compared, which bounds how far the sets are apart, then the whole sets, and link at ``similarity`` or more.
 
-    Shingles whose members squared are more than ``small`` are crowds. First each of their members is compared with
-    the one that has most of its shingles in crowds and with its neighbour, then, in slices of ``slice_size``, all pairs of members that
-    are not in one tree yet: the pairs left out could only join what is joined.
+    1. The order puts shingles that are common in a sample last. A shingle gives at most ``per_member`` pairs for each
+       of its members; one that would give more, or is in ``hot`` texts of the sample, is a crowd.
+    2. Texts of crowds are searched again by themselves, with their shingles ordered by exact counts among them; those
+       in over ``hot_again`` of them are crowds from the start.
+    3. In crowds that are left, mostly families of near copies, each member is compared with the member that has the
+       most shared shingles, then those outside the largest tree with ``pivots`` members of it, then these with all
+       members of other trees. Pairs left out could only join what is joined.
 
     ``first_id`` is the smallest id of the group and ``first`` is true for the one row that stands for it.
     ``uid`` is a hash of text and id. Empty texts form no group. Rows that repeat id and text are one. Null ids sort last.
@@ -365,39 +393,50 @@ def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     uid = F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(id_col).cast("long"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), uid.alias("uid"), F.col(text).alias("text"))
     common = context.broadcast(_common(rows, shingle))
-    found = materialize(rows.mapInArrow(_prefixes(shingle, similarity, common), "doc_id long, uid long, node long, size long, prefix array<long>"), "similar-prefixes")
-
-    entries = found.select(F.explode("prefix").alias("shingle"), "node").repartition("shingle").sortWithinPartitions("shingle", "node")
-    met = materialize(entries.mapInArrow(_members(small), "shingle long, crowd boolean, members array<long>"), "similar-met")
-    crowd = materialize(met.where("crowd").select("shingle", F.explode("members").alias("node")), "similar-crowd")
-    lists = met.where("not crowd").groupBy("members").agg(F.count("*").alias("n"))
-    few = materialize(lists.mapInArrow(_pairs, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "similar-few")
-    nodes = found.where("size > 0").groupBy("node").agg(F.min("uid").alias("uid"), F.first("size").alias("size"))
-    crowds = crowd.groupBy("node").agg(F.count("*").alias("crowds"))
-    nodes = materialize(nodes.join(crowds, "node", "left").fillna(0, ["crowds"]), "similar-nodes")
-
-    def able(pairs: DataFrame, unseen: bool) -> DataFrame:
-        """Pairs of which ``n`` shared shingles of the prefixes leave the similarity possible; ``unseen`` if those in crowds are not counted."""
-        for c in ("a", "b"):
-            pairs = pairs.join(nodes.select(F.col("node").alias(c), F.col("size").alias("s" + c), F.col("crowds").alias("c" + c)), c)
-        rest = lambda c: F.col(c) - F.greatest(F.lit(0), F.least(F.col(c), F.col(c) - F.ceil(similarity * F.col(c) - EPS) + 1))
-        most = F.col("n") + (F.least("ca", "cb") if unseen else 0) + F.greatest(rest("sa"), rest("sb"))
-        sizes = F.least("sa", "sb") >= similarity * F.greatest("sa", "sb") - EPS
-        return pairs.where(sizes & (most >= similarity / (1 + similarity) * (F.col("sa") + F.col("sb")) - EPS)).select("a", "b")
-
-    pairs = able(few, True)
-    crowded = crowd.limit(1).count() > 0
-    if crowded:
-        ranked = crowd.join(nodes, "node").select("shingle", F.struct((F.col("crowds") / F.col("size")).alias("share"), "node").alias("rank"))
-        hubs = ranked.groupBy("shingle").agg(F.max("rank").alias("hub"))
-        at_hub = crowd.join(hubs, "shingle").select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
-        chain = F.arrays_zip(F.expr("slice(members, 1, size(members) - 1)").alias("a"), F.expr("slice(members, 2, size(members) - 1)").alias("b"))
-        beside = met.where("crowd").select(F.explode(chain).alias("p")).select("p.a", "p.b")
-        both = at_hub.union(beside).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = pairs.union(able(both.withColumn("n", F.lit(1 << 40)), False)).distinct()
-    pairs = materialize(pairs, "similar-pairs")
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowd.select("node")).distinct()
+    found = rows.mapInArrow(_prefixes(shingle, similarity, hot, common), "doc_id long, uid long, node long, size int, cold int, bits binary, prefix array<long>")
+    found = materialize(found, "similar-prefixes")
+    nodes = found.where("size > 0").groupBy("node").agg(F.min("uid").alias("uid"), F.min("size").alias("size"), F.first("bits").alias("bits"))
+    nodes = materialize(nodes, "similar-nodes")
+    others = found.where("size > 0").select("node", "uid").join(nodes.select("node", F.col("uid").alias("first")), "node").where("uid <> first").select("uid").distinct()
+    sole = found.where("size > 0").join(materialize(others, "similar-others"), "uid", "left_anti")
+
+    def searched(entries: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Pairs and crowds of ``shingle, node, size, rest``."""
+        entries = entries.repartition("shingle").sortWithinPartitions("shingle", "node")
+        met = materialize(entries.mapInArrow(_candidates(similarity, per_member), "shingle long, a long, b long, size int, rest int"), name)
+        return met.where("shingle is null").select("a", "b"), met.where("shingle is not null").select("shingle", F.col("a").alias("node"), "size", "rest")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """Pairs whose sketches leave the similarity possible, each once."""
+
+        def run(batches):
+            for b in batches:
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, SKETCH // 64) for c in ("x", "y"))
+                total = b.column("m").to_numpy() + b.column("n").to_numpy()
+                apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                yield b.select(["a", "b"]).filter(pa.array(apart <= total * (1 - similarity) / (1 + similarity) + EPS))
+
+        pairs = pairs.distinct()
+        for c, x, n in (("a", "x", "m"), ("b", "y", "n")):
+            pairs = pairs.join(nodes.select(F.col("node").alias(c), F.col("bits").alias(x), F.col("size").alias(n)), c)
+        return pairs.mapInArrow(run, "a long, b long")
+
+    def side(c: str) -> list[Column]:
+        return [F.col(x).alias(x + c) for x in ("node", "size", "rest")]
+
+    def paired(met: DataFrame) -> DataFrame:
+        """Of rows with two members' ``node, size, rest`` (and an a or b after): the pairs that are possible."""
+        ok = _possible(F.col("sizea"), F.col("resta"), F.col("sizeb"), F.col("restb"), similarity)
+        return met.where((F.col("nodea") != F.col("nodeb")) & ok).select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b"))
+
+    begins = F.posexplode(F.slice("prefix", 1, F.col("cold"))).alias("pos", "shingle")
+    entries = sole.select("node", "size", begins).select("shingle", "node", "size", (F.col("size") - F.col("pos")).cast("int").alias("rest"))
+    pairs, crowd = searched(entries, "similar-met")
+    pairs = materialize(near(pairs), "similar-pairs")
+    again = crowd.select("node").union(sole.where("cold < size(prefix)").select("node")).distinct()
+    again = materialize(again, "similar-again")
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(again).distinct()
     wanted = materialize(wanted.join(nodes, "node").select("node", "uid"), "similar-wanted")
     box = context.broadcast(bloom(wanted))
     some = passing(rows.select("uid", "text").withColumns(bloom_bits()), box)
@@ -418,25 +457,47 @@ def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     def close(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y"))
-        return both.where(F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y"))).where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+        return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared) - EPS).select("a", "b")
+
+    crowded = again.limit(1).count() > 0
+    if crowded:
+        members = texts.join(again, "node").dropDuplicates(["node"]).select("node", F.size("grams").alias("size"), F.explode("grams").alias("shingle"))
+        counts = materialize(members.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "similar-counts")
+        ranked = members.join(counts, "shingle").groupBy("node").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("l"))
+        ranked = ranked.select("node", "size", F.size("l").alias("shared"), F.posexplode("l").alias("pos", "e"))
+        ranked = ranked.select("e.shingle", "e.n", "node", "size", (F.col("shared") - F.col("pos")).cast("int").alias("rest"))
+        ranked = materialize(ranked.where(F.col("rest") >= F.ceil(similarity * F.col("size") - EPS)), "similar-ranked")
+        more, crowd = searched(ranked.where(F.col("n") <= hot_again).drop("n"), "similar-met-again")
+        crowd = materialize(crowd.union(ranked.where(F.col("n") > hot_again).drop("n")), "similar-crowd")
+        crowded = crowd.limit(1).count() > 0
+        hubs = crowd.groupBy("shingle").agg(F.max(F.struct((F.col("rest") / F.col("size")).alias("share"), "node", "size", "rest")).alias("hub"))
+        hubs = hubs.select("shingle", F.col("hub.node").alias("nodeb"), F.col("hub.size").alias("sizeb"), F.col("hub.rest").alias("restb"))
+        at_hub = paired(crowd.select("shingle", *side("a")).join(hubs, "shingle"))
+        pairs = materialize(pairs.union(near(more.union(at_hub))).distinct(), "similar-pairs-again")
 
     linked = materialize(close(pairs), "similar-links")
     trees = connected_components(linked)
-    if crowded:
-        here = crowd.distinct().join(nodes.select("node", "size"), "node").join(trees, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        here = materialize(here.select("shingle", "node", "size", "root"), "similar-rooted")
-        open_ = here.groupBy("shingle").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        n = F.ceil(F.col("m") / slice_size).cast("int")
-        own = F.pmod(F.xxhash64("node"), n).cast("int")
-        slices = here.join(open_.select("shingle", "m"), "shingle").select("shingle", "node", "size", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
-        slices = slices.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "size", "root", (F.col("own") <= F.col("other")).alias("left"))
-        apart = slices.groupBy("shingle", "i", "j").applyInArrow(_across(similarity), "a long, b long, n long")
-        apart = apart.groupBy("a", "b").agg(F.sum("n").alias("n"), F.lit(True).alias("apart")).union(few.withColumn("apart", F.lit(False)))
-        apart = apart.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("apart").alias("apart")).where("apart").select("a", "b", "n")
-        left = materialize(able(apart, False).join(pairs, ["a", "b"], "left_anti"), "similar-apart")
-        more = materialize(close(left), "similar-more")
+    for name in ("pivots", "rest") if crowded else ():
+        here = crowd.join(trees, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        here = materialize(here, f"similar-rooted-{name}")
+        largest = here.groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("t"), F.count("*").alias("trees"))
+        largest = materialize(largest.where("trees > 1").select("shingle", F.col("t.root").alias("top")), f"similar-open-{name}")
+        if not largest.limit(1).count():
+            break
+        here = here.join(largest, "shingle")
+        outside = here.where("root <> top").select("shingle", *side("a"), F.col("root").alias("roota"))
+        others = here.select("shingle", *side("b"), F.col("root").alias("rootb"), "top")
+        if name == "pivots":
+            nth = F.row_number().over(Window.partitionBy("shingle").orderBy(F.xxhash64("nodeb")))
+            others = others.where("rootb = top").withColumn("nth", nth).where(F.col("nth") <= pivots)
+        # Of two outside the largest tree, one order is enough.
+        met = outside.join(others, "shingle").where("roota <> rootb and (rootb = top or nodea < nodeb)")
+        more = materialize(near(paired(met)).join(pairs, ["a", "b"], "left_anti"), f"similar-pairs-{name}")
+        pairs = pairs.union(more)
+        more = materialize(close(more), f"similar-links-{name}")
         if more.limit(1).count():
-            trees = connected_components(linked.union(more))
+            linked = linked.union(more)
+            trees = connected_components(linked)
 
     root = F.when(F.col("size") > 0, F.coalesce("root", "node"))
     named = found.select("doc_id", "uid", "node", "size").join(trees, "node", "left").select("doc_id", "uid", root.alias("root"))
@@ -449,9 +510,13 @@ def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
 
 def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies (five-word shingles, similarity 0.8 or more) the row of smallest id stays, with all columns."""
+    """Pipeline stage: of each group of near copies (five-word shingles, similarity 0.8 or more) the row of smallest id stays, with all columns.
+
+    Rows that repeat id and text are one text and stay or go together; empty texts and null texts stay.
+    """
+    same_id, same_uid = unused(docs, "id", "uid")
     with scratch() as tables:
-        gone = similar_groups(docs).where("not first").select(F.col("doc_id").alias("_gone"), F.col("uid").alias("_uid")).distinct()
+        gone = similar_groups(docs).where("not first").select(F.col("doc_id").alias(same_id), F.col("uid").alias(same_uid)).distinct()
         gone = tables.keep(materialize(gone, "simhash-gone"))
     uid = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").cast("long"))
-    return docs.join(gone, (uid == F.col("_uid")) & docs.doc_id.cast("long").eqNullSafe(gone._gone), "left_anti")
+    return docs.join(gone, (uid == F.col(same_uid)) & F.col("doc_id").cast("long").eqNullSafe(F.col(same_id)), "left_anti")

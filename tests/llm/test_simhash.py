@@ -138,8 +138,12 @@ def prose(rng, n):
     return [rng.choice(["the", "of", "and"]) if rng.random() < 0.3 else "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("small", [256, 2])
-def test_similar_groups_find_edited_copies_and_nothing_else(spark, small):
+#: As they are; and so that all that meets is a crowd.
+LIMITS = [{}, {"hot": 2, "hot_again": 2, "per_member": 0, "pivots": 1}, {"hot": 10**9, "hot_again": 10**9, "per_member": 1, "pivots": 1}]
+
+
+@pytest.mark.parametrize("limits", LIMITS)
+def test_similar_groups_find_edited_copies_and_nothing_else(spark, limits):
     rng = random.Random(21)
     rows, copies, others = [], {}, set()
     for k in range(150):
@@ -155,7 +159,7 @@ def test_similar_groups_find_edited_copies_and_nothing_else(spark, small):
     for k in range(60):  # a crowd of copies of one text, each alike to it, fewer alike to each other
         rows.append((5000 + k, " ".join(rng.choice(crowd) if k and rng.random() < 0.012 else w for w in crowd)))
     rows += [(9000, None), (9001, ""), (9002, None), (9003, "a short one"), (9004, "A short  one"), (9005, "another short one"), (None, rows[0][1]), (None, "an id is missing here")]
-    got = simhash.similar_groups(docs_of(spark, rows), small=small, slice_size=16).collect()
+    got = simhash.similar_groups(docs_of(spark, rows), **limits).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got if r.doc_id is not None}
     hit = sum(by[c].first_id == k and not by[c].first for c, k in copies.items())
@@ -189,8 +193,8 @@ def groups_by_all_pairs(rows):
     return {i: find(i) for i in grams}
 
 
-@pytest.mark.parametrize("small", [256, 2])
-def test_similar_groups_of_a_crowd_equal_all_pairs(spark, small):
+@pytest.mark.parametrize("limits", LIMITS)
+def test_similar_groups_of_a_crowd_equal_all_pairs(spark, limits):
     """Copies at 0.8 or more to their original but not to each other, originals beside each other, in one crowd."""
     rng = random.Random(5)
     shared, rows = prose(rng, 150), []
@@ -204,7 +208,7 @@ def test_similar_groups_of_a_crowd_equal_all_pairs(spark, small):
             rows.append((len(rows) + 1000 * (k % 2), " ".join(copy)))
     want = groups_by_all_pairs(rows)
     assert 8 <= len(set(want.values())) < 60
-    got = simhash.similar_groups(docs_of(spark, rows), small=small, slice_size=16).collect()
+    got = simhash.similar_groups(docs_of(spark, rows), **limits).collect()
     assert {r.doc_id: r.first_id for r in got} == want
 
 
