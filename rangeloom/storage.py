@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where the session names none (tests, one machine) a local folder is set."""
+    """``spark.checkpoint.dir``; where the session names none a local folder is set on one machine, and a cluster is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = os.path.join(tempfile.gettempdir(), f"rangeloom-{os.getuid()}")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -28,12 +32,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._stored_at = path
-    for s in _open:
-        s.stored[path] = df.sparkSession
+    note(df.sparkSession, path)
     return back
 
 
-_open: list = []
+#: The scratch blocks around the running code, innermost last; each thread has its own.
+_open: ContextVar[tuple] = ContextVar("scratch", default=())
+
+
+def note(spark: SparkSession, path: str) -> None:
+    """The scratch blocks around delete ``path`` at their end."""
+    for s in _open.get():
+        s.stored[path] = spark
 
 
 class scratch:
@@ -41,7 +51,7 @@ class scratch:
 
     def __enter__(self):
         self.stored: dict[str, SparkSession] = {}
-        _open.append(self)
+        self._token = _open.set((*_open.get(), self))
         return self
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -49,7 +59,7 @@ class scratch:
         return df
 
     def __exit__(self, *failed):
-        _open.remove(self)
+        _open.reset(self._token)
         if failed[0] is None:
             for path, spark in self.stored.items():
                 delete(spark, path)

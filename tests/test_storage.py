@@ -1,4 +1,6 @@
+import threading
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 
@@ -13,4 +15,29 @@ def test_materialize_and_scratch(spark):
     with pytest.raises(RuntimeError), storage.scratch():
         left = storage.materialize(spark.range(5), "c")
         raise RuntimeError
-    assert left.count() == 5 and not storage._open
+    assert left.count() == 5 and not storage._open.get()
+
+
+def test_scratch_of_one_thread_leaves_others_tables(spark):
+    made, go = [], threading.Event()
+
+    def other():
+        made.append(storage.materialize(spark.range(6), "d"))
+        go.set()
+
+    with storage.scratch():
+        t = threading.Thread(target=other)
+        t.start()
+        go.wait(60)
+        t.join()
+    assert made[0].count() == 6 and Path(made[0]._stored_at).exists()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    def session(master):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None, set=lambda *a: None), sparkContext=context)
+
+    with pytest.raises(ValueError):
+        storage.shared_dir(session("spark://host:7077"))
+    assert storage.shared_dir(session("local[4]"))
