@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import delete, materialize, scratch, shared_dir  # noqa: F401
+from ..storage import delete, fresh_path, materialize, note, scratch, shared_dir  # noqa: F401
 
 #: ASCII white space and its complement, as the operators' contracts name them.
 SPACE = r"[\x20\x09-\x0D]+"

@@ -6,8 +6,9 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import SPACE, materialize, scratch, table
+from .common import SPACE, fresh_path, materialize, note, scratch, table, unused
 
 
 def normalised(text: Column) -> Column:
@@ -42,45 +43,60 @@ def directory(cells: list[tuple[int, int]], capacity: int, max_depth: int) -> li
     return out
 
 
-def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", capacity: int = 1 << 16, max_depth: int = 16, hash_bits: int = 64) -> DataFrame:
+def _owned(df: DataFrame, n_buckets: int, name: str, *order: str) -> DataFrame:
+    """``df`` stored with a file for each bucket, written in ``order`` by the one task that owns it."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    df.repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(path)
+    note(spark, path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", capacity: int = 1 << 16, max_depth: int = 16, hash_bits: int = 64, held: int = 1 << 18) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256, bucket``.
 
-    1. Each row becomes an index record ``(hash, id)``; equal hashes are counted before the shuffle,
-       so an entry of the index is a hash, however many copies it has.
-    2. The directory doubles until no bucket holds over ``capacity`` entries. It has 2^``max_depth``
-       ranges at most, whatever the data: that bounds what the driver sees and what is broadcast.
-    3. Owner tasks write each bucket's key range, sorted, as its own file in the shared folder.
-    4. Rows of a hash form a chain. Texts are compared by their bytes, by grouping on ``(hash, text)``,
-       copies merged before the shuffle. A chain with more than one text is a collision and its
-       rows are grouped by their bytes; all others by their hash, now proven enough.
+    1. Each row becomes an index record ``(hash, id)``. The directory doubles until no bucket holds over ``capacity``
+       records. It has 2^``max_depth`` cells at most, whatever the data: that bounds what the driver sees and what
+       is broadcast. A bucket of equal hashes can't be split and just grows.
+    2. Records of equal hash are merged before the shuffle to one entry, however many copies there are. Each bucket, a
+       key range of the hash, is one file in the shared folder, sorted, written by the task that owns it.
+    3. A hash met once collides with none. The texts of the others, equal bytes merged before the shuffle, go to
+       their bucket's owner, which chains those of one hash and numbers what differs in its bytes.
+    4. Rows read their group from the index: by hash where the chain has one text, else by hash and bytes.
 
     Null text counts as empty. A null id sorts last. Rows that repeat an id and a text count one by
-    one and exactly one is kept. An empty table gives no rows; other columns are ignored.
-    ``hash_bits`` under 64 is for tests that want collisions.
+    one and exactly one is kept. An empty table gives no rows; other columns are ignored. Texts may have any length.
+    ``hash_bits`` under 64 is for tests that want collisions. Up to ``held`` hashes are broadcast to their joins, more are
+    shuffled; the result is the same.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), normalised(F.col(text)).alias("norm"))
     h = F.xxhash64("norm") if hash_bits == 64 else F.shiftleft(F.xxhash64("norm"), 64 - hash_bits)
-    rows = rows.withColumn("h", h)
-    keys = materialize(rows.select("doc_id", "uid", "h", F.unhex(F.sha2("norm", 256)).alias("sha")), "exact-keys")
     cell = F.shiftrightunsigned("h", 64 - max_depth).cast("int")
-    entries = materialize(keys.groupBy("h").agg(F.count("*").alias("n"), F.min(_first()).alias("first")).withColumn("cell", cell), "exact-entries")
+    rows = rows.withColumn("h", h)
+    keys = rows.select("doc_id", "uid", "h", F.unhex(F.sha2("norm", 256)).alias("sha")).withColumn("cell", cell)
+    keys = materialize(keys, "exact-keys")
 
-    ranges = directory([tuple(r) for r in entries.groupBy("cell").count().collect()], capacity, max_depth)
+    ranges = directory([tuple(r) for r in keys.groupBy("cell").count().collect()], capacity, max_depth)
     spark = docs.sparkSession
-    where = spark.createDataFrame(ranges, "lo int, hi int, bucket int").select(F.explode(F.sequence("lo", "hi")).alias("cell"), "bucket")
-    index = entries.join(F.broadcast(where), "cell").select("bucket", "h", "n", "first")
-    index = materialize(index.repartition("bucket").sortWithinPartitions("bucket", "h"), "exact-index")
-
-    # Every text is compared by its bytes; copies merge before the shuffle. A hash with two texts is a collision.
-    texts = rows.groupBy("h", "norm").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("texts"))
-    collided = materialize(texts.where("texts > 1").select("h"), "exact-collided")
-
-    cols = ["doc_id", F.col("first.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("first.uid") == F.col("uid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "bucket"]
+    where = F.broadcast(spark.createDataFrame(ranges, "lo int, hi int, bucket int").select(F.explode(F.sequence("lo", "hi")).alias("cell"), "bucket"))
+    entries = keys.groupBy("h", "cell").agg(F.count("*").alias("n"), F.min(_first()).alias("first"))
+    index = _owned(entries.join(where, "cell").select("bucket", "h", "n", "first"), len(ranges), "exact-index", "h")
+    twice = index.where("n > 1")
+    twice = F.broadcast(twice) if twice.count() <= held else twice
+
+    texts = rows.join(twice.select("h", "bucket"), "h").groupBy("bucket", "h", "norm").agg(F.count("*").alias("n"))
+    slot = F.row_number().over(Window.partitionBy("bucket", "h").orderBy("norm"))
+    chains = _owned(texts.repartitionById(len(ranges), F.col("bucket")).select("bucket", "h", slot.alias("slot"), "n"), len(ranges), "exact-chains", "h", "slot")
+    collided = materialize(chains.where("slot = 2").select("h"), "exact-collided")
+
+    alone = F.col("first").isNull()
+    keep = [F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), (alone | (F.col("first.uid") == F.col("uid"))).alias("kept")]
+    cols = ["doc_id", *keep, F.lower(F.hex("sha")).alias("text_sha256"), "bucket"]
+    found = keys.join(where, "cell").join(twice.drop("bucket"), "h", "left")
     if collided.isEmpty():
-        return keys.join(index, "h").select(*cols)
-    clear = keys.join(index, "h").join(collided, "h", "left_anti").select(*cols)
-    # True collisions: the rows meet their chain's entry by their bytes.
-    odd = materialize(rows.join(collided, "h", "left_semi").join(index.select("h", "bucket"), "h"), "exact-odd")
+        return found.select(*cols)
+    clear = found.join(collided, "h", "left_anti").select(*cols)
+    # Of chains of several texts each row meets its own by the bytes.
+    odd = materialize(rows.withColumn("cell", cell).join(collided, "h", "left_semi").join(where, "cell"), "exact-odd")
     slots = odd.groupBy("h", "norm").agg(F.count("*").alias("n"), F.min(_first()).alias("first"))
     chained = odd.join(slots, ["h", "norm"]).withColumn("sha", F.unhex(F.sha2("norm", 256))).select(*cols)
     return clear.union(chained)
@@ -104,29 +120,30 @@ SELECT doc_id, keep_id, group_size, kept, sha256(norm) AS text_sha256 FROM w
 """
 
 
-def keep_first(docs: DataFrame, groups: DataFrame, tables) -> DataFrame:
+def keep_first(docs: DataFrame, groups: DataFrame, tables, held: int = 1 << 18) -> DataFrame:
     """Rows of ``docs`` that ``groups`` keeps, with all columns; only what goes is looked up, so most rows just pass."""
     groups = materialize(groups.select("doc_id", "keep_id", "kept", F.unhex("text_sha256").alias("sha")), "exact-groups")
+    names = docs.columns
+    i, s, key, sha = unused(docs, "i", "s", "key", "sha")
     same = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    gone = materialize(groups.where(~F.col("kept") & ~same).select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha")).distinct(), "exact-gone")
-    again = materialize(groups.where(~F.col("kept") & same).select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha")).distinct(), "exact-again")
-    tables.keep(gone)
-    tables.keep(again)
-    sha, names = F.unhex(F.sha2(normalised(F.col("text")), 256)), docs.columns
+
+    def listed(which) -> DataFrame:
+        return tables.keep(materialize(groups.where(~F.col("kept") & which).select(F.col("doc_id").alias(key), F.col("sha").alias(sha)).distinct(), "exact-gone"))
 
     def met(df, keys, how):
-        return df.join(keys, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_s") == F.col("_sha")), how)
+        return df.join(F.broadcast(keys) if keys.count() <= held else keys, F.col(i).eqNullSafe(F.col(key)) & (F.col(s) == F.col(sha)), how)
 
-    rows = docs.withColumns({"_i": F.col("doc_id").cast("long"), "_s": sha})
+    gone, again = listed(~same), listed(same)
+    rows = docs.withColumns({i: F.col("doc_id").cast("long"), s: F.unhex(F.sha2(normalised(F.col("text")), 256))})
     left = met(rows, gone, "left_anti")
     if again.isEmpty():
         return left.select(*names)
-    once = met(left, again, "left_semi").dropDuplicates(["_i", "_s"]).select(*names)
+    once = met(left, again, "left_semi").dropDuplicates([i, s]).select(*names)
     return met(left, again, "left_anti").select(*names).union(once)
 
 
 def exact_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of equal texts, one row stays, with all columns of ``docs``."""
+    """Pipeline stage: of equal texts, one row stays, with all columns of ``docs``; of rows that repeat id and text, any one."""
     with scratch() as tables:
         groups = exact_groups(docs)
         return keep_first(docs, groups, tables)

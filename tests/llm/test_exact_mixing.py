@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from rangeloom.llm import exact, mixing
 
@@ -34,6 +35,22 @@ def test_exact_equals_plain_grouping(spark, bits):
     assert sorted(map(tuple, got), key=str) == plain(ROWS)
 
 
+@pytest.mark.parametrize("held", [0, 1000])
+def test_exact_with_hashes_shuffled_or_broadcast(spark, held):
+    got = exact.exact_groups(docs_of(spark, ROWS), capacity=1, max_depth=5, held=held).drop("bucket").collect()
+    assert sorted(map(tuple, got), key=str) == plain(ROWS)
+
+
+def test_each_bucket_is_one_file_of_its_owner(spark):
+    from pathlib import Path
+
+    df = spark.range(1000).selectExpr("id % 7 bucket", "id h").withColumn("bucket", F.col("bucket").cast("int")).repartition(4)
+    stored = exact._owned(df, 7, "owned", "h")
+    folders = sorted(Path(stored.inputFiles()[0].removeprefix("file://")).parent.parent.glob("bucket=*"))
+    assert len(folders) == 7 and all(len(list(f.glob("part-*"))) == 1 for f in folders)
+    assert sorted(map(tuple, stored.collect())) == sorted((i % 7, i) for i in range(1000))
+
+
 def test_exact_empty_table(spark):
     assert exact.exact_groups(docs_of(spark, [])).count() == 0
 
