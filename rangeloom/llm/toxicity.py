@@ -1,15 +1,17 @@
 """Toxicity: a linear classifier over words and their beginnings, regularised by counterfactual swaps.
 
 Features of a document are its distinct words (lower case, outer punctuation off) and the words'
-beginnings of 3 to 8 letters, each with how often it occurs. For labelled sentences that name a group,
-the identity term is swapped for others of its kind; the loss adds ``swap_penalty`` times the square of the
-change in score, so the weight of a group's name goes to where other names have it and neutral
-mentions of a group aren't marked.
+beginnings of 3 to 8 letters, each with how often it occurs. Labelled sentences that name a group are
+paired with themselves after a swap of the identity term for each other of its kind; a sentence that
+names none is given a mention first, which is then swapped. The loss adds ``swap_penalty`` times the square of
+the change in score, both where words get their weights and where a document's sums become its
+score, so a group's name weighs what other names weigh and neutral mentions aren't marked.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, materialize, small_batches, table
 
-#: Identity terms by kind; a swap stays inside a kind.
+#: Identity terms by kind and language; a swap stays inside a kind. A parameter of the fit.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys", "nonbinary"),
     ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"),
@@ -26,14 +28,30 @@ IDENTITY_TERMS = (
     ("gay", "lesbian", "straight", "bisexual", "transgender"),
     ("immigrants", "refugees", "foreigners", "natives"),
     ("disabled", "blind", "deaf", "elderly", "young"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "araber", "afrikaner", "europäer"),
+    ("schwule", "lesben", "heterosexuelle", "bisexuelle"),
+    ("einwanderer", "flüchtlinge", "ausländer", "einheimische"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "arabes", "africains", "européens"),
+    ("gais", "lesbiennes", "hétérosexuels", "bisexuels"),
+    ("immigrés", "réfugiés", "étrangers", "autochtones"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "árabes", "africanos", "europeos"),
+    ("homosexuales", "lesbianas", "heterosexuales", "bisexuales"),
+    ("inmigrantes", "refugiados", "extranjeros", "nativos"),
 )
-_KIND = {w: k for k in IDENTITY_TERMS for w in k}
 _OUTER = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—¡¿"
+#: Words whose scores a worker remembers; texts repeat their frequent ones.
+REMEMBERED = 300_000
 
 
-def words(text: str | None) -> Counter:
-    """Distinct white-space words of the whole text, lower case, with counts."""
-    return Counter((text or "").lower().split())
+def words(text: str | None) -> list[str]:
+    """White-space words of the whole text, lower case."""
+    return (text or "").lower().split()
 
 
 def grams(word: str) -> list[str]:
@@ -41,127 +59,219 @@ def grams(word: str) -> list[str]:
     return [f"={w}", *(w[:n] for n in range(3, min(8, len(w)) + 1))] if w else []
 
 
-def _shape(counts: Counter) -> tuple[float, float]:
-    n = sum(counts.values())
-    return n, np.log1p(n)
-
-
-def _vector(counts: Counter, index: dict[str, int] | None = None) -> dict:
-    out: dict = {}
-    for w, n in counts.items():
-        for g in grams(w):
-            if index is None or g in index:
-                k = g if index is None else index[g]
-                out[k] = out.get(k, 0) + min(n, 3)
-    return out
-
-
 class Model:
     """Weights by feature and the calibration of a document's sums. Plain data, so it travels to the executors."""
 
-    def __init__(self, weights: dict[str, float], bias: float, top: np.ndarray):
-        self.weights, self.bias, self.top = weights, bias, top
-        self._cache: dict[str, float] = {}
+    def __init__(self, weights: dict[str, float], top: np.ndarray):
+        self.weights, self.top = weights, top
+        self._slots: dict[str, int] = {}
+        self._scores = np.zeros(0)
+
+    def __getstate__(self):
+        return self.__dict__ | {"_slots": {}, "_scores": np.zeros(0)}
 
     def word(self, w: str) -> float:
-        s = self._cache.get(w)
-        if s is None:
-            if len(self._cache) > 150_000:  # bounded; texts repeat their frequent words
-                self._cache.clear()
-            get = self.weights.get
-            s = self._cache[w] = sum(get(g, 0.0) for g in grams(w))
+        """Sum of the weights of the word's ``grams``."""
+        w, get = w.strip(_OUTER), self.weights.get
+        s = get("=" + w, 0.0)
+        for n in range(3, min(8, len(w)) + 1):
+            s += get(w[:n], 0.0)
         return s
 
-    def evidence(self, counts: Counter) -> np.ndarray:
-        word = self.word
-        s = [(word(w), n) for w, n in counts.items()]
-        total = sum(n for _, n in s)
-        high = sorted((x for x, _ in s if x > 0), reverse=True)
-        up = sum(x * min(n, 3) for x, n in s if x > 0)
-        mean = sum(x * n for x, n in s) / max(total, 1)
-        return np.array([1.0, high[0] if high else 0.0, sum(high[:3]) / 3, up / np.sqrt(total + 20.0), up / (total + 20.0) * 10, mean, np.log1p(total) / 5])
+    def _look_up(self, flat: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Slot of each word and the slots' scores; each different word is scored once."""
+        new = set(flat).difference(self._slots)
+        if len(self._slots) + len(new) > REMEMBERED:
+            self._slots, self._scores, new = {}, np.zeros(0), set(flat)
+        if new:
+            at = len(self._slots)
+            self._slots.update(zip(new, range(at, at + len(new)), strict=True))
+            self._scores = np.concatenate((self._scores, np.fromiter(map(self.word, new), np.float64, len(new))))
+        return np.fromiter(map(self._slots.__getitem__, flat), np.int64, len(flat)), self._scores
+
+    def evidence(self, docs: list[list[str]]) -> np.ndarray:
+        """Sums of each document: greatest word, mean of the three greatest, positive words over root and count of all, mean, length."""
+        n = len(docs)
+        total = np.fromiter(map(len, docs), np.float64, n)
+        slots, scores = self._look_up(list(chain.from_iterable(docs)))
+        doc = np.repeat(np.arange(n), total.astype(np.int64))
+        x = scores[slots]
+        mean = np.bincount(doc, x, n) / np.maximum(total, 1)
+        good = x > 0
+        width = max(1, len(scores))
+        key, times = np.unique(doc[good] * width + slots[good], return_counts=True)
+        doc, x = key // width, scores[key % width]
+        up = np.bincount(doc, x * np.minimum(times, 3), n)
+        order = np.lexsort((-x, doc))
+        doc, x = doc[order], x[order]
+        place = np.arange(len(doc)) - np.searchsorted(doc, doc)
+        first = np.bincount(doc[place == 0], x[place == 0], n)
+        three = np.bincount(doc[place < 3], x[place < 3], n) / 3
+        return np.stack([np.ones(n), first, three, up / np.sqrt(total + 20.0), up / (total + 20.0) * 10, mean, np.log1p(total) / 5], axis=1)
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """Of whole texts, in parts of bounded length."""
+        out, part, size = [np.zeros(0)], [], 0
+        for t in chain(texts, [None]):
+            if part and (size > 1 << 22 or len(part) >= 512):
+                out.append(self._logistic(part))
+                part, size = [], 0
+            part.append(words(t))
+            size += len(t or "")
+        out.append(self._logistic(part)[:-1])  # the one that closes the last part is no text
+        return np.concatenate(out)
+
+    def _logistic(self, part: list[list[str]]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.evidence(part) @ self.top, -30, 30)))
 
     def score(self, text: str | None) -> float:
-        z = float(self.evidence(words(text)) @ self.top)
-        return 1 / (1 + np.exp(-min(max(z, -30), 30)))
+        return float(self.scores([text])[0])
 
 
-def swaps(counts: Counter) -> list[Counter]:
-    """The sentence with each identity term replaced by the next of its kind, all round the kind."""
+def swaps(doc: list[str], terms=IDENTITY_TERMS, mention: int = 0) -> list[tuple[list[str], list[str]]]:
+    """The sentence beside itself with an identity term swapped, for each term in it and each other of its kind.
+
+    One that names no group is given a mention, chosen by the number ``mention``, and that is swapped for the next of its kind.
+    """
+    kind_of = {w: k for k in terms for w in k}
     out = []
-    for w in [w for w in counts if w.strip(_OUTER) in _KIND]:
-        kind = _KIND[w.strip(_OUTER)]
-        for other in kind:
-            if other != w.strip(_OUTER):
-                c = Counter(counts)
-                c[other] += c.pop(w)
-                out.append(c)
+    for w in sorted({w for w in doc if w.strip(_OUTER) in kind_of}):
+        own = w.strip(_OUTER)
+        out += [(doc, [other if v == w else v for v in doc]) for other in kind_of[own] if other != own]
+    if not out and terms:
+        kind = terms[mention % len(terms)]
+        k = mention // len(terms) % len(kind)
+        out = [([*doc, kind[k]], [*doc, kind[(k + 1) % len(kind)]])] if len(kind) > 1 else []
     return out
 
 
-def train(texts: list[str | None], labels: list[int], swap_penalty: float = 1.0, epochs: int = 12, min_docs: int = 4, decay: float = 3e-4, max_features: int = 60_000, seed: int = 0) -> Model:
-    """Fit by mini-batch Adam. Features in fewer than ``min_docs`` documents of the sample are left out."""
-    bags = [words(t) for t in texts]
-    df: Counter = Counter()
-    for b in bags:
-        df.update({g for w in b for g in grams(w)})
-    terms = {g for k in IDENTITY_TERMS for w in k for g in grams(w)}
-    keep = [g for g, n in df.most_common(max_features) if n >= min_docs or g in terms]
-    index = {g: i for i, g in enumerate(dict.fromkeys([*keep, *sorted(terms)]))}
+class _Rows:
+    """Sparse rows, one after the other; several rows at once by their numbers."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
+        self.n = np.array([len(k) for k, _ in rows], np.int64)
+        self.at = np.concatenate(([0], np.cumsum(self.n)))
+        self.cols = np.concatenate([np.zeros(0, np.int64), *(k for k, _ in rows)])
+        self.vals = np.concatenate([np.zeros(0), *(x for _, x in rows)])
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = self.n[which]
+        row = np.repeat(np.arange(len(which)), n)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.at[which], n)
+        return row, self.cols[at], self.vals[at]
+
+
+class _Features:
+    """Numbers of words and of their grams, as they are met; a document's grams with their counts."""
+
+    def __init__(self):
+        self.of_word: dict[str, np.ndarray] = {}
+        self.number: dict[str, int] = {}
+
+    def _word(self, w: str) -> np.ndarray:
+        ids = self.of_word.get(w)
+        if ids is None:
+            ids = self.of_word[w] = np.array([self.number.setdefault(g, len(self.number)) for g in grams(w)], np.int64)
+        return ids
+
+    def counts(self, doc: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        times = Counter(doc)
+        ids = [self._word(w) for w in times]
+        n = np.repeat(np.minimum(np.fromiter(times.values(), np.int64, len(times)), 3), np.fromiter(map(len, ids), np.int64, len(ids)))
+        k, at = np.unique(np.concatenate([np.zeros(0, np.int64), *ids]), return_inverse=True)
+        return k, np.bincount(at, n, len(k))
+
+
+def train(texts: list[str | None], labels: list[int], swap_penalty: float = 1.0, epochs: int = 12, min_docs: int = 4, decay: float = 3e-4, terms=IDENTITY_TERMS, seed: int = 0) -> Model:
+    """Fit by mini-batch Adam. Features in fewer than ``min_docs`` documents of the sample are left out; all swaps count, averaged for each document."""
+    docs, features = [words(t) for t in texts], _Features()
+    counts = [features.counts(d) for d in docs]
+    for k in terms:
+        features.counts(list(k))
+    df = np.bincount(np.concatenate([np.zeros(0, np.int64), *(k for k, _ in counts)]), minlength=len(features.number))
+    keep = df >= min_docs
+    keep[features.counts([w for k in terms for w in k])[0]] = True
+    names = [g for g, kept in zip(features.number, keep.tolist(), strict=True) if kept]
+    index = np.cumsum(keep) - 1
     y = np.array(labels, np.float64)
 
-    def rows(bag):
-        v = _vector(bag, index)
-        k, x = np.fromiter(v.keys(), np.int64, len(v)), np.log1p(np.fromiter(v.values(), np.float64, len(v)))
-        return k, x / np.sqrt(20.0 + sum(bag.values())) * 5
-
-    data = [rows(b) for b in bags]
-    pairs: list[list] = [[] for _ in bags]
-    for i, b in enumerate(bags):
-        for c in swaps(b)[:12]:
-            v, u = dict(zip(*map(np.ndarray.tolist, data[i]), strict=True)), dict(zip(*map(np.ndarray.tolist, rows(c)), strict=True))
-            delta = {k: v.get(k, 0) - u.get(k, 0) for k in v.keys() | u.keys()}
-            delta = {k: d for k, d in delta.items() if d}
-            pairs[i].append((np.fromiter(delta.keys(), np.int64, len(delta)), np.fromiter(delta.values(), np.float64, len(delta))))
-    rng, n = np.random.default_rng(seed), len(index)
+    def row(k: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        known = np.nonzero(k < len(keep))[0]
+        known = known[keep[k[known]]]
+        return index[k[known]], np.log1p(n[known]) * (5 / np.sqrt(20.0 + length))
+
+    def change(own: tuple, other: tuple) -> tuple[np.ndarray, np.ndarray]:
+        k, at = np.unique(np.concatenate((own[0], other[0])), return_inverse=True)
+        x = np.bincount(at, np.concatenate((own[1], -other[1])), len(k))
+        return k[x != 0], x[x != 0]
+
+    def mention(i: int, term: str) -> tuple[np.ndarray, np.ndarray]:
+        """The document's counts with a mention added, of the term's own features and no others."""
+        k, n = counts[i]
+        ids = np.sort(features.counts([term])[0])
+        at = np.minimum(np.searchsorted(k, ids), max(len(k) - 1, 0))
+        had = np.where(k[at] == ids, n[at], 0) if len(k) else np.zeros(len(ids))
+        return ids, had
+
+    data = _Rows([row(k, n, len(d)) for (k, n), d in zip(counts, docs, strict=True)])
+    pairs, owner, share, both = [], [], [], []
+    for i, d in enumerate(docs):
+        found = swaps(d, terms, i)
+        for own, other in found:
+            if own is d:
+                pairs.append(change(row(*counts[i], len(d)), row(*features.counts(other), len(other))))
+            else:  # the rest of the sentence is alike on both sides
+                (ka, na), (kb, nb) = mention(i, own[-1]), mention(i, other[-1])
+                one, two = np.isin(ka, kb), np.isin(kb, ka)
+                pairs.append(change(change(row(ka[~one], na[~one] + 1, len(own)), row(ka[~one], na[~one], len(own))), change(row(kb[~two], nb[~two] + 1, len(own)), row(kb[~two], nb[~two], len(own)))))
+            owner.append(i)
+            share.append(1 / len(found))
+            both.append((own, other))
+    pairs, owner, share = _Rows(pairs), np.array(owner, np.int64), np.array(share)
+    first = np.searchsorted(owner, np.arange(len(docs) + 1))
+
+    rng, n = np.random.default_rng(seed), len(names)
     w, b, m, v, t = np.zeros(n), 0.0, np.zeros(n), np.zeros(n), 0
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3)) if len(y) else y
     held = np.arange(len(y)) % 4 == 3 if len(y) >= 200 else np.zeros(len(y), bool)  # the words' weights never see it; it calibrates their sums
     for _ in range(epochs if len(y) else 0):
         order = rng.permutation(np.nonzero(~held)[0])
         for at in range(0, len(order), 64):
-            g, gb, part = np.zeros(n), 0.0, order[at : at + 64]
-            for i in part:
-                k, x = data[i]
-                err = (1 / (1 + np.exp(-np.clip(w[k] @ x + b, -30, 30))) - y[i]) * weight[i]
-                g[k] += err * x
-                gb += err
-                for pk, d in pairs[i]:
-                    g[pk] += swap_penalty * 2 * (w[pk] @ d) * d / len(pairs[i])
-            g, gb, t = g / len(part) + decay * w, gb / len(part), t + 1
+            part = order[at : at + 64]
+            rows, k, x = data.take(part)
+            err = (1 / (1 + np.exp(-np.clip(np.bincount(rows, x * w[k], len(part)) + b, -30, 30))) - y[part]) * weight[part]
+            g = np.bincount(k, x * err[rows], n)
+            which = np.concatenate([np.zeros(0, np.int64), *(np.arange(first[i], first[i + 1]) for i in part)])
+            rows, k, x = pairs.take(which)
+            moved = np.bincount(rows, x * w[k], len(which)) * share[which]
+            g += swap_penalty * 2 * np.bincount(k, x * moved[rows], n)
+            g, gb, t = g / len(part) + decay * w, err.mean(), t + 1
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
             b -= 0.05 * gb
-    names = list(index)
-    model = Model({names[i]: float(w[i]) for i in np.nonzero(np.abs(w) > 0.02)[0]}, b, np.zeros(7))
+    model = Model({names[i]: float(w[i]) for i in np.nonzero(np.abs(w) > 0.02)[0]}, np.zeros(7))
     if len(y):
-        e = np.stack([model.evidence(c) for c in bags])[held] if held.any() else np.stack([model.evidence(c) for c in bags])
-        y = y[held] if held.any() else y
-        model.top = _monotone(e, y)
-    model._cache.clear()
+        fitted = np.nonzero(held)[0] if held.any() else np.arange(len(y))
+        moved = (model.evidence([p[0] for p in both]) - model.evidence([p[1] for p in both])) * np.sqrt(share)[:, None] if both else np.zeros((0, 7))
+        model.top = _monotone(model.evidence([docs[i] for i in fitted]), y[fitted], moved, swap_penalty)
     return model
 
 
-def _monotone(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 3000) -> np.ndarray:
-    """Logistic regression by accelerated projected gradient: no kind of evidence may lower the score, and length may not raise it."""
+def _monotone(x: np.ndarray, y: np.ndarray, change: np.ndarray, swap_penalty: float, ridge: float = 1e-3, rounds: int = 3000) -> np.ndarray:
+    """Logistic regression by accelerated projected gradient: no kind of evidence may lower the score, and length may not raise it.
+
+    ``change`` has the evidence's changes under swaps; the loss adds ``swap_penalty`` times the mean square of what they change.
+    """
     scale = np.maximum(np.abs(x).mean(axis=0), 1e-6)
     z, n = x / scale, len(y)
+    swapped = change / scale
+    swapped = 2 * swap_penalty * swapped.T @ swapped / max(1, len(change)) + ridge * np.eye(x.shape[1])
     low, high = np.array([-np.inf, *[0.0] * (x.shape[1] - 2), -np.inf]), np.array([*[np.inf] * (x.shape[1] - 1), 0.0])
-    rate = 4 / max(np.linalg.norm(z, 2) ** 2 / n + 4 * ridge, 1e-9)
+    rate = 1 / max(np.linalg.norm(z, 2) ** 2 / n / 4 + np.linalg.norm(swapped, 2), 1e-9)
     a = b = np.zeros(x.shape[1])
     for t in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-        new = np.clip(b - rate * (z.T @ (p - y) / n + ridge * b), low, high)
+        new = np.clip(b - rate * (z.T @ (p - y) / n + swapped @ b), low, high)
         b, a = new + t / (t + 3) * (new - a), new
     return a / scale
 
@@ -177,36 +287,46 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return a
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, target: str, folds: int = 5, held_out: int = 0, sample: int = 4000) -> list[tuple]:
-    """``(text, label)`` of at most ``sample`` labelled documents outside the held-out fold, first by hash of the id.
+def sample_labelled(docs: DataFrame, labels: DataFrame, target: str, folds: int = 5, held_out: int = 0, sample: int = 4000, sample_chars: int = 1 << 26) -> list[tuple]:
+    """``(text, label)`` of at most ``sample`` labelled rows outside the held-out fold, first by hash of the id, of ``sample_chars`` characters in all.
 
-    The bound is for fitting only; ids come first, so that only the sample's texts reach the driver.
-    Texts over 100,000 characters are skipped here (never when scoring).
+    These bounds are for fitting only; a row that doesn't fit in what is left of the characters is passed over. Ids come
+    first, so that only the sample's texts leave the scan; of rows that share an id each counts.
     """
     ids = labels.where(F.col(target).isNotNull() & (fold(F.col("doc_id"), folds) != held_out)).groupBy("doc_id").agg(F.min(target).alias("y"))
     picked = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(materialize(picked, "labelled")), "doc_id")
-    rows = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= 100_000).select("doc_id", "text", "y").collect()
-    return [(r.text, int(r.y)) for r in sorted(rows, key=lambda r: (r.doc_id, r.text or ""))]
+    rows = rows.select("doc_id", "y", "text", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    rows = materialize(rows, "labelled-texts")
+    left, keep = sample_chars, []
+    for r in rows.select("h", "doc_id", "t", "n").orderBy("h", "doc_id", "t").limit(sample).collect():
+        if r.n <= left:
+            left -= r.n
+            keep.append((r.doc_id, r.t))
+    chosen = docs.sparkSession.createDataFrame(keep, "doc_id long, t long").groupBy("doc_id", "t").agg(F.count("*").alias("times"))
+    found = rows.dropDuplicates(["doc_id", "t"]).join(F.broadcast(chosen), ["doc_id", "t"]).select("doc_id", "text", "y", "times").collect()
+    return [(r.text, int(r.y)) for r in sorted(found, key=lambda r: (r.doc_id, r.text or "")) for _ in range(r.times)]
 
 
 def toxicity_scores(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``doc_id, score`` of every row's whole text; null counts as empty and gets the score of no evidence."""
+    """``doc_id, score`` of every row's whole text, however long; null counts as empty and gets the score of no evidence.
+
+    Rows are independent: repeated rows come out as often, an empty table gives none, other columns are ignored.
+    """
     small_batches(docs.sparkSession)
     box = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for b in batches:
-            s = [box.value.score(t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(box.value.scores(b.column("text").to_pylist()), pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, swap_penalty: float = 1.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, swap_penalty: float = 1.0, terms=IDENTITY_TERMS) -> Model:
     """Classifier from at most ``sample`` labelled documents; with no labels every score is 0.5."""
     rows = sample_labelled(docs, labels, "toxic", sample=sample)
-    return train([t for t, _ in rows], [y for _, y in rows], swap_penalty)
+    return train([t for t, _ in rows], [y for _, y in rows], swap_penalty, terms=terms)
 
 
 def op7_toxicity(spark, sf_dir):
@@ -216,14 +336,13 @@ def op7_toxicity(spark, sf_dir):
 
 
 def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the classifier rejects go; the columns stay."""
+    """Pipeline stage: documents that the classifier rejects go; the columns stay, and so do empty texts unless no evidence is a reason."""
     small_batches(spark)
     model = spark.sparkContext.broadcast(fit(docs, table(spark, sf_dir, "labels")))
     names = docs.columns
 
     def run(batches):
         for b in batches:
-            ok = [model.value.score(t.as_py()) < 0.5 for t in b.column(names.index("text"))]
-            yield b.filter(pa.array(ok, pa.bool_()))
+            yield b.filter(pa.array(model.value.scores(b.column(names.index("text")).to_pylist()) < 0.5, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -107,6 +107,28 @@ def test_language(spark, data):
     assert len(got) == len(rows) + len(ODD) and all(0 <= r.score <= 1 for r in got)
 
 
+def test_languages_in_groups_equal_all_at_once(spark):
+    rng = random.Random(9)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(1, 6)))
+    model = {f"l{k}": " ".join(word("abcdefgh"[k % 4 : k % 4 + 4]) for _ in range(100)) for k in range(7)}
+    rows = [(i, " ".join(word("abcdefgh"[i % 5 : i % 5 + 3]) for _ in range(i % 9)), None) for i in range(60)] + [(99, None, None), (None, "12 !", None)]
+    whole = langid.language_of(docs_of(spark, rows), model).collect()
+    parted = langid.language_of(docs_of(spark, rows), model, group=2).collect()
+    key = lambda r: (str(r.doc_id), r.lang_pred)
+    assert sorted(map(key, whole)) == sorted(map(key, parted)) and len(whole) == len(rows)
+    for a, b in zip(sorted(whole, key=key), sorted(parted, key=key), strict=True):
+        assert a.score == pytest.approx(b.score, rel=1e-9)
+    assert langid.Parser(model).predict([t for _, t, _ in rows]) == [(r.lang_pred, pytest.approx(r.score)) for r in sorted(whole, key=lambda r: [i for i, _, _ in rows].index(r.doc_id))]
+
+
+def test_letters_beyond_the_first_plane_are_told_apart():
+    adlam, other = "".join(chr(0x1E900 + k % 34) for k in range(400)), "漢字仮名交文"
+    p = langid.Parser({"ff": adlam, "en": "plain words of a language"})
+    assert p.predict([adlam[30:90]])[0][0] == "ff"
+    counts = p.phrases([langid.letters(chr(0x10330) * 50), langid.letters(other)])
+    assert counts[0].tolist() == [50, 50] and counts[1].tolist() == [len(other)] * 2
+
+
 def test_language_without_labels(spark):
     df = docs_of(spark, [(1, "text", None), (2, None, "aa")])
     assert {(r.lang_pred, r.score) for r in langid.language_of(df, langid.fit(df)).collect()} == {("und", 0.0)}
@@ -186,14 +208,63 @@ def test_swaps_take_the_weight_off_group_names():
         rng.shuffle(words)
         texts.append(" ".join(words))
         labels.append(int(toxic))
-    plain, fair = toxicity.train(texts, labels, 0.0), toxicity.train(texts, labels, 20.0)
+    plain, fair = toxicity.train(texts, labels, 0.0), toxicity.train(texts, labels)
     neutral = "people walk here with a muslim today and read there", "people walk here with a hindu today and read there"
     gap = lambda m: abs(m.word("muslim") - m.word("hindu"))
     assert gap(fair) < 0.4 * gap(plain)
-    assert abs(fair.score(neutral[0]) - fair.score(neutral[1])) < abs(plain.score(neutral[0]) - plain.score(neutral[1]))
+    assert abs(fair.score(neutral[0]) - fair.score(neutral[1])) < 0.5 * abs(plain.score(neutral[0]) - plain.score(neutral[1]))
     assert fair.score("zarbo awful zarbo people") > 0.5 > fair.score(neutral[0])
 
 
+def test_the_penalty_acts_on_the_sums_that_make_the_score():
+    """The words' weights given, a larger penalty lowers what a swap changes in the score itself."""
+    rng = np.random.default_rng(2)
+    x = np.abs(rng.normal(1, 1, (400, 7)))
+    y = (x[:, 1] + x[:, 3] > 2).astype(float)
+    change = rng.normal(0, 1, (200, 7)) * np.array([0, 3, 0.1, 0.1, 0.1, 0.1, 0])
+    moved = [np.abs(change @ toxicity._monotone(x, y, change, k)).mean() for k in (0.0, 10.0)]
+    assert moved[1] < 0.5 * moved[0]
+
+
+def test_swaps_reach_every_term_and_every_language():
+    doc = "the women and the muslim women met Frauen".lower().split()
+    got = toxicity.swaps(doc)
+    assert len(got) == 4 + 5 + 3 and all(len(a) == len(b) == len(doc) for a, b in got)
+    ((a, b),) = toxicity.swaps(["no", "group"], mention=5)
+    assert a[:2] == b[:2] == ["no", "group"] and a[2] != b[2] and any(a[2] in k and b[2] in k for k in toxicity.IDENTITY_TERMS)
+
+
+def test_scores_equal_a_plain_reading(data):
+    rows, labels = data
+    model = toxicity.train([t for _, t, _ in rows], [t for _, _, t in labels], epochs=3)
+
+    def plain(text):
+        from collections import Counter
+
+        counts = Counter((text or "").lower().split())
+        s = [(model.word(w), n) for w, n in counts.items()]
+        total, high = sum(counts.values()), sorted((x for x, _ in s if x > 0), reverse=True)
+        up = sum(x * min(n, 3) for x, n in s if x > 0)
+        e = [1, high[0] if high else 0, sum(high[:3]) / 3, up / np.sqrt(total + 20), up / (total + 20) * 10, sum(x * n for x, n in s) / max(total, 1), np.log1p(total) / 5]
+        return 1 / (1 + np.exp(-np.clip(np.dot(e, model.top), -30, 30)))
+
+    texts = [t for _, t, _ in rows + ODD]
+    assert np.allclose(model.scores(texts), [plain(t) for t in texts]) and len(model.scores([])) == 0
+    assert np.allclose(model.scores(texts[::-1]), model.scores(texts)[::-1])
+
+
+def test_labelled_sample_counts_rows_and_characters(spark):
+    rows = [(i, "w" * (10 + i), None) for i in range(40)] + [(7, "again", None)] * 30 + [(8, "z" * 200_000, None), (9, None, None)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], LABELS)
+    docs = docs_of(spark, rows)
+    wanted = [i for i in range(40) if common.fold_of(i, 5)]
+    full = toxicity.sample_labelled(docs, labels, "toxic")
+    assert len(full) == sum(i in wanted for i, _, _ in rows) and ("z" * 200_000 in [t for t, _ in full]) == (8 in wanted)
+    assert len(toxicity.sample_labelled(docs, labels, "toxic", sample=20)) <= 20
+    few = toxicity.sample_labelled(docs, labels, "toxic", sample_chars=100)
+    assert few and sum(len(t or "") for t, _ in few) <= 100
+
+
 def test_stage_drops_toxic_rows_only(spark, tmp_path, data):
     rows, labels = data
     spark.createDataFrame(labels, LABELS).write.parquet(str(tmp_path / "labels.parquet"))
