@@ -20,17 +20,13 @@ from .common import fold, materialize, small_batches, table
 
 SEGMENT = 1024
 LANES = 1 << 15
-_LETTERS = np.array([chr(c).isalpha() for c in range(0x10000)])
+_LETTERS = np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def letters(text: str | None) -> np.ndarray:
     """Code points of the lower-cased text; every run of anything but letters is one 32. Empty if there is no letter."""
     cp = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
-    low = cp < 0x10000
-    known = _LETTERS[np.where(low, cp, 0)]
-    if not low.all():
-        for c in np.unique(cp[~low]).tolist():
-            known = known | ((cp == c) & chr(c).isalpha())
+    known = _LETTERS[cp]
     if not known.any():
         return np.zeros(0, np.uint32)
     keep = known.copy()
@@ -76,8 +72,8 @@ class Parser:
         self.langs = sorted(texts)
         cleaned = [letters(texts[k]) for k in self.langs]
         symbols = np.unique(np.concatenate([*cleaned, [32]]))
-        self.index = np.full(0x10000, len(symbols), np.int32)  # unseen letters share the last symbol, which no state has
-        self.index[symbols[symbols < 0x10000]] = np.nonzero(symbols < 0x10000)[0]
+        self.index = np.full(0x110000, len(symbols), np.int32)  # unseen letters share the last symbol, which no state has
+        self.index[symbols] = np.arange(len(symbols))
         self.width = width = len(symbols) + 1
         tables, self.starts, at = [], [], 0
         for c in cleaned:
@@ -94,7 +90,7 @@ class Parser:
         self.lengths = np.array([max(len(c), 2) for c in cleaned])
 
     def _codes(self, cp: np.ndarray) -> np.ndarray:
-        return self.index[np.where(cp < 0x10000, cp, 0xFFFF)]
+        return self.index[cp]
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases that each text (from ``letters``) needs in each language."""
@@ -120,20 +116,38 @@ class Parser:
             states[:, :n] = v >> 1
         np.add.at(out, [i for i, _ in parts], found.T)
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and score (its share if phrases are weighed by their code length). Ties go to the first by name."""
+    def bits(self, texts: list[str | None]) -> np.ndarray:
+        """Code length of each text in each language: its phrases, weighed by what it takes to name one. Not a number if a text has no letter."""
         cps = [letters(t) for t in texts]
-        counts = self.phrases(cps) if self.langs else np.zeros((len(texts), 0))
-        out = []
-        for cp, n in zip(cps, counts, strict=True):
-            if not len(cp) or not self.langs:
-                out.append(("und", 0.0))
-                continue
-            bits = n * np.log2(self.lengths)
-            k = int(np.argmin(bits))
-            out.append((self.langs[k], float(1 / np.exp2(np.maximum((bits[k] - bits) * 0.25, -60)).sum())))
+        out = self.phrases(cps) * np.log2(self.lengths)
+        out[[not len(cp) for cp in cps]] = np.nan
         return out
 
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score, see ``best``."""
+        least, which, weight = best(None, self.bits(texts), self.langs)
+        return [(k, s) if k else ("und", 0.0) for k, s in zip(which, (1 / weight).tolist(), strict=True)]
+
+
+def best(so_far: tuple | None, bits: np.ndarray, langs: list[str]) -> tuple[np.ndarray, list, np.ndarray]:
+    """Of languages in order of name, seen in one go or group by group: least code length, its language, and the sum of all weights with the least one's as 1.
+
+    The score is 1 over that sum. Ties go to the first by name; a text without letters has no language.
+    """
+    if so_far is None:
+        so_far = np.full(len(bits), np.inf), [None] * len(bits), np.zeros(len(bits))
+    least, which, weight = so_far
+    if not bits.shape[1] or not len(bits):
+        return so_far
+    k = np.argmin(bits, axis=1)
+    found = bits[np.arange(len(bits)), k]
+    better = found < least
+    now = np.where(better, found, least)
+    with np.errstate(invalid="ignore"):
+        old = np.where(np.isfinite(least), weight * np.exp2(np.maximum((now - least) * 0.25, -60)), 0)
+        new = np.exp2(np.maximum((now[:, None] - bits) * 0.25, -60)).sum(axis=1)
+    return now, [langs[j] if b else w for j, b, w in zip(k.tolist(), better.tolist(), which, strict=True)], np.where(np.isnan(found), 1.0, old + new)
+
 
 _built: dict[int, Parser] = {}
 
@@ -147,17 +161,15 @@ def parser_of(texts: dict[str, str]) -> Parser:
     return _built[key]
 
 
-def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, docs_per_lang: int = 150, chars_per_lang: int = 40_000, max_langs: int = 200) -> dict[str, str]:
+def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, docs_per_lang: int = 150, chars_per_lang: int = 40_000) -> dict[str, str]:
     """Labelled text per language: pieces of ``docs_per_lang`` documents, first by hash of the id, ``chars_per_lang`` letters in all.
 
     A piece has 4 * ``chars_per_lang`` / ``docs_per_lang`` characters from a place in the text that a hash of the id gives, so that
-    shared headers aren't what is learned. These bounds are for fitting only; over ``max_langs`` languages it raises. A language with a single document is learned from that one.
+    shared headers aren't what is learned. These bounds are for fitting only. A language with a single document is learned from that one.
     """
     ids = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), folds) != held_out)).select("doc_id", "lang")
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     ids = materialize(ids.withColumn("n", first).where(F.col("n") <= docs_per_lang).select("doc_id", "lang").distinct(), "langid-ids")
-    if ids.select("lang").distinct().count() > max_langs:
-        raise ValueError(f"over {max_langs} languages")
     piece = 4 * chars_per_lang // docs_per_lang
     rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(ids), (docs.doc_id.eqNullSafe(ids.doc_id)) & (docs.lang == ids.lang), "left_semi")
     start = (F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.greatest(F.length("text") - piece, F.lit(0)) + 1) + 1).cast("int")
@@ -168,20 +180,39 @@ def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, docs_per_lang: int =
     return {k: v[:chars_per_lang] for k, v in out.items() if len(letters(v))}
 
 
-def language_of(docs: DataFrame, model: dict[str, str], text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``doc_id, lang_pred, score`` of every row's whole text; ``und`` and 0 if it is null or has no letter."""
-    small_batches(docs.sparkSession)
-    box = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        for b in batches:
-            step = 1000
-            for at in range(0, b.num_rows, step):
-                part = b.slice(at, step)
-                got = parser_of(box.value).predict(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])
+def language_of(docs: DataFrame, model: dict[str, str], text: str = "text", id_col: str = "doc_id", group: int = 100) -> DataFrame:
+    """``doc_id, lang_pred, score`` of every row's whole text, however long; ``und`` and 0 if it is null or has no letter.
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    A worker holds the automata of ``group`` languages. With more languages the texts are read once for each group, and
+    the best so far goes with them from one stored table to the next; the result is the same. Repeated rows come
+    out as often, an empty table gives none, other columns are ignored.
+    """
+    small_batches(docs.sparkSession)
+    context, names = docs.sparkSession.sparkContext, sorted(model)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    groups = [names[k : k + group] for k in range(0, len(names), group)] or [[]]
+
+    def parsed(box, first: bool, last: bool):
+        def run(batches):
+            for b in batches:
+                parser = parser_of(box.value)
+                texts = b.column("text").to_pylist()
+                had = None if first else (b.column("least").to_numpy(zero_copy_only=False), b.column("which").to_pylist(), b.column("weight").to_numpy(zero_copy_only=False))
+                least, which, weight = best(had, parser.bits(texts) if parser.langs else np.zeros((len(texts), 0)), parser.langs)
+                if last:
+                    score = np.where([w is None for w in which], 0.0, 1 / np.maximum(weight, 1e-300))
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([w or "und" for w in which], pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+                else:
+                    cols = [b.column("doc_id"), b.column("text"), pa.array(least, pa.float64()), pa.array(which, pa.string()), pa.array(weight, pa.float64())]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text", "least", "which", "weight"])
+
+        return run
+
+    for k, langs in enumerate(groups):
+        box, last = context.broadcast({n: model[n] for n in langs}), k == len(groups) - 1
+        rows = rows.mapInArrow(parsed(box, k == 0, last), "doc_id long, lang_pred string, score double" if last else "doc_id long, text string, least double, which string, weight double")
+        rows = rows if last else materialize(rows, "langid-so-far")
+    return rows
 
 
 def op6_language(spark, sf_dir):
