@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import heapq
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, materialize, table
+from .common import WORD, materialize, table, unused
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -181,27 +182,40 @@ SELECT doc_id, size, source_size, target, (copies * size + greatest(0, least(siz
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last stage: the documents of the mix with what each gives: ``size, source_size, target, taken``; those that give nothing go."""
-    on = {"_id": F.col("doc_id"), "_source": F.col("source"), "_size": F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long"), "_key": F.xxhash64("text")}
-    plan = mix(docs, key=on["_key"]).select(F.col("doc_id").alias("_id"), F.col("pattern")[0].alias("_source"), F.col("size").alias("_size"), F.col("key").alias("_key"), "source_size", "target", "taken")
+    """Last stage: the documents of the mix with what each gives: ``size, source_size, target, taken``; those that give nothing go.
+
+    A column of the documents with one of these names comes out with ``_0`` (or the next free number) at its end.
+    """
+    own = ("size", "source_size", "target", "taken")
+    for c in docs.columns:
+        if c.lower() in own:
+            docs = docs.withColumnRenamed(c, next(n for n in (f"{c}_{k}" for k in count()) if n.lower() not in map(str.lower, docs.columns)))
+    i, s, z, k, nth = unused(docs, "id", "source", "size", "key", "nth")
+    on = {i: F.col("doc_id"), s: F.col("source"), z: F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long"), k: F.xxhash64("text")}
+    plan = mix(docs, key=on[k]).select(F.col("doc_id").alias(i), F.col("pattern")[0].alias(s), F.col("size").alias(z), F.col("key").alias(k), "source_size", "target", "taken")
     plan = materialize(plan, "mix-plan")
     alike = plan.groupBy(*on).agg(F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.min("taken").alias("low"), F.max("taken").alias("taken"))
     alike = materialize(alike.where("taken > 0"), "mix-alike")
-    left = docs.drop("size", "source_size", "target", "taken").withColumns(on).withColumn("size", F.col("_size"))
+    names = docs.columns
+    left = docs.withColumns(on)
 
-    def matched(rows: DataFrame, to: DataFrame, names: list[str]) -> DataFrame:
-        to = to.withColumnsRenamed({n: n + "r" for n in names})
+    def matched(rows: DataFrame, to: DataFrame, by: list[str], give: tuple) -> DataFrame:
+        """``rows`` that meet a row of ``to``, with what that gives."""
+        other = unused(rows, *(n + "_to" for n in by))
+        to = to.select(*(F.col(n).alias(o) for n, o in zip(by, other, strict=True)), *give)
         met = F.lit(True)
-        for n in names:
-            met &= F.col(n).eqNullSafe(F.col(n + "r"))
-        return rows.join(to, met).drop(*(n + "r" for n in names))
+        for n, o in zip(by, other, strict=True):
+            met &= F.col(n).eqNullSafe(F.col(o))
+        return rows.join(to, met).drop(*other)
+
+    def given(rows: DataFrame) -> DataFrame:
+        return rows.select(*names, F.col(z).alias("size"), *own[1:])
 
-    out = matched(left, alike.where("low = taken").drop("low"), list(on)).drop(*on)
+    out = given(matched(left, alike.where("low = taken"), list(on), own[1:]))
     uneven = alike.where("low <> taken").select(*on)
     if not uneven.limit(1).count():
         return out
     # Rows alike in all of this of which the mix takes unequal parts, at the edge: they are numbered and dealt out one by one.
-    nth = F.row_number().over(Window.partitionBy(*on).orderBy(F.desc("taken")))
-    parts = matched(plan, uneven, list(on)).withColumn("_nth", nth).where("taken > 0")
-    rest = matched(left, uneven, list(on)).withColumn("_nth", F.row_number().over(Window.partitionBy(*on).orderBy("size")))
-    return out.union(matched(rest, parts, [*on, "_nth"]).drop(*on, "_nth").select(*out.columns))
+    parts = matched(plan, uneven, list(on), ()).withColumn(nth, F.row_number().over(Window.partitionBy(*on).orderBy(F.desc("taken")))).where("taken > 0")
+    rest = matched(left, uneven, list(on), ()).withColumn(nth, F.row_number().over(Window.partitionBy(*on).orderBy(z)))
+    return out.union(given(matched(rest, parts, [*on, nth], own[1:])))
