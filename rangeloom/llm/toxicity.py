@@ -10,6 +10,7 @@ score, so a group's name weighs what other names weigh and neutral mentions aren
 
 from __future__ import annotations
 
+import sys
 from collections import Counter
 from itertools import chain
 
@@ -151,8 +152,8 @@ class _Rows:
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
         self.n = np.array([len(k) for k, _ in rows], np.int64)
         self.at = np.concatenate(([0], np.cumsum(self.n)))
-        self.cols = np.concatenate([np.zeros(0, np.int64), *(k for k, _ in rows)])
-        self.vals = np.concatenate([np.zeros(0), *(x for _, x in rows)])
+        self.cols = np.concatenate([np.zeros(0, np.int32), *(k.astype(np.int32) for k, _ in rows)])
+        self.vals = np.concatenate([np.zeros(0, np.float32), *(x.astype(np.float32) for _, x in rows)])
 
     def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = self.n[which]
@@ -171,24 +172,24 @@ class _Features:
     def _word(self, w: str) -> np.ndarray:
         ids = self.of_word.get(w)
         if ids is None:
-            ids = self.of_word[w] = np.array([self.number.setdefault(g, len(self.number)) for g in grams(w)], np.int64)
+            ids = self.of_word[w] = np.array([self.number.setdefault(g, len(self.number)) for g in grams(w)], np.int32)
         return ids
 
     def counts(self, doc: list[str]) -> tuple[np.ndarray, np.ndarray]:
         times = Counter(doc)
         ids = [self._word(w) for w in times]
         n = np.repeat(np.minimum(np.fromiter(times.values(), np.int64, len(times)), 3), np.fromiter(map(len, ids), np.int64, len(ids)))
-        k, at = np.unique(np.concatenate([np.zeros(0, np.int64), *ids]), return_inverse=True)
-        return k, np.bincount(at, n, len(k))
+        k, at = np.unique(np.concatenate([np.zeros(0, np.int32), *ids]), return_inverse=True)
+        return k, np.bincount(at, n, len(k)).astype(np.int32)
 
 
 def train(texts: list[str | None], labels: list[int], swap_penalty: float = 1.0, epochs: int = 12, min_docs: int = 4, decay: float = 3e-4, terms=IDENTITY_TERMS, seed: int = 0) -> Model:
     """Fit by mini-batch Adam. Features in fewer than ``min_docs`` documents of the sample are left out; all swaps count, averaged for each document."""
-    docs, features = [words(t) for t in texts], _Features()
+    docs, features = [list(map(sys.intern, words(t))) for t in texts], _Features()
     counts = [features.counts(d) for d in docs]
     for k in terms:
         features.counts(list(k))
-    df = np.bincount(np.concatenate([np.zeros(0, np.int64), *(k for k, _ in counts)]), minlength=len(features.number))
+    df = np.bincount(np.concatenate([np.zeros(0, np.int32), *(k for k, _ in counts)]), minlength=len(features.number))
     keep = df >= min_docs
     keep[features.counts([w for k in terms for w in k])[0]] = True
     names = [g for g, kept in zip(features.number, keep.tolist(), strict=True) if kept]
@@ -206,7 +207,7 @@ def train(texts: list[str | None], labels: list[int], swap_penalty: float = 1.0,
         return k[x != 0], x[x != 0]
 
     def mention(i: int, term: str) -> tuple[np.ndarray, np.ndarray]:
-        """The document's counts with a mention added, of the term's own features and no others."""
+        """The document's counts of the term's own features."""
         k, n = counts[i]
         ids = np.sort(features.counts([term])[0])
         at = np.minimum(np.searchsorted(k, ids), max(len(k) - 1, 0))
@@ -214,7 +215,7 @@ def train(texts: list[str | None], labels: list[int], swap_penalty: float = 1.0,
         return ids, had
 
     data = _Rows([row(k, n, len(d)) for (k, n), d in zip(counts, docs, strict=True)])
-    pairs, owner, share, both = [], [], [], []
+    pairs, owner, share = [], [], []
     for i, d in enumerate(docs):
         found = swaps(d, terms, i)
         for own, other in found:
@@ -226,7 +227,7 @@ def train(texts: list[str | None], labels: list[int], swap_penalty: float = 1.0,
                 pairs.append(change(change(row(ka[~one], na[~one] + 1, len(own)), row(ka[~one], na[~one], len(own))), change(row(kb[~two], nb[~two] + 1, len(own)), row(kb[~two], nb[~two], len(own)))))
             owner.append(i)
             share.append(1 / len(found))
-            both.append((own, other))
+    del counts
     pairs, owner, share = _Rows(pairs), np.array(owner, np.int64), np.array(share)
     first = np.searchsorted(owner, np.arange(len(docs) + 1))
 
@@ -250,10 +251,18 @@ def train(texts: list[str | None], labels: list[int], swap_penalty: float = 1.0,
             w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
             b -= 0.05 * gb
     model = Model({names[i]: float(w[i]) for i in np.nonzero(np.abs(w) > 0.02)[0]}, np.zeros(7))
+    del data, pairs, features, names
     if len(y):
         fitted = np.nonzero(held)[0] if held.any() else np.arange(len(y))
-        moved = (model.evidence([p[0] for p in both]) - model.evidence([p[1] for p in both])) * np.sqrt(share)[:, None] if both else np.zeros((0, 7))
-        model.top = _monotone(model.evidence([docs[i] for i in fitted]), y[fitted], moved, swap_penalty)
+        moved, parts = np.zeros((0, 7)), [range(k, min(k + 256, len(docs))) for k in range(0, len(docs), 256)]
+        for part in parts:
+            both = [p for i in part for p in swaps(docs[i], terms, i)]
+            if both:
+                moved = np.concatenate((moved, model.evidence([p[0] for p in both]) - model.evidence([p[1] for p in both])))
+        moved *= np.sqrt(share)[:, None]
+        x = np.concatenate([model.evidence([docs[i] for i in fitted[k : k + 256]]) for k in range(0, len(fitted), 256)])
+        model.top = _monotone(x, y[fitted], moved, swap_penalty)
+        model.__dict__.update(model.__getstate__())  # what training looked up isn't kept
     return model
 
 
