@@ -39,6 +39,11 @@ def unused(df: DataFrame, *names: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def held(keys: DataFrame, rows: int = 1 << 18) -> DataFrame:
+    """A stored table of narrow rows, to be broadcast to its join if it has at most ``rows`` of them, else shuffled."""
+    return F.broadcast(keys) if keys.count() <= rows else keys
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a DataFrame that ``materialize`` made."""
     if path := getattr(df, "_stored_at", None):

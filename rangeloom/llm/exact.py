@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, fresh_path, materialize, note, scratch, table, unused
+from .common import SPACE, fresh_path, held, materialize, note, scratch, table, unused
 
 
 def normalised(text: Column) -> Column:
@@ -51,7 +51,7 @@ def _owned(df: DataFrame, n_buckets: int, name: str, *order: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
-def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", capacity: int = 1 << 16, max_depth: int = 16, hash_bits: int = 64, held: int = 1 << 18) -> DataFrame:
+def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", capacity: int = 1 << 16, max_depth: int = 16, hash_bits: int = 64, most: int = 1 << 18) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256, bucket``.
 
     1. Each row becomes an index record ``(hash, id)``. The directory doubles until no bucket holds over ``capacity``
@@ -65,7 +65,7 @@ def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", ca
 
     Null text counts as empty. A null id sorts last. Rows that repeat an id and a text count one by
     one and exactly one is kept. An empty table gives no rows; other columns are ignored. Texts may have any length.
-    ``hash_bits`` under 64 is for tests that want collisions. Up to ``held`` hashes are broadcast to their joins, more are
+    ``hash_bits`` under 64 is for tests that want collisions. Up to ``most`` hashes are broadcast to their joins, more are
     shuffled; the result is the same.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), normalised(F.col(text)).alias("norm"))
@@ -80,8 +80,7 @@ def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", ca
     where = F.broadcast(spark.createDataFrame(ranges, "lo int, hi int, bucket int").select(F.explode(F.sequence("lo", "hi")).alias("cell"), "bucket"))
     entries = keys.groupBy("h", "cell").agg(F.count("*").alias("n"), F.min(_first()).alias("first"))
     index = _owned(entries.join(where, "cell").select("bucket", "h", "n", "first"), len(ranges), "exact-index", "h")
-    twice = index.where("n > 1")
-    twice = F.broadcast(twice) if twice.count() <= held else twice
+    twice = held(index.where("n > 1"), most)
 
     texts = rows.join(twice.select("h", "bucket"), "h").groupBy("bucket", "h", "norm").agg(F.count("*").alias("n"))
     slot = F.row_number().over(Window.partitionBy("bucket", "h").orderBy("norm"))
@@ -120,7 +119,7 @@ SELECT doc_id, keep_id, group_size, kept, sha256(norm) AS text_sha256 FROM w
 """
 
 
-def keep_first(docs: DataFrame, groups: DataFrame, tables, held: int = 1 << 18) -> DataFrame:
+def keep_first(docs: DataFrame, groups: DataFrame, tables) -> DataFrame:
     """Rows of ``docs`` that ``groups`` keeps, with all columns; only what goes is looked up, so most rows just pass."""
     groups = materialize(groups.select("doc_id", "keep_id", "kept", F.unhex("text_sha256").alias("sha")), "exact-groups")
     names = docs.columns
@@ -131,7 +130,7 @@ def keep_first(docs: DataFrame, groups: DataFrame, tables, held: int = 1 << 18)
         return tables.keep(materialize(groups.where(~F.col("kept") & which).select(F.col("doc_id").alias(key), F.col("sha").alias(sha)).distinct(), "exact-gone"))
 
     def met(df, keys, how):
-        return df.join(F.broadcast(keys) if keys.count() <= held else keys, F.col(i).eqNullSafe(F.col(key)) & (F.col(s) == F.col(sha)), how)
+        return df.join(held(keys), F.col(i).eqNullSafe(F.col(key)) & (F.col(s) == F.col(sha)), how)
 
     gone, again = listed(~same), listed(same)
     rows = docs.withColumns({i: F.col("doc_id").cast("long"), s: F.unhex(F.sha2(normalised(F.col("text")), 256))})

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bloom, bloom_bits, connected_components, materialize, passing, scratch, small_batches, spread, table, unused
+from .common import bloom, bloom_bits, connected_components, held, materialize, passing, scratch, small_batches, spread, table, unused
 
 SEED = 42
 BLOCK = 1 << 15
@@ -210,7 +210,7 @@ def op1_simhash(spark, sf_dir):
 # --- groups by verified similarity -----------------------------------------------------------------------------------
 
 #: Texts from which common shingles are learned, and the most of these that are kept. They set costs, never results.
-SAMPLE = 20_000
+SAMPLE = 5_000
 COMMON = 1 << 18
 #: Members of a shingle that are held at once.
 CHUNK = 4096
@@ -367,7 +367,7 @@ def _candidates(similarity: float, per_member: int):
     return run
 
 
-def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", similarity: float = 0.8, shingle: int = 5, hot: int = 64, hot_again: int = 1024, per_member: int = 8, pivots: int = 16) -> DataFrame:
+def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", similarity: float = 0.8, shingle: int = 5, hot: int = 16, hot_again: int = 1024, per_member: int = 8, pivots: int = 16) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, uid, first_id, first``; near copies by verified similarity.
 
     A node is a set of word n-grams; texts with equal sets are one. Candidates come from a prefix filter, which loses
@@ -398,7 +398,7 @@ def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     nodes = found.where("size > 0").groupBy("node").agg(F.min("uid").alias("uid"), F.min("size").alias("size"), F.first("bits").alias("bits"))
     nodes = materialize(nodes, "similar-nodes")
     others = found.where("size > 0").select("node", "uid").join(nodes.select("node", F.col("uid").alias("first")), "node").where("uid <> first").select("uid").distinct()
-    sole = found.where("size > 0").join(materialize(others, "similar-others"), "uid", "left_anti")
+    sole = found.where("size > 0").join(held(materialize(others, "similar-others")), "uid", "left_anti")
 
     def searched(entries: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """Pairs and crowds of ``shingle, node, size, rest``."""
@@ -452,7 +452,7 @@ def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array(grams, pa.list_(pa.int64()))], ["uid", "grams"])
 
     # A row that is there again in another task just gives a link twice.
-    texts = materialize(some.mapInArrow(sets, "uid long, grams array<long>").join(wanted, "uid").select("node", "grams"), "similar-sets")
+    texts = materialize(some.mapInArrow(sets, "uid long, grams array<long>").join(held(wanted), "uid").select("node", "grams"), "similar-sets")
 
     def close(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
@@ -461,7 +461,7 @@ def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
     crowded = again.limit(1).count() > 0
     if crowded:
-        members = texts.join(again, "node").dropDuplicates(["node"]).select("node", F.size("grams").alias("size"), F.explode("grams").alias("shingle"))
+        members = texts.join(held(again), "node").dropDuplicates(["node"]).select("node", F.size("grams").alias("size"), F.explode("grams").alias("shingle"))
         counts = materialize(members.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "similar-counts")
         ranked = members.join(counts, "shingle").groupBy("node").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("l"))
         ranked = ranked.select("node", "size", F.size("l").alias("shared"), F.posexplode("l").alias("pos", "e"))
@@ -517,6 +517,6 @@ def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     same_id, same_uid = unused(docs, "id", "uid")
     with scratch() as tables:
         gone = similar_groups(docs).where("not first").select(F.col("doc_id").alias(same_id), F.col("uid").alias(same_uid)).distinct()
-        gone = tables.keep(materialize(gone, "simhash-gone"))
+        gone = held(tables.keep(materialize(gone, "simhash-gone")))
     uid = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").cast("long"))
     return docs.join(gone, (uid == F.col(same_uid)) & F.col("doc_id").cast("long").eqNullSafe(F.col(same_id)), "left_anti")

@@ -35,9 +35,9 @@ def test_exact_equals_plain_grouping(spark, bits):
     assert sorted(map(tuple, got), key=str) == plain(ROWS)
 
 
-@pytest.mark.parametrize("held", [0, 1000])
-def test_exact_with_hashes_shuffled_or_broadcast(spark, held):
-    got = exact.exact_groups(docs_of(spark, ROWS), capacity=1, max_depth=5, held=held).drop("bucket").collect()
+@pytest.mark.parametrize("most", [0, 1000])
+def test_exact_with_hashes_shuffled_or_broadcast(spark, most):
+    got = exact.exact_groups(docs_of(spark, ROWS), capacity=1, max_depth=5, most=most).drop("bucket").collect()
     assert sorted(map(tuple, got), key=str) == plain(ROWS)
 
 
