@@ -16,11 +16,14 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts can be long: Arrow batches of ``rows`` rows, unless the session already asks for fewer."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Texts can be long: Arrow batches of ``rows`` rows and ``size`` bytes or so, unless the session already asks for less."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        try:
+            if not 0 < int(spark.conf.get(key).removesuffix("b")) <= most:
+                spark.conf.set(key, str(most))
+        except ValueError:  # a size with a unit is the user's own
+            pass
 
 
 def spread(df: DataFrame) -> DataFrame:

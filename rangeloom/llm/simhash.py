@@ -210,7 +210,7 @@ def op1_simhash(spark, sf_dir):
 # --- groups by verified similarity -----------------------------------------------------------------------------------
 
 #: Texts from which common shingles are learned, and the most of these that are kept. They set costs, never results.
-SAMPLE = 5_000
+SAMPLE = 20_000
 COMMON = 1 << 18
 #: Members of a shingle that are held at once.
 CHUNK = 4096
@@ -241,16 +241,26 @@ def sketch(grams: np.ndarray) -> bytes:
 
 
 def _common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that occur in two or more texts of a bounded sample, sorted, and in how many."""
+    """Shingles that occur in two or more texts of a bounded sample, sorted, and in how many.
+
+    They travel as arrays, one for each task and share of the hash, and are counted by sorting these.
+    """
     rate = max(1, rows.count() // SAMPLE)
+    parts = 64
 
-    def run(batches):
+    def dealt(batches):
         for b in batches:
-            for t in b.column("text").cast(pa.binary()):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), shingle))], ["shingle"])
+            grams = np.sort(np.concatenate([np.zeros(0, np.int64), *(shingles(t.as_py(), shingle) for t in b.column("text").cast(pa.binary()))]))
+            cuts = np.searchsorted(grams >> 58, np.arange(-parts // 2, parts // 2 + 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts)), pa.array([grams[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["part", "grams"])
+
+    def counted(batches):
+        held = [np.frombuffer(x, np.int64) for b in batches for x in b.column("grams").to_pylist()]
+        keys, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[n > 1]), pa.array(n[n > 1])], ["shingle", "n"])
 
-    some = rows.where(F.pmod(F.xxhash64("uid"), F.lit(rate)) == 0).select("text").mapInArrow(run, "shingle long")
-    found = some.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    some = rows.where(F.pmod(F.xxhash64("uid"), F.lit(rate)) == 0).select("text").mapInArrow(dealt, "part long, grams binary")
+    found = some.repartition(parts, "part").mapInArrow(counted, "shingle long, n long").orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
     keys, n = found.column("shingle").to_numpy(), found.column("n").to_numpy()
     order = np.argsort(keys)
     return keys[order], n[order]
@@ -367,7 +377,7 @@ def _candidates(similarity: float, per_member: int):
     return run
 
 
-def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", similarity: float = 0.8, shingle: int = 5, hot: int = 16, hot_again: int = 1024, per_member: int = 8, pivots: int = 16) -> DataFrame:
+def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", similarity: float = 0.8, shingle: int = 5, hot: int = 64, hot_again: int = 1024, per_member: int = 8, pivots: int = 16) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, uid, first_id, first``; near copies by verified similarity.
 
     A node is a set of word n-grams; texts with equal sets are one. Candidates come from a prefix filter, which loses

@@ -47,7 +47,7 @@ IDENTITY_TERMS = (
 )
 _OUTER = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—¡¿"
 #: Words whose scores a worker remembers; texts repeat their frequent ones.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 def words(text: str | None) -> list[str]:
@@ -82,7 +82,7 @@ class Model:
     def _look_up(self, flat: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Slot of each word and the slots' scores; each different word is scored once."""
         new = set(flat).difference(self._slots)
-        if len(self._slots) + len(new) > REMEMBERED:
+        if self._slots and len(self._slots) + len(new) > REMEMBERED:
             self._slots, self._scores, new = {}, np.zeros(0), set(flat)
         if new:
             at = len(self._slots)
@@ -114,7 +114,7 @@ class Model:
         """Of whole texts, in parts of bounded length."""
         out, part, size = [np.zeros(0)], [], 0
         for t in chain(texts, [None]):
-            if part and (size > 1 << 22 or len(part) >= 512):
+            if part and (size > 1 << 20 or len(part) >= 256):
                 out.append(self._logistic(part))
                 part, size = [], 0
             part.append(words(t))
