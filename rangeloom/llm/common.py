@@ -85,17 +85,22 @@ def bloom(keys: DataFrame, column: str = "uid") -> np.ndarray:
     return out
 
 
+def in_bloom(b: pa.RecordBatch, bits: np.ndarray) -> np.ndarray:
+    """Whether the places ``b0`` and ``b1`` of each row are in the filter."""
+    ok = np.ones(b.num_rows, bool)
+    for c in ("b0", "b1"):
+        bit = b.column(c).to_numpy()
+        ok &= (bits[bit >> 5] >> (bit & 31).astype(np.uint32) & 1).astype(bool)
+    return ok
+
+
 def passing(rows: DataFrame, box) -> DataFrame:
     """Rows whose ``b0`` and ``b1`` are in the broadcast filter, without these two columns."""
     kept = [c for c in rows.columns if c not in ("b0", "b1")]
 
     def run(batches):
         for b in batches:
-            ok = np.ones(b.num_rows, bool)
-            for c in ("b0", "b1"):
-                bit = b.column(c).to_numpy()
-                ok &= (box.value[bit >> 5] >> (bit & 31).astype(np.uint32) & 1).astype(bool)
-            yield b.select(kept).filter(pa.array(ok, pa.bool_()))
+            yield b.select(kept).filter(pa.array(in_bloom(b, box.value), pa.bool_()))
 
     return rows.mapInArrow(run, rows.select(*kept).schema)
 

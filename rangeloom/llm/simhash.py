@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bloom, bloom_bits, connected_components, held, materialize, passing, scratch, small_batches, spread, table, unused
+from .common import bloom, bloom_bits, connected_components, held, in_bloom, materialize, scratch, small_batches, spread, table, unused
 
 SEED = 42
 BLOCK = 1 << 15
@@ -449,11 +449,12 @@ def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(again).distinct()
     wanted = materialize(wanted.join(nodes, "node").select("node", "uid"), "similar-wanted")
     box = context.broadcast(bloom(wanted))
-    some = passing(rows.select("uid", "text").withColumns(bloom_bits()), box)
+    some = rows.select("uid", "text").withColumns(bloom_bits())
 
     def sets(batches):
         seen: set[int] = set()
         for b in batches:
+            b = b.filter(pa.array(in_bloom(b, box.value), pa.bool_()))
             for at in range(0, b.num_rows, 100):
                 part = b.slice(at, 100)
                 new = [k for k, u in enumerate(part.column("uid").to_pylist()) if not (u in seen or seen.add(u))]

@@ -10,7 +10,6 @@ score, so a group's name weighs what other names weigh and neutral mentions aren
 
 from __future__ import annotations
 
-import sys
 from collections import Counter
 from itertools import chain
 
@@ -152,8 +151,9 @@ class _Rows:
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
         self.n = np.array([len(k) for k, _ in rows], np.int64)
         self.at = np.concatenate(([0], np.cumsum(self.n)))
-        self.cols = np.concatenate([np.zeros(0, np.int32), *(k.astype(np.int32) for k, _ in rows)])
-        self.vals = np.concatenate([np.zeros(0, np.float32), *(x.astype(np.float32) for _, x in rows)])
+        self.cols, self.vals = np.empty(self.at[-1], np.int32), np.empty(self.at[-1], np.float32)
+        for (k, x), a, b in zip(rows, self.at[:-1].tolist(), self.at[1:].tolist(), strict=True):
+            self.cols[a:b], self.vals[a:b] = k, x
 
     def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = self.n[which]
@@ -180,26 +180,30 @@ class _Features:
         ids = [self._word(w) for w in times]
         n = np.repeat(np.minimum(np.fromiter(times.values(), np.int64, len(times)), 3), np.fromiter(map(len, ids), np.int64, len(ids)))
         k, at = np.unique(np.concatenate([np.zeros(0, np.int32), *ids]), return_inverse=True)
-        return k, np.bincount(at, n, len(k)).astype(np.int32)
+        return k, np.bincount(at, n, len(k)).astype(np.int16)
 
 
 def train(texts: list[str | None], labels: list[int], swap_penalty: float = 1.0, epochs: int = 12, min_docs: int = 4, decay: float = 3e-4, terms=IDENTITY_TERMS, seed: int = 0) -> Model:
     """Fit by mini-batch Adam. Features in fewer than ``min_docs`` documents of the sample are left out; all swaps count, averaged for each document."""
-    docs, features = [list(map(sys.intern, words(t))) for t in texts], _Features()
+    seen: dict[str, str] = {}
+    docs, features = [[seen.setdefault(w, w) for w in words(t)] for t in texts], _Features()
+    del seen
     counts = [features.counts(d) for d in docs]
     for k in terms:
         features.counts(list(k))
-    df = np.bincount(np.concatenate([np.zeros(0, np.int32), *(k for k, _ in counts)]), minlength=len(features.number))
+    df = np.zeros(len(features.number), np.int32)
+    for k, _ in counts:
+        df[k] += 1
     keep = df >= min_docs
     keep[features.counts([w for k in terms for w in k])[0]] = True
     names = [g for g, kept in zip(features.number, keep.tolist(), strict=True) if kept]
-    index = np.cumsum(keep) - 1
+    index = (np.cumsum(keep) - 1).astype(np.int32)
     y = np.array(labels, np.float64)
 
     def row(k: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         known = np.nonzero(k < len(keep))[0]
         known = known[keep[k[known]]]
-        return index[k[known]], np.log1p(n[known]) * (5 / np.sqrt(20.0 + length))
+        return index[k[known]], (np.log1p(n[known], dtype=np.float32) * (5 / np.sqrt(20.0 + length))).astype(np.float32)
 
     def change(own: tuple, other: tuple) -> tuple[np.ndarray, np.ndarray]:
         k, at = np.unique(np.concatenate((own[0], other[0])), return_inverse=True)
@@ -214,21 +218,23 @@ def train(texts: list[str | None], labels: list[int], swap_penalty: float = 1.0,
         had = np.where(k[at] == ids, n[at], 0) if len(k) else np.zeros(len(ids))
         return ids, had
 
-    data = _Rows([row(k, n, len(d)) for (k, n), d in zip(counts, docs, strict=True)])
-    pairs, owner, share = [], [], []
+    rows, pairs, owner, share = [], [], [], []
     for i, d in enumerate(docs):
+        rows.append(row(*counts[i], len(d)))
         found = swaps(d, terms, i)
         for own, other in found:
             if own is d:
-                pairs.append(change(row(*counts[i], len(d)), row(*features.counts(other), len(other))))
+                pairs.append(change(rows[i], row(*features.counts(other), len(other))))
             else:  # the rest of the sentence is alike on both sides
                 (ka, na), (kb, nb) = mention(i, own[-1]), mention(i, other[-1])
                 one, two = np.isin(ka, kb), np.isin(kb, ka)
                 pairs.append(change(change(row(ka[~one], na[~one] + 1, len(own)), row(ka[~one], na[~one], len(own))), change(row(kb[~two], nb[~two] + 1, len(own)), row(kb[~two], nb[~two], len(own)))))
             owner.append(i)
             share.append(1 / len(found))
-    del counts
-    pairs, owner, share = _Rows(pairs), np.array(owner, np.int64), np.array(share)
+        counts[i] = None
+    del counts, features
+    data, pairs, owner, share = _Rows(rows), _Rows(pairs), np.array(owner, np.int64), np.array(share)
+    del rows
     first = np.searchsorted(owner, np.arange(len(docs) + 1))
 
     rng, n = np.random.default_rng(seed), len(names)
@@ -251,7 +257,7 @@ def train(texts: list[str | None], labels: list[int], swap_penalty: float = 1.0,
             w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
             b -= 0.05 * gb
     model = Model({names[i]: float(w[i]) for i in np.nonzero(np.abs(w) > 0.02)[0]}, np.zeros(7))
-    del data, pairs, features, names
+    del data, pairs, names
     if len(y):
         fitted = np.nonzero(held)[0] if held.any() else np.arange(len(y))
         moved, parts = np.zeros((0, 7)), [range(k, min(k + 256, len(docs))) for k in range(0, len(docs), 256)]
