@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..names import refuse, unused
 from ..spec import COUNT, KEY, SIZE, SortSpec
 
 #: Sampled rows for each partition: a bound is then off by a few per cent of a share; with many partitions fewer do.
@@ -116,14 +117,15 @@ def choose_bounds(df: DataFrame, spec: SortSpec, weight: Column | None = None, s
     if spec.partition == SIZE and weight is None:
         weight = row_bytes(df)
     columns = spec.keys if spec.partition == KEY else (*spec.keys, *spec.tiebreak)
-    thin = df.select(*columns, (weight if spec.partition == SIZE else F.lit(1)).cast("double").alias("_w"))
+    (w,) = unused(df, "w")
+    thin = df.select(*columns, (weight if spec.partition == SIZE else F.lit(1)).cast("double").alias(w))
     n = df.count()
     want = sample_size(spec.n_partitions)
     if spec.partition == SIZE and n > want:
         # Heavy rows matter most: each is taken with odds in proportion to its weight, and then stands for an even share.
-        mean = thin.agg(F.avg("_w")).first()[0] or 1.0
-        odds = F.least(F.lit(1.0), F.col("_w") / (mean * n / want))
-        thin = thin.where(F.rand(seed) < odds).withColumn("_w", F.greatest(F.col("_w"), F.lit(mean * n / want)))
+        mean = thin.agg(F.avg(w)).first()[0] or 1.0
+        odds = F.least(F.lit(1.0), F.col(w) / (mean * n / want))
+        thin = thin.where(F.rand(seed) < odds).withColumn(w, F.greatest(F.col(w), F.lit(mean * n / want)))
     elif n > want:
         thin = thin.sample(want / n, seed)
     sample = sorted((tuple(r) for r in thin.collect()), key=lambda r: _order(r[:-1]))
@@ -131,17 +133,18 @@ def choose_bounds(df: DataFrame, spec: SortSpec, weight: Column | None = None, s
     return Bounds(tuple(columns), tuple(cuts))
 
 
-def partition_by_range(df: DataFrame, spec: SortSpec, weight: Column | None = None, bounds: Bounds | None = None) -> DataFrame:
-    """``df`` with ``pid``, each pid in the physical partition of that number. One shuffle.
+def partition_by_range(df: DataFrame, spec: SortSpec, weight: Column | None = None, bounds: Bounds | None = None, pid: str = "pid") -> DataFrame:
+    """``df`` with a last column ``pid`` (or another name), each pid in the physical partition of that number. One shuffle.
 
     Even shares of rows or keys are what Spark's own range partitioning gives, with a compiled search over any
     number of bounds; bytes, imbalance and given bounds go by the tree of comparisons.
     """
+    refuse(df, pid)
     if bounds is None and spec.partition != SIZE and spec.imbalance == 1.0:
         columns = spec.keys if spec.partition == KEY else (*spec.keys, *spec.tiebreak)
-        return df.repartitionByRange(spec.n_partitions, *columns).withColumn("pid", F.spark_partition_id())
+        return df.repartitionByRange(spec.n_partitions, *columns).withColumn(pid, F.spark_partition_id())
     bounds = bounds or choose_bounds(df, spec, weight)
-    return df.withColumn("pid", bounds.partition(df)).repartitionById(len(bounds.cuts) + 1, F.col("pid"))
+    return df.withColumn(pid, bounds.partition(df)).repartitionById(len(bounds.cuts) + 1, F.col(pid))
 
 
 def metrics(df: DataFrame, pid: str | None = None, weight: Column | None = None) -> DataFrame:
@@ -189,9 +192,10 @@ def sparse_index(positions: DataFrame, stride: int, unit: str = "rows") -> DataF
     """
     if unit == "rows":
         return positions.where((F.col("pos") - 1) % stride == 0)
-    step = F.floor(F.col("before") / stride)
-    first = Window.partitionBy("_step").orderBy("pos")
-    return positions.withColumn("_step", step).withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k", "_step")
+    step, k = unused(positions, "step", "k")
+    first = Window.partitionBy(step).orderBy("pos")
+    out = positions.withColumn(step, F.floor(F.col("before") / stride)).withColumn(k, F.row_number().over(first))
+    return out.where(F.col(k) == 1).drop(k, step)
 
 
 def dynamic_stride(total_bytes: int, mean_key: float, mean_record: float, budget_bytes: int, unit: str = "rows") -> int:

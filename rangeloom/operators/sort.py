@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.encode import encode_f32, encode_f64
+from ..names import refuse, unused
 from ..spec import SortSpec
 from ..storage import materialize
-from .partition import Bounds, choose_bounds, partition_by_range, row_bytes
+from .partition import Bounds, partition_by_range, row_bytes
 from .stats import MergeStats, RunGenerationStats, SortStats, io_by_stage, io_since
 
 
@@ -29,49 +30,55 @@ def project(df: DataFrame, spec: SortSpec) -> DataFrame:
 def _prepared(df: DataFrame, spec: SortSpec) -> tuple[DataFrame, SortSpec, list[str]]:
     """Strict float keys become helper columns, so that bounds and order use the same values."""
     df = project(df, spec)
-    helpers = {f"_k{i}": c for i, c in enumerate(order_columns(df, spec))} if spec.strict_float_order else {}
-    if not helpers:
+    if not spec.strict_float_order:
         return df, spec, []
-    names = tuple(helpers)
-    n = len(spec.keys)
+    order = order_columns(df, spec)
+    names, n = unused(df, *(f"k{i}" for i in range(len(order)))), len(spec.keys)
+    helpers = dict(zip(names, order, strict=True))
     return df.withColumns(helpers), SortSpec(names[:n], None, names[n:], spec.partition, spec.n_partitions, spec.imbalance), list(names)
 
 
 def global_sort(df: DataFrame, spec: SortSpec, weight: Column | None = None) -> DataFrame:
     """``df`` in total order: partition i holds what precedes partition i + 1, each sorted. All duplicates stay."""
     df, by, helpers = _prepared(df, spec)
-    return partition_by_range(df, by, weight).sortWithinPartitions(*by.keys, *by.tiebreak).drop("pid", *helpers)
+    (pid,) = unused(df, "pid")
+    return partition_by_range(df, by, weight, pid=pid).sortWithinPartitions(*by.keys, *by.tiebreak).drop(pid, *helpers)
 
 
 def with_position(df: DataFrame, spec: SortSpec, weight: Column | None = None, before: Column | None = None) -> DataFrame:
-    """The sorted rows with ``pos``, from 1, and, if ``before`` is a weight, its sum over the rows before.
+    """The rows with ``pos``, their place in total order from 1, and, if ``before`` is a weight, its sum over the rows before.
 
-    No window over the whole table: rows per partition come from a scan of the keys (a few numbers for the
-    driver), and a row's place in its partition from the sorted partition itself.
+    The rows are sorted once and stored with their place in their partition; rows (and weight) per partition are counted
+    from the stored table, and what comes before a partition, a row for each, is joined to it. No window over
+    the whole table, and no bound in the plan where Spark's range partitioning does.
     """
+    refuse(df, "pos", *(() if before is None else ("before",)))
     df, by, helpers = _prepared(df, spec)
-    bounds = choose_bounds(df, by, weight)
-    pid = bounds.partition(df)
-    n = len(bounds.cuts) + 1
-    found = {r.pid: (r.n, r.w or 0) for r in df.select(pid.alias("pid"), (F.lit(0) if before is None else before).alias("_w")).groupBy("pid").agg(F.count("*").alias("n"), F.sum("_w").alias("w")).collect()}
-    rows_before, weight_before = [0], [0]
-    for k in range(n - 1):
-        c, w = found.get(k, (0, 0))
-        rows_before.append(rows_before[-1] + c)
-        weight_before.append(weight_before[-1] + w)
-    out = df.withColumn("pid", pid).repartitionById(n, F.col("pid")).sortWithinPartitions(*by.keys, *by.tiebreak)
-    offset = F.array(*(F.lit(x) for x in rows_before))[F.col("pid")]
-    out = out.withColumn("pos", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1 + offset)
+    pid, at, w, n, first, sum_before = unused(df, "pid", "at", "w", "n", "first", "sum")
     if before is not None:
-        inside = F.sum("_w").over(Window.partitionBy("pid").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-        out = out.withColumn("_w", before).withColumn("before", F.coalesce(inside, F.lit(0)) + F.array(*(F.lit(x) for x in weight_before))[F.col("pid")]).drop("_w")
-    return out.drop("pid", *helpers)
+        df = df.withColumn(w, before)
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    rows = partition_by_range(df, by, weight, pid=pid).sortWithinPartitions(*by.keys, *by.tiebreak)
+    rows = materialize(rows.withColumn(at, place).drop(*helpers), "positions")
+    per = rows.groupBy(pid).agg(F.count("*").alias(n), (F.lit(0).cast("long") if before is None else F.sum(w)).alias(w)).orderBy(pid).collect()
+    offsets, so_far, weight_so_far = [], 0, 0
+    for r in per:
+        offsets.append((r[pid], so_far, weight_so_far))
+        so_far, weight_so_far = so_far + r[n], weight_so_far + (r[w] or 0)
+    kind = "long" if before is None else per and rows.agg(F.sum(w)).schema[0].dataType.simpleString() or "long"
+    table = df.sparkSession.createDataFrame(offsets, f"{pid} int, {first} long, {sum_before} {kind}")
+    out = rows.join(F.broadcast(table), pid).withColumn("pos", F.col(at) + 1 + F.col(first))
+    if before is not None:
+        inside = F.sum(w).over(Window.partitionBy(pid).orderBy(at).rowsBetween(Window.unboundedPreceding, -1))
+        out = out.withColumn("before", F.coalesce(inside, F.lit(0)) + F.col(sum_before))
+    return out.drop(pid, at, w, first, sum_before)
 
 
 def run_generation(df: DataFrame, spec: SortSpec, n_runs: int) -> tuple[DataFrame, RunGenerationStats]:
     """First phase: ``n_runs`` runs, each sorted by itself and stored, with column ``run``; not yet a total order."""
     began = time.time()
     df = project(df, spec)
+    refuse(df, "run")
     rows = df.repartition(n_runs).withColumn("run", F.spark_partition_id()).sortWithinPartitions(*order_columns(df, spec))
     runs = materialize(rows, "runs")
     weight = row_bytes(df)
@@ -82,11 +89,13 @@ def run_generation(df: DataFrame, spec: SortSpec, n_runs: int) -> tuple[DataFram
 def merge_runs(runs: DataFrame, spec: SortSpec, bounds: Bounds | None = None) -> DataFrame:
     """Second phase: each task takes its key range out of every run and gives it in order. The run breaks no ties."""
     df, by, helpers = _prepared(runs, spec)
-    return partition_by_range(df, by, bounds=bounds).sortWithinPartitions(*by.keys, *by.tiebreak).drop("pid", *helpers)
+    (pid,) = unused(df, "pid")
+    return partition_by_range(df, by, bounds=bounds, pid=pid).sortWithinPartitions(*by.keys, *by.tiebreak).drop(pid, *helpers)
 
 
 def sort_with_stats(df: DataFrame, spec: SortSpec, n_runs: int) -> tuple[DataFrame, SortStats]:
-    """Both phases with their statistics. The result is stored, so that reading it again doesn't sort again."""
+    """Both phases with their statistics. The result is stored, with its partition as ``pid``, so that reading it again doesn't sort again."""
+    refuse(project(df, spec), "pid")
     spark = df.sparkSession
     seen = io_by_stage(spark)
     runs, first = run_generation(df, spec, n_runs)

@@ -177,15 +177,16 @@ class Written(WriterCommitMessage):
 
 
 class KvBinWriter(DataSourceArrowWriter):
-    """A file and its index per task, under names no retry shares; on commit only those of the winners stay."""
+    """A file and its index per task, under names no retry and no other job shares; on commit those of the job's losers go."""
 
     def __init__(self, options: dict):
         self.path, self.block = options["path"].rstrip("/"), int(options.get("block", BLOCK))
+        self.job = uuid.uuid4().hex
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         where, p = _open(self.path)
         where.create_dir(p, recursive=True)
-        name = f"part-{uuid.uuid4().hex}.kvbin"
+        name = f"part-{self.job}-{uuid.uuid4().hex}.kvbin"
         rows, at, held, size, points = 0, 0, [], 0, []
         with where.open_output_stream(f"{p}/{name}") as f:
             for b in batches:
@@ -206,17 +207,17 @@ class KvBinWriter(DataSourceArrowWriter):
         return Written(name, rows, len(points))
 
     def commit(self, messages):
-        where, p = _open(self.path)
-        keep = {m.file for m in messages if m}
-        for f in where.get_file_info(fs.FileSelector(p, allow_not_found=True)):
-            if f.base_name.startswith("part-") and f.base_name.removesuffix(".idx") not in keep:
-                where.delete_file(f.path)
+        self._drop_but({m.file for m in messages if m})
 
     def abort(self, messages):
+        self._drop_but(set())
+
+    def _drop_but(self, keep: set[str]) -> None:
+        """Delete this job's files, and no other's, but for ``keep`` and their indexes."""
         where, p = _open(self.path)
-        for m in messages:
-            for name in (m.file, f"{m.file}.idx") if m else ():
-                where.delete_file(f"{p}/{name}")
+        for f in where.get_file_info(fs.FileSelector(p, allow_not_found=True)):
+            if f.base_name.startswith(f"part-{self.job}-") and f.base_name.removesuffix(".idx") not in keep:
+                where.delete_file(f.path)
 
 
 class KvBin(DataSource):
@@ -263,7 +264,7 @@ def read_kvbin(spark: SparkSession, path: str, partitions: int = 8, truncated: s
 
 
 def write_kvbin(df: DataFrame, path: str, block: int = BLOCK) -> None:
-    """``key, value`` as a folder of files with indexes; the order of rows isn't kept across files."""
+    """``key, value`` as a folder of files with indexes, beside what is there already; the order of rows isn't kept across files."""
     register(df.sparkSession)
     df.select("key", "value").write.format("kvbin").mode("append").options(path=path, block=block).save()
 

@@ -134,6 +134,32 @@ def test_values_are_projected(spark):
     assert sort.global_sort(df, SortSpec(("a",), ("c",), (), COUNT, 1)).columns == ["a", "c"]
 
 
+HELPERS = ["pid", "pos_", "_w", "_k0", "_pid_0", "_k0_0", "_at_0", "_w_0", "_n_0", "_first_0", "_sum_0", "n", "w", "_step", "_k"]
+
+
+@pytest.mark.parametrize("policy", POLICIES)
+@pytest.mark.parametrize("strict", [False, True])
+def test_columns_may_have_the_names_of_helpers(spark, policy, strict):
+    """Sorted by a column called pid, with every other helper's name beside it: order and values are the input's own."""
+    rng = random.Random(3)
+    rows = [(float(rng.randrange(50)), i, *(f"{c}{i}" for c in HELPERS[1:])) for i in range(400)]
+    df = spark.createDataFrame(rows, ", ".join(["pid double", "v int", *(f"{c} string" for c in HELPERS[1:])]))
+    spec = SortSpec(("pid",), None, ("v",), policy, 5, 1.0, strict)
+    out = sort.with_position(df, spec, before=F.lit(2)).orderBy("pos").collect()
+    want = sorted(rows, key=lambda r: r[:2])
+    assert [tuple(r)[: len(rows[0])] for r in out] == want and [r.before for r in out] == [2 * k for k in range(400)]
+    got = sort.global_sort(df, spec)
+    assert got.columns == df.columns and [tuple(r) for r in got.toLocalIterator()] == want
+    assert sort.merge_runs(df, spec).columns == df.columns
+
+
+def test_output_names_are_not_taken_from_the_input(spark):
+    spec = SortSpec(("a",), None, (), COUNT, 2)
+    for name, f in (("pos", sort.with_position), ("PID", sort.sort_with_stats), ("run", sort.run_generation)):
+        with pytest.raises(ValueError):
+            f(spark.createDataFrame([(1, 2)], f"a int, {name} int"), spec, *([2] if f is not sort.with_position else []))
+
+
 def test_verify_finds_disorder_and_loss(spark):
     df = spark.range(70_000).select(F.col("id").alias("k"), (F.col("id") + 1).alias("pos"))
     assert tuple(verify.order_violations(df, ["k"]).first()) == (70_000, 0)

@@ -138,3 +138,11 @@ def test_stream_of_runs(spark, tmp_path):
     write_runs(stream, spec, str(tmp_path / "runs"), str(tmp_path / "ck")).awaitTermination(120)
     assert len(list((tmp_path / "runs").glob("run=*"))) == 3
     assert [r.k for r in merged(spark, str(tmp_path / "runs"), spec).toLocalIterator()] == list(range(500))
+
+
+def test_a_second_write_leaves_the_first(spark, tmp_path):
+    path = str(tmp_path / "twice")
+    first, second = [(b"a", b"1"), (b"b", b"2")], [(b"c", b"3")]
+    binary.write_kvbin(binary.in_memory(spark, first, 2), path)
+    binary.write_kvbin(binary.in_memory(spark, second), path)
+    assert sorted((bytes(r.key), bytes(r.value)) for r in binary.read_kvbin(spark, path).collect()) == first + second
