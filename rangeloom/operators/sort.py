@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.encode import encode_f32, encode_f64
 from ..names import refuse, unused
+from ..plans.planner import merge_passes
 from ..spec import SortSpec
 from ..storage import materialize
 from .partition import Bounds, partition_by_range, row_bytes
@@ -93,6 +94,36 @@ def merge_runs(runs: DataFrame, spec: SortSpec, bounds: Bounds | None = None) ->
     return partition_by_range(df, by, bounds=bounds, pid=pid).sortWithinPartitions(*by.keys, *by.tiebreak).drop(pid, *helpers)
 
 
+def merge_in_passes(runs: DataFrame, spec: SortSpec, fan_in: int) -> tuple[DataFrame, int]:
+    """Stored runs (column ``run``) merged at most ``fan_in`` at a time, the smallest first; the sorted rows and the number of passes before the last.
+
+    Merges that wait for none of each other are one pass: a table of rows with their new run, each run in order and
+    in one task. The driver has a row for each run. What is left at the end, ``fan_in`` runs at most, is merged by key range.
+    """
+    if fan_in < 2:
+        raise ValueError("fan-in must be at least 2")
+    spark, passes = runs.sparkSession, 0
+    sizes = {r.run: r.n for r in runs.groupBy("run").agg(F.count("*").alias("n")).collect()}
+    while len(sizes) > fan_in:
+        spare = merge_passes(len(sizes), fan_in)["dummies"]
+        todo, moves, merged = sorted(sizes.items(), key=lambda r: (r[1], r[0])), [], {}
+        while len(todo) + len(merged) > fan_in and len(todo) > 1:
+            # A run that this pass makes is taken by the next one, unless one of the old runs is smaller.
+            take = fan_in - spare if spare else fan_in
+            group, todo, spare = todo[:take], todo[take:], 0
+            moves += [(run, len(merged)) for run, _ in group]
+            merged[len(merged)] = sum(n for _, n in group)
+        moves += [(run, len(merged) + k) for k, (run, _) in enumerate(todo)]
+        sizes = merged | {len(merged) + k: n for k, (_, n) in enumerate(todo)}
+        names = runs.columns
+        (to,) = unused(runs, "to")
+        table = F.broadcast(spark.createDataFrame(moves, f"run int, {to} int"))
+        rows = runs.join(table, "run").withColumn("run", F.col(to)).select(*names)
+        runs = materialize(rows.repartitionById(len(sizes), F.col("run")).sortWithinPartitions(*order_columns(runs, spec)), "merged-runs")
+        passes += 1
+    return merge_runs(runs.drop("run"), spec), passes
+
+
 def sort_with_stats(df: DataFrame, spec: SortSpec, n_runs: int) -> tuple[DataFrame, SortStats]:
     """Both phases with their statistics. The result is stored, with its partition as ``pid``, so that reading it again doesn't sort again."""
     refuse(project(df, spec), "pid")

@@ -101,6 +101,16 @@ def merge_sorted_runs(spark, sf_dir):
     return sort.with_position(runs.drop("run"), spec).select("pos", "o_totalprice", "o_orderkey")
 
 
+@query("merge_in_passes", "SELECT row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS pos, o_totalprice, o_orderkey, 2 AS passes FROM orders")
+def merge_in_passes(spark, sf_dir):
+    """Eleven runs at a fan-in of three: two passes that store merged runs, then the last merge."""
+    df = load(spark, sf_dir, "orders").select("o_totalprice", "o_orderkey")
+    spec = spec_of(df, "o_totalprice", "o_orderkey")
+    runs, _ = sort.run_generation(df, spec, 11)
+    merged, passes = sort.merge_in_passes(runs, spec, 3)
+    return sort.with_position(merged, spec).select("pos", "o_totalprice", "o_orderkey", F.lit(passes).alias("passes"))
+
+
 @query("run_generation_stats", "SELECT 6 AS n_runs, count(*) AS n_rows, (count(*) * 32)::BIGINT AS n_bytes, TRUE AS all_sorted FROM orders, (SELECT 1) WHERE TRUE")
 def run_generation_stats(spark, sf_dir):
     """Runs, their rows and bytes, and whether each is in order."""
@@ -530,22 +540,69 @@ def kvbin_round_trip(spark, sf_dir):
     return back.select(F.hex("key").alias("key_hex"), F.hex("value").alias("value_hex"))
 
 
-def _gensort(spark, sf_dir) -> DataFrame:
-    """Zipf keys of a hundred thousand records: rows per key, most frequent first."""
-    df = generate.zipf_gensort(spark, 100_000, 0.9)
-    return df.groupBy(F.decode("key", "UTF-8").alias("key")).agg(F.count("*").alias("n_rows"), F.sum(F.octet_length("value")).alias("n_bytes"))
+@query(
+    "sort_gensort",
+    "SELECT row_number() OVER (ORDER BY k, v) AS pos, k AS key, v AS value FROM (SELECT lpad(reverse(o_orderkey::VARCHAR), 10, '0') AS k, rpad(o_orderpriority || o_orderkey::VARCHAR, 90, '.') AS v FROM orders)",
+)
+def sort_gensort(spark, sf_dir):
+    """Orders written as 100-byte records, read back in splits and sorted by their key bytes."""
+    df = load(spark, sf_dir, "orders")
+    key, value = F.lpad(F.reverse(F.col("o_orderkey").cast("string")), 10, "0"), F.rpad(F.concat("o_orderpriority", F.col("o_orderkey").cast("string")), 90, ".")
+    path = fresh_path(spark, "gensort")
+    binary.write_gensort(df.select(F.encode(key, "UTF-8").alias("key"), F.encode(value, "UTF-8").alias("value")), path)
+    back = binary.read_gensort(spark, path)
+    return sort.with_position(back, spec_of(back, "key", "value")).select("pos", F.decode("key", "UTF-8").alias("key"), F.decode("value", "UTF-8").alias("value"))
 
 
-Q["generate_zipf_gensort"] = _gensort
+# The generators' rows in SQL: digits of the same hash of the row number, as a share of 1 and as 64 bits.
+def _share(salt: int, seed: int = 1) -> str:
+    return f"(('0x' || substr(md5('{seed}:{salt}:' || id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
 
 
-def _generated(name: str, make, spark, sf_dir) -> DataFrame:
-    df = make(spark, 20_000)
-    return df.groupBy("key").agg(F.count("*").alias("n_rows"), F.sum(F.octet_length("value")).alias("n_bytes"))
+def _bits(salt: int, seed: int = 1) -> str:
+    half = lambda at: f"('0x' || substr(md5('{seed}:{salt}:' || id), {at}, 8))::HUGEINT"
+    return f"({half(1)} * 4294967296::HUGEINT + {half(9)})"
 
 
-for _n, _f in (("freq_key", generate.freq_key), ("heavy_key", generate.heavy_key), ("heavy_range", generate.heavy_range), ("prefix_skew", generate.prefix_skew)):
-    Q[f"generate_{_n}"] = partial(_generated, _n, _f)
+_ZIPF = generate.zeta_fast(100_000, 0.9)
+_ETA = (1 - (2 / 100_000) ** (1 - 0.9)) / (1 - generate.zeta(2, 0.9) / _ZIPF)
+
+
+@query(
+    "generate_zipf_gensort",
+    f"""WITH u AS (SELECT {_share(1)} AS u FROM range(100000) r(id)),
+          k AS (SELECT CASE WHEN u * {_ZIPF!r}::DOUBLE < 1 THEN 0 WHEN u * {_ZIPF!r}::DOUBLE < {1 + 0.5**0.9!r}::DOUBLE THEN 1
+            ELSE least(floor(100000 * pow({_ETA!r}::DOUBLE * u - {_ETA!r}::DOUBLE + 1, {1 / (1 - 0.9)!r}::DOUBLE)), 99999) END::BIGINT AS k FROM u)
+        SELECT lpad(k::VARCHAR, 10, '0') AS key, count(*) AS n_rows, (90 * count(*))::BIGINT AS n_bytes FROM k GROUP BY 1""",
+)
+def _gensort(spark, sf_dir) -> DataFrame:
+    """Zipf keys of a hundred thousand records: rows and bytes per key."""
+    df = generate.zipf_gensort(spark, 100_000, 0.9)
+    return df.groupBy(F.decode("key", "UTF-8").alias("key")).agg(F.count("*").alias("n_rows"), F.sum(F.octet_length("value")).alias("n_bytes"))
+
+
+def _generated(make, spark, sf_dir) -> DataFrame:
+    df = make(spark, 20_000)
+    return df.groupBy(F.hex("key").alias("key_hex")).agg(F.count("*").alias("n_rows"), F.sum(F.octet_length("value")).alias("n_bytes"))
+
+
+def _generated_sql(key: str, size: str) -> str:
+    """``key`` is an unsigned number of the columns u (share) and r (64 bits); its bytes are written lowest first."""
+    hexed = " || ".join(f"substr(h, {15 - 2 * i}, 2)" for i in range(8))
+    return f"""WITH g AS (SELECT {_share(1)} AS u, {_bits(2)} AS r FROM range(20000) t(id)),
+      k AS (SELECT {key} AS k, {size} AS n FROM g),
+      b AS (SELECT upper(lpad(to_hex((k // 4294967296::HUGEINT)::BIGINT), 8, '0') || lpad(to_hex((k % 4294967296::HUGEINT)::BIGINT), 8, '0')) AS h, n FROM k)
+      SELECT {hexed} AS key_hex, count(*) AS n_rows, sum(n)::BIGINT AS n_bytes FROM b GROUP BY 1"""
+
+
+_OTHER = "CASE WHEN r = 42 THEN 43 ELSE r END"
+for _n, _f, _k, _v in (
+    ("freq_key", generate.freq_key, f"CASE WHEN u < 0.5 THEN 42 ELSE {_OTHER} END", "512"),
+    ("heavy_key", generate.heavy_key, f"CASE WHEN u < 0.1 THEN 42 ELSE {_OTHER} END", "CASE WHEN u < 0.1 THEN 32768 ELSE 128 END"),
+    ("heavy_range", generate.heavy_range, "CASE WHEN u < 0.2 THEN r % 65536 WHEN r < 65536 THEN r + 65536 ELSE r END", "CASE WHEN u < 0.2 THEN 32768 ELSE 128 END"),
+):
+    query(f"generate_{_n}", _generated_sql(_k, _v))(partial(_generated, _f))
+Q["generate_prefix_skew"] = partial(_generated, generate.prefix_skew)
 
 
 @query(

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
@@ -45,15 +46,24 @@ class Range(InputPartition):
 
 class GenSortReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.parts = options["path"], int(options.get("partitions", 8))
-        n = _size(self.path)
-        if n % RECORD:
-            raise ValueError(f"{self.path}: {n} bytes are no whole number of {RECORD}-byte records")
-        self.records = n // RECORD
+        self.path, self.parts = options["path"].rstrip("/"), int(options.get("partitions", 8))
+        where, p = _open(self.path)
+        files = [self.path]
+        if where.get_file_info(p).type == fs.FileType.Directory:
+            files = sorted(f"{self.path}/{f.base_name}" for f in where.get_file_info(fs.FileSelector(p)) if f.base_name.startswith("part-"))
+        self.files = [(f, _size(f)) for f in files]
+        for f, n in self.files:
+            if n % RECORD:
+                raise ValueError(f"{f}: {n} bytes are no whole number of {RECORD}-byte records")
+        self.records = sum(n for _, n in self.files) // RECORD
 
     def partitions(self):
-        n, k = self.records, min(self.parts, self.records)
-        return [Range(self.path, n * i // k, n * (i + 1) // k) for i in range(k)]
+        out = []
+        for f, size in self.files:
+            n = size // RECORD
+            k = min(max(1, round(self.parts * n / max(1, self.records))), n)
+            out += [Range(f, n * i // k, n * (i + 1) // k) for i in range(k)]
+        return out
 
     def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
         if part is None:  # no record, so no partition
@@ -70,8 +80,47 @@ class GenSortReader(DataSourceReader):
                 at += n
 
 
+class Written(WriterCommitMessage):
+    def __init__(self, name: str, rows: int, checkpoints: int):
+        self.file, self.rows, self.checkpoints = name, rows, checkpoints
+
+
+def _drop_but(path: str, job: str, keep: set[str]) -> None:
+    """Delete a job's files, and no other's, but for ``keep`` and their indexes."""
+    where, p = _open(path)
+    for f in where.get_file_info(fs.FileSelector(p, allow_not_found=True)):
+        if f.base_name.startswith(f"part-{job}-") and f.base_name.removesuffix(".idx") not in keep:
+            where.delete_file(f.path)
+
+
+class GenSortWriter(DataSourceArrowWriter):
+    """A file for each task, under a name no retry and no other job shares."""
+
+    def __init__(self, options: dict):
+        self.path, self.job = options["path"].rstrip("/"), uuid.uuid4().hex
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        where, p = _open(self.path)
+        where.create_dir(p, recursive=True)
+        name, rows = f"part-{self.job}-{uuid.uuid4().hex}", 0
+        with where.open_output_stream(f"{p}/{name}") as f:
+            for b in batches:
+                for c, n in (("key", KEY_BYTES), ("value", RECORD - KEY_BYTES)):
+                    if not pc.all(pc.equal(pc.binary_length(pc.fill_null(b.column(c), b"")), n)).as_py() and b.num_rows:
+                        raise ValueError(f"{c} must have {n} bytes")
+                f.write(b"".join(pc.binary_join_element_wise(b.column("key"), b.column("value"), b"").to_pylist()))
+                rows += b.num_rows
+        return Written(name, rows, 0)
+
+    def commit(self, messages):
+        _drop_but(self.path, self.job, {m.file for m in messages if m})
+
+    def abort(self, messages):
+        _drop_but(self.path, self.job, set())
+
+
 class GenSort(DataSource):
-    """Records of a 10-byte key and 90 bytes of payload; options ``path``, ``partitions``."""
+    """Records of a 10-byte key and 90 bytes of payload; options ``path`` (a file, or a folder of them), ``partitions``."""
 
     @classmethod
     def name(cls):
@@ -83,6 +132,9 @@ class GenSort(DataSource):
     def reader(self, schema):
         return GenSortReader(dict(self.options))
 
+    def writer(self, schema, overwrite):
+        return GenSortWriter(dict(self.options))
+
 
 def kvbin_ranges(points: list[int], size: int, parts: int) -> list[tuple[int, int]]:
     """Byte ranges from the offsets of an index: start and end of the file join them, blocks are spread evenly."""
@@ -171,11 +223,6 @@ class KvBinReader(DataSourceReader):
             yield _batch(pa.array(keys, pa.binary()), pa.array(values, pa.binary()))
 
 
-class Written(WriterCommitMessage):
-    def __init__(self, name: str, rows: int, checkpoints: int):
-        self.file, self.rows, self.checkpoints = name, rows, checkpoints
-
-
 class KvBinWriter(DataSourceArrowWriter):
     """A file and its index per task, under names no retry and no other job shares; on commit those of the job's losers go."""
 
@@ -207,17 +254,10 @@ class KvBinWriter(DataSourceArrowWriter):
         return Written(name, rows, len(points))
 
     def commit(self, messages):
-        self._drop_but({m.file for m in messages if m})
+        _drop_but(self.path, self.job, {m.file for m in messages if m})
 
     def abort(self, messages):
-        self._drop_but(set())
-
-    def _drop_but(self, keep: set[str]) -> None:
-        """Delete this job's files, and no other's, but for ``keep`` and their indexes."""
-        where, p = _open(self.path)
-        for f in where.get_file_info(fs.FileSelector(p, allow_not_found=True)):
-            if f.base_name.startswith(f"part-{self.job}-") and f.base_name.removesuffix(".idx") not in keep:
-                where.delete_file(f.path)
+        _drop_but(self.path, self.job, set())
 
 
 class KvBin(DataSource):
@@ -252,6 +292,12 @@ def read_gensort(spark: SparkSession, path: str, partitions: int = 8) -> DataFra
     return spark.read.format("gensort").options(path=path, partitions=partitions).load()
 
 
+def write_gensort(df: DataFrame, path: str) -> None:
+    """``key, value`` of 10 and 90 bytes as a folder of record files, beside what is there already; other lengths are an error."""
+    register(df.sparkSession)
+    df.select("key", "value").write.format("gensort").mode("append").options(path=path).save()
+
+
 def _check_gensort(path: str) -> None:
     GenSortReader({"path": path})
 

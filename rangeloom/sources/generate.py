@@ -29,13 +29,19 @@ def zipf(u: Column, n: int, theta: float) -> Column:
     return F.when(u * zn < 1, 0).when(u * zn < 1 + 0.5**theta, 1).otherwise(F.least(tail, F.lit(n - 1))).cast("long")
 
 
+def _digits(seed: int, salt: int) -> Column:
+    """Hexadecimal digits of a hash of the row ``id``; any engine with MD5 makes the same."""
+    return F.md5(F.concat_ws(":", F.lit(seed), F.lit(salt), F.col("id")).cast("binary"))
+
+
 def uniform(seed: int, salt: int) -> Column:
     """Uniform number in [0, 1) of the row ``id``."""
-    return F.shiftrightunsigned(F.xxhash64("id", F.lit(seed), F.lit(salt)), 11) / float(1 << 53)
+    return F.conv(F.substring(_digits(seed, salt), 1, 13), 16, 10).cast("long") / float(1 << 52)
 
 
 def random_u64(seed: int, salt: int) -> Column:
-    return F.xxhash64("id", F.lit(seed), F.lit(salt))
+    """64 random bits of the row ``id``, as a signed number."""
+    return F.conv(F.substring(_digits(seed, salt), 1, 16), 16, -10).cast("long")
 
 
 def little_endian(c: Column) -> Column:

@@ -174,3 +174,14 @@ def test_bad_specs():
     for bad in (dict(keys=()), dict(keys=("a",), partition="x"), dict(keys=("a",), n_partitions=0)):
         with pytest.raises(ValueError):
             SortSpec(**bad)
+
+
+@pytest.mark.parametrize("n_runs, fan_in, passes", [(1, 2, 0), (3, 3, 0), (4, 3, 1), (11, 3, 2), (9, 2, 3)])
+def test_merge_in_passes(spark, n_runs, fan_in, passes):
+    rows = shapes()["permutation"]
+    spec = SortSpec(("key",), None, ("value",), COUNT, 4)
+    runs, _ = sort.run_generation(in_memory(spark, rows), spec, n_runs)
+    out, done = sort.merge_in_passes(runs, spec, fan_in)
+    assert [(bytes(r.key), bytes(r.value)) for r in out.toLocalIterator()] == sorted(rows) and done == passes
+    with pytest.raises(ValueError):
+        sort.merge_in_passes(runs, spec, 1)

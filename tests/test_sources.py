@@ -146,3 +146,16 @@ def test_a_second_write_leaves_the_first(spark, tmp_path):
     binary.write_kvbin(binary.in_memory(spark, first, 2), path)
     binary.write_kvbin(binary.in_memory(spark, second), path)
     assert sorted((bytes(r.key), bytes(r.value)) for r in binary.read_kvbin(spark, path).collect()) == first + second
+
+
+def test_gensort_folder_round_trip(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(rng.randbytes(10), rng.randbytes(90)) for _ in range(1000)]
+    path = str(tmp_path / "records")
+    for part in (rows[:700], rows[700:]):
+        binary.write_gensort(binary.in_memory(spark, part, 3), path)
+    back = binary.read_gensort(spark, path, 5)
+    assert sorted((bytes(r.key), bytes(r.value)) for r in back.collect()) == sorted(rows)
+    with pytest.raises(Exception, match="must have 10 bytes"):
+        binary.write_gensort(binary.in_memory(spark, [(b"short", b"x" * 90)]), path)
+    assert binary.read_gensort(spark, path).count() == 1000
