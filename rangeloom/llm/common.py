@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..names import unused  # noqa: F401
 from ..storage import delete, fresh_path, materialize, note, scratch, shared_dir  # noqa: F401
 
 #: ASCII white space and its complement, as the operators' contracts name them.
@@ -31,17 +32,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def unused(df: DataFrame, *names: str) -> tuple[str, ...]:
-    """A helper column's name for each of ``names`` that no column of ``df`` has."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        n = 0
-        while (found := f"_{name}_{n}") in taken:
-            n += 1
-        out.append(found)
-    return tuple(out)
-
-
 def held(keys: DataFrame, rows: int = 1 << 18) -> DataFrame:
     """A stored table of narrow rows, to be broadcast to its join if it has at most ``rows`` of them, else shuffled."""
     return F.broadcast(keys) if keys.count() <= rows else keys
