@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import zlib
 
 import numpy as np
@@ -27,6 +30,24 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) ->
             pass
 
 
+def give_back() -> None:
+    """What Python has freed goes back to the system, where it can: a driver or worker that lives on then holds less."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run):
+    """``run`` over a task's batches; what it has freed goes back at the task's end."""
+
+    def to_the_end(batches):
+        yield from run(batches)
+        give_back()
+
+    return to_the_end
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A small table in as many partitions as shuffles have, before rows multiply."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

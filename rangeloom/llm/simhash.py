@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bloom, bloom_bits, connected_components, held, in_bloom, materialize, scratch, small_batches, spread, table, unused
+from .common import bloom, bloom_bits, connected_components, give_back, held, in_bloom, lean, materialize, scratch, small_batches, spread, table, unused
 
 SEED = 42
 BLOCK = 1 << 15
@@ -259,11 +259,14 @@ def _common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
         keys, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(keys[n > 1]), pa.array(n[n > 1])], ["shingle", "n"])
 
-    some = rows.where(F.pmod(F.xxhash64("uid"), F.lit(rate)) == 0).select("text").mapInArrow(dealt, "part long, grams binary")
-    found = some.repartition(parts, "part").mapInArrow(counted, "shingle long, n long").orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    some = rows.where(F.pmod(F.xxhash64("uid"), F.lit(rate)) == 0).select("text").mapInArrow(lean(dealt), "part long, grams binary")
+    found = some.repartition(parts, "part").mapInArrow(lean(counted), "shingle long, n long").orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
     keys, n = found.column("shingle").to_numpy(), found.column("n").to_numpy()
     order = np.argsort(keys)
-    return keys[order], n[order]
+    keys, n = keys[order], n[order].astype(np.int32)
+    del found
+    give_back()
+    return keys, n
 
 
 def _prefixes(shingle: int, similarity: float, hot: int, box):
@@ -403,7 +406,7 @@ def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     uid = F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(id_col).cast("long"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), uid.alias("uid"), F.col(text).alias("text"))
     common = context.broadcast(_common(rows, shingle))
-    found = rows.mapInArrow(_prefixes(shingle, similarity, hot, common), "doc_id long, uid long, node long, size int, cold int, bits binary, prefix array<long>")
+    found = rows.mapInArrow(lean(_prefixes(shingle, similarity, hot, common)), "doc_id long, uid long, node long, size int, cold int, bits binary, prefix array<long>")
     found = materialize(found, "similar-prefixes")
     nodes = found.where("size > 0").groupBy("node").agg(F.min("uid").alias("uid"), F.min("size").alias("size"), F.first("bits").alias("bits"))
     nodes = materialize(nodes, "similar-nodes")
@@ -413,7 +416,7 @@ def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     def searched(entries: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """Pairs and crowds of ``shingle, node, size, rest``."""
         entries = entries.repartition("shingle").sortWithinPartitions("shingle", "node")
-        met = materialize(entries.mapInArrow(_candidates(similarity, per_member), "shingle long, a long, b long, size int, rest int"), name)
+        met = materialize(entries.mapInArrow(lean(_candidates(similarity, per_member)), "shingle long, a long, b long, size int, rest int"), name)
         return met.where("shingle is null").select("a", "b"), met.where("shingle is not null").select("shingle", F.col("a").alias("node"), "size", "rest")
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -463,7 +466,7 @@ def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array(grams, pa.list_(pa.int64()))], ["uid", "grams"])
 
     # A row that is there again in another task just gives a link twice.
-    texts = materialize(some.mapInArrow(sets, "uid long, grams array<long>").join(held(wanted), "uid").select("node", "grams"), "similar-sets")
+    texts = materialize(some.mapInArrow(lean(sets), "uid long, grams array<long>").join(held(wanted), "uid").select("node", "grams"), "similar-sets")
 
     def close(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, small_batches, table
+from .common import fold, give_back, lean, materialize, small_batches, table
 
 #: Identity terms by kind and language; a swap stays inside a kind. A parameter of the fit.
 IDENTITY_TERMS = (
@@ -335,13 +335,16 @@ def toxicity_scores(docs: DataFrame, model: Model, text: str = "text", id_col: s
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(box.value.scores(b.column("text").to_pylist()), pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), "doc_id long, score double")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, swap_penalty: float = 1.0, terms=IDENTITY_TERMS) -> Model:
     """Classifier from at most ``sample`` labelled documents; with no labels every score is 0.5."""
     rows = sample_labelled(docs, labels, "toxic", sample=sample)
-    return train([t for t, _ in rows], [y for _, y in rows], swap_penalty, terms=terms)
+    model = train([t for t, _ in rows], [y for _, y in rows], swap_penalty, terms=terms)
+    del rows
+    give_back()
+    return model
 
 
 def op7_toxicity(spark, sf_dir):
@@ -360,4 +363,4 @@ def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(model.value.scores(b.column(names.index("text")).to_pylist()) < 0.5, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
