@@ -59,6 +59,17 @@ def grams(word: str) -> list[str]:
     return [f"={w}", *(w[:n] for n in range(3, min(8, len(w)) + 1))] if w else []
 
 
+_ODD = np.random.default_rng(11).integers(1 << 62, 1 << 63, 9, dtype=np.uint64) | np.uint64(1)
+
+
+def _beginnings(names: list[str]) -> np.ndarray:
+    """64-bit hashes, never 0, of each name's first 1 to 8 letters; past its end they mean nothing."""
+    letters = np.array(names, "U8").view(np.uint32).reshape(len(names), 8).astype(np.uint64)
+    h = np.cumsum((letters + np.uint64(1)) * _ODD[:8], axis=1, dtype=np.uint64) + np.arange(1, 9, dtype=np.uint64) * _ODD[8]
+    h = (h ^ (h >> np.uint64(29))) * _ODD[7]
+    return (h ^ (h >> np.uint64(32))) | np.uint64(1 << 63)
+
+
 class Model:
     """Weights by feature and the calibration of a document's sums. Plain data, so it travels to the executors."""
 
@@ -66,9 +77,10 @@ class Model:
         self.weights, self.top = weights, top
         self._slots: dict[str, int] = {}
         self._scores = np.zeros(0)
+        self._table: tuple | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_slots": {}, "_scores": np.zeros(0)}
+        return self.__dict__ | {"_slots": {}, "_scores": np.zeros(0), "_table": None}
 
     def word(self, w: str) -> float:
         """Sum of the weights of the word's ``grams``."""
@@ -78,6 +90,34 @@ class Model:
             s += get(w[:n], 0.0)
         return s
 
+    def _words(self, new: list[str]) -> np.ndarray:
+        """``word`` of many: weights of beginnings from an open hash table, all words and lengths at once."""
+        if self._table is None:
+            names = [g for g in self.weights if g[0] != "=" and 3 <= len(g) <= 8]
+            whole = {g[1:]: x for g, x in self.weights.items() if g[0] == "="}
+            size = 1 << max(10, (4 * len(names)).bit_length())
+            keys, values = np.zeros(size, np.uint64), np.zeros(size)
+            for g, h in zip(names, _beginnings(names)[np.arange(len(names)), [len(g) - 1 for g in names]].tolist() if names else [], strict=True):
+                at = h & (size - 1)
+                while keys[at]:
+                    at = (at + 1) & (size - 1)
+                keys[at], values[at] = h, self.weights[g]
+            self._table = whole, keys, values
+        whole, keys, values = self._table
+        bare = [w.strip(_OUTER) for w in new]
+        out = np.fromiter((whole.get(w, 0.0) for w in bare), np.float64, len(bare))
+        hashes, length = _beginnings(bare), np.fromiter(map(len, bare), np.int64, len(bare))
+        for n in range(3, 9):
+            row = np.nonzero(length >= n)[0]
+            h = hashes[row, n - 1]
+            at = (h & np.uint64(len(keys) - 1)).astype(np.int64)
+            while len(row):
+                found = keys[at] == h
+                out[row[found]] += values[at[found]]
+                on = ~found & (keys[at] != 0)
+                row, h, at = row[on], h[on], (at[on] + 1) & (len(keys) - 1)
+        return out
+
     def _look_up(self, flat: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Slot of each word and the slots' scores; each different word is scored once."""
         new = set(flat).difference(self._slots)
@@ -86,7 +126,7 @@ class Model:
         if new:
             at = len(self._slots)
             self._slots.update(zip(new, range(at, at + len(new)), strict=True))
-            self._scores = np.concatenate((self._scores, np.fromiter(map(self.word, new), np.float64, len(new))))
+            self._scores = np.concatenate((self._scores, self._words(list(new))))
         return np.fromiter(map(self._slots.__getitem__, flat), np.int64, len(flat)), self._scores
 
     def evidence(self, docs: list[list[str]]) -> np.ndarray:
