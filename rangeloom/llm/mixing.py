@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
@@ -93,13 +94,32 @@ def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int]
     return out
 
 
-def mix(docs: DataFrame, members: Column | None = None, text: str = "text", id_col: str = "doc_id", weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = 0, max_patterns: int = 20_000, bucket_bits: int = 12, key: Column | None = None) -> DataFrame:
+def route(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], repeats: int = REPEATS, max_patterns: int = 20_000) -> list[dict[int, int]]:
+    """``min_cost_flow``, but for sources that share no document: such a source takes its quota from its one pattern, as far as that goes.
+
+    Over ``max_patterns`` patterns of other sources raise.
+    """
+    met = Counter(s for members, _ in patterns for s in members)
+    alone = [len(members) == 1 and met[members[0]] == 1 for members, _ in patterns]
+    shared = [p for p, a in zip(patterns, alone, strict=True) if not a]
+    if len(shared) > max_patterns:
+        raise ValueError(f"over {max_patterns} membership patterns of sources that share documents")
+    named = sorted({s for members, _ in shared for s in members})
+    at = {s: i for i, s in enumerate(named)}
+    flows = iter(min_cost_flow([(tuple(at[s] for s in members), words) for members, words in shared], [quotas[s] for s in named], repeats))
+    out = []
+    for (members, words), a in zip(patterns, alone, strict=True):
+        out.append({members[0]: min(quotas[members[0]], repeats * words)} if a else {named[k]: f for k, f in next(flows).items()})
+    return out
+
+
+def mix(docs: DataFrame, members: Column | None = None, text: str = "text", id_col: str = "doc_id", weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = 0, max_patterns: int = 20_000, max_rows: int = 1_000_000, bucket_bits: int = 12, key: Column | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, pattern, size, source_size, target, taken``.
 
     ``members`` is an array of the sources a document belongs to (default: its one ``source``; null is a
     source of its own, last in order). Sizes are counted in words. Documents are summed by
-    membership pattern; the driver gets one row per pattern (``max_patterns`` at most, else it
-    raises) and routes words to the sources' quotas. A pattern that gives F of its W words takes
+    membership pattern; the driver gets one row per pattern and routes words to the sources' quotas. It raises over
+    ``max_rows`` patterns, or over ``max_patterns`` of sources that share documents with others. A pattern that gives F of its W words takes
     every document F // W times and the rest by documents in a seeded order; the one at the edge gives
     as many words of a repeat as are missing, so quotas are met to the word. Positions in that order
     come from sums over 2^``bucket_bits`` ranges of the hash; only the range at the edge is ordered.
@@ -114,9 +134,9 @@ def mix(docs: DataFrame, members: Column | None = None, text: str = "text", id_c
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.array_sort(F.array_distinct(members)).alias("pattern"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), order.alias("order"), *([] if key is None else [key.alias("key")]))
     rows = materialize(rows.withColumn("bucket", F.conv(F.substring("order", 1, 8), 16, 10).cast("long").bitwiseAND((1 << bucket_bits) - 1)), "mix-sizes")
-    found = rows.groupBy("pattern").agg(F.sum("size").alias("words")).limit(max_patterns + 1).collect()
-    if len(found) > max_patterns:
-        raise ValueError(f"over {max_patterns} membership patterns")
+    found = rows.groupBy("pattern").agg(F.sum("size").alias("words")).limit(max_rows + 1).collect()
+    if len(found) > max_rows:
+        raise ValueError(f"over {max_rows} membership patterns")
 
     names = sorted({s for r in found for s in r.pattern}, key=lambda s: (s is None, (s or "").encode()))
     at = {s: i for i, s in enumerate(names)}
@@ -125,7 +145,7 @@ def mix(docs: DataFrame, members: Column | None = None, text: str = "text", id_c
         for s in r.pattern:
             sizes[at[s]] += r.words
     targets = source_targets(list(zip(names, sizes, strict=True)), weights, share, repeats)
-    flows = min_cost_flow([(tuple(at[s] for s in r.pattern), r.words) for r in found], [int(t + 0.5) for t in targets], repeats)
+    flows = route([(tuple(at[s] for s in r.pattern), r.words) for r in found], [int(t + 0.5) for t in targets], repeats, max_patterns)
     plan = [(r.pattern, sum(sizes[at[s]] for s in r.pattern), sum(targets[at[s]] for s in r.pattern), *divmod(sum(f.values()), max(r.words, 1))) for r, f in zip(found, flows, strict=True)]
     spark = docs.sparkSession
     kind = rows.schema["pattern"].dataType.simpleString()

@@ -84,6 +84,25 @@ def test_flow_meets_quotas_of_overlapping_sources_with_fewest_repeats():
     assert flows == [{0: 170}]
 
 
+def test_routes_equal_the_flow_over_all_patterns():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(60):
+        n = rng.randrange(1, 6)
+        patterns = list({tuple(sorted(rng.sample(range(n), rng.randrange(1, min(n, 3) + 1)))) for _ in range(rng.randrange(1, 6))})
+        patterns = [(p, rng.randrange(1, 50)) for p in patterns]
+        quotas = [rng.randrange(0, 60) for _ in range(n)]
+        given = lambda flows: [sum(f.get(s, 0) for f in flows) for s in range(n)]  # noqa: B023, E731
+        price = lambda flows: sum(min(t, w) + 3 * max(0, t - w) for (_, w), t in zip(patterns, (sum(f.values()) for f in flows), strict=True))  # noqa: B023, E731
+        a, b = mixing.route(patterns, quotas), mixing.min_cost_flow(patterns, quotas)
+        assert sum(given(a)) == sum(given(b)) and price(a) == price(b)
+    many = [((k,), 10) for k in range(50_000)]
+    assert mixing.route(many, [15] * 50_000) == [{k: 15} for k in range(50_000)]
+    with pytest.raises(ValueError):
+        mixing.route([((0, 1), 1), ((0,), 1)], [1, 1], max_patterns=1)
+
+
 def test_mix_meets_targets_to_the_word(spark):
     rows = [(i, "w " * (i % 50), f"s{i % 3}") for i in range(300)] + [(1000, None, None), (1001, "lone word", None), (1, "w", "s1"), (None, "no id", "s0")]
     got = mixing.mix(docs_of(spark, rows), bucket_bits=3).collect()
