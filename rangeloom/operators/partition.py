@@ -198,6 +198,37 @@ def sparse_index(positions: DataFrame, stride: int, unit: str = "rows") -> DataF
     return out.where(F.col(k) == 1).drop(k, step)
 
 
+def joined_index(index: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Sparse indexes of several segments as one: adds ``entry`` (number from 0) and ``global_before`` (bytes before it).
+
+    ``index`` has ``segment`` and ``before`` (bytes before the entry in its segment), ``sizes`` a row ``segment, n_bytes``
+    for each segment in their order; only that table, a row a segment, meets a window over all of it.
+    """
+    refuse(index, "entry", "global_before")
+    at, opens, first = unused(index, "at", "opens", "first")
+    ahead = Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("segment", "n_bytes").join(index.groupBy("segment").agg(F.count("*").alias("n")), "segment", "left")
+    base = sizes.select("segment", *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(a) for c, a in (("n_bytes", opens), ("n", first))))
+    out = index.withColumn(at, F.row_number().over(Window.partitionBy("segment").orderBy("before"))).join(base, "segment")
+    return out.withColumns({"entry": F.col(first) + F.col(at) - 1, "global_before": F.col(opens) + F.col("before")}).drop(at, opens, first)
+
+
+def index_bounds(index: DataFrame, key: str, wanted: list) -> DataFrame:
+    """For each wanted key, the entries before it (``lower``) and up to it (``upper``) in a joined index, counted in one pass."""
+    spark = index.sparkSession
+    kind = index.schema[key].dataType.simpleString()
+    ask = spark.createDataFrame([(k, w) for k, w in enumerate(wanted)], f"_k int, wanted {kind}")
+    n = index.agg(F.array(*(F.struct(F.count_if(F.col(key) < F.lit(w)).alias("lower"), F.count_if(F.col(key) <= F.lit(w)).alias("upper")) for w in wanted)).alias("n"))
+    found = n.select(F.posexplode("n").alias("_k", "found"))
+    return ask.join(found, "_k").select("wanted", "found.lower", "found.upper")
+
+
+def mean_sizes(runs: list[tuple[int, float, float]]) -> tuple[float, float]:
+    """Mean key and record size over runs given as (rows, mean key, mean record), weighed by rows; (0, 0) without a row."""
+    n = sum(r[0] for r in runs)
+    return (sum(r[0] * r[1] for r in runs) / n, sum(r[0] * r[2] for r in runs) / n) if n else (0.0, 0.0)
+
+
 def dynamic_stride(total_bytes: int, mean_key: float, mean_record: float, budget_bytes: int, unit: str = "rows") -> int:
     """Stride for an index of ``budget_bytes``: 14 bytes and the key for each entry."""
     entries = max(1, int(budget_bytes / (14 + mean_key)))

@@ -122,3 +122,39 @@ def summary_table(runs: list[tuple[str, SortStats]]) -> str:
         ratio = max((m.imbalance()["rows"] for m in s.merges), default=1.0)
         out.append(f"{name:<24}{len(s.run_generation.runs):>8}{s.run_generation.rows:>14,}{s.run_generation.seconds:>11.2f}{merge:>10.2f}{s.seconds:>10.2f}{s.run_generation.rows / max(s.seconds, 1e-9) / 1e6:>10.2f}{ratio:>10.2f}")
     return "\n".join(out)
+
+
+def _table(head: list[str], rows: list[list[str]]) -> str:
+    widths = [max(len(r[k]) for r in [head, *rows]) + 2 for k in range(len(head))]
+    line = lambda r: "".join(c.ljust(w) if k == 0 else c.rjust(w) for k, (c, w) in enumerate(zip(r, widths, strict=True)))
+    return "\n".join([line(head), "-" * sum(widths), *map(line, rows)])
+
+
+def run_generation_table(runs: list[tuple[str, SortStats]]) -> str:
+    """Runs of each configuration: number, rows and bytes of the least, mean and largest."""
+    rows = []
+    for name, s in runs:
+        g = s.run_generation
+        low, mean, high, _ = _spread([r[1] for r in g.runs])
+        rows.append([name, f"{len(g.runs):,}", f"{g.rows:,}", f"{low:,.0f}", f"{mean:,.1f}", f"{high:,.0f}", human_bytes(sum(r[2] for r in g.runs)), f"{g.seconds:.2f}"])
+    return _table(["config", "runs", "rows", "least", "mean", "largest", "bytes", "s"], rows)
+
+
+def merge_table(runs: list[tuple[str, SortStats]]) -> str:
+    """A row for each merge of each configuration."""
+    rows = []
+    for name, s in runs:
+        for k, m in enumerate(s.merges, 1):
+            even = m.imbalance()
+            rows.append([name, str(k), f"{m.runs_in:,}", f"{len(m.partitions):,}", f"{m.rows:,}", f"{even['rows']:.2f}", f"{even['bytes']:.2f}", f"{m.seconds:.2f}"])
+    return _table(["config", "merge", "runs in", "partitions", "rows", "rows max/mean", "bytes max/mean", "s"], rows)
+
+
+def io_table(runs: list[tuple[str, SortStats]]) -> str:
+    """Bytes and records read, written and spilled by each phase that was measured."""
+    rows = []
+    for name, s in runs:
+        for phase, io in (("run generation", s.run_generation_io), ("merge", s.merge_io)):
+            if io:
+                rows.append([name, phase, human_bytes(io.read_bytes), f"{io.read_records:,}", human_bytes(io.write_bytes), f"{io.write_records:,}", human_bytes(io.spill_bytes)])
+    return _table(["config", "phase", "read", "records", "written", "records", "spilled"], rows)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import encode
+
 
 def order_violations(positions: DataFrame, keys: list[str]) -> DataFrame:
     """One row ``n_rows, violations``: neighbours by ``pos`` of which the second has the smaller key.
@@ -45,3 +47,10 @@ def size_stats(df: DataFrame, key: Column, value: Column) -> DataFrame:
     """One row: rows, total and mean bytes of keys and values."""
     k, v = F.octet_length(key), F.octet_length(value)
     return df.agg(F.count("*").alias("n_rows"), F.sum(k).alias("key_bytes"), F.sum(v).alias("value_bytes"), F.avg(k).alias("avg_key"), F.avg(v).alias("avg_value"))
+
+
+def decoded_edges(after: DataFrame, key: str, kinds: list[str], edge: int = 10) -> DataFrame:
+    """First and last ``edge`` rows of a table sorted by a composite ``key``: ``pos`` and the key's parts as text."""
+    ends = after.orderBy("pos").limit(edge).union(after.orderBy(F.desc("pos")).limit(edge)).dropDuplicates(["pos"])
+    parts = encode.composite_parts(F.col(key), kinds)
+    return ends.select("pos", F.array(*(encode.decode_any(parts[i], k) for i, k in enumerate(kinds))).alias("parts"))

@@ -7,6 +7,7 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import encode, ovc
 from .operators import partition, sketch, sort, verify
@@ -114,8 +115,6 @@ def merge_in_passes(spark, sf_dir):
 @query("run_generation_stats", "SELECT 6 AS n_runs, count(*) AS n_rows, (count(*) * 32)::BIGINT AS n_bytes, TRUE AS all_sorted FROM orders, (SELECT 1) WHERE TRUE")
 def run_generation_stats(spark, sf_dir):
     """Runs, their rows and bytes, and whether each is in order."""
-    from pyspark.sql.window import Window
-
     df = load(spark, sf_dir, "orders").select("o_orderdate", "o_totalprice", "o_orderkey", "o_custkey")
     runs, stats = sort.run_generation(df, spec_of(df, "o_orderdate o_totalprice", "o_orderkey"), 6)
     # Within a stored run the row order is the file's; the row index gives it back.
@@ -250,6 +249,35 @@ def sparse_index_every_64k(spark, sf_dir):
     return partition.sparse_index(rows, 1 << 16, "bytes").select("pos", "before", "doc_id")
 
 
+_CUTS = (50_000.0, 200_000.0)
+_WANTED = [0.0, 1_500.0, 50_000.0, 123_456.78, 250_000.0, 1e9]
+_SEGMENT_SQL = f"""WITH s AS (SELECT o_totalprice AS price, o_orderkey AS k, (o_totalprice >= {_CUTS[0]})::INT + (o_totalprice >= {_CUTS[1]})::INT AS segment FROM orders),
+  r AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY price, k) - 1 AS nth, row_number() OVER (ORDER BY price, k) - 1 AS pos FROM s),
+  e AS (SELECT *, row_number() OVER (ORDER BY pos) - 1 AS entry FROM r WHERE nth % 50 = 0)"""
+
+
+def _segments(spark, sf_dir) -> DataFrame:
+    """Sorted orders in three stored segments, an index entry every 50 records of 16 bytes in each."""
+    df = load(spark, sf_dir, "orders").select("o_totalprice", "o_orderkey")
+    rows = sort.with_position(df, spec_of(df, "o_totalprice", "o_orderkey"))
+    price = F.col("o_totalprice")
+    rows = rows.withColumn("segment", (price >= _CUTS[0]).cast("int") + (price >= _CUTS[1]).cast("int"))
+    sizes = rows.groupBy("segment").agg((F.count("*") * 16).alias("n_bytes"), F.min("pos").alias("opens"))
+    index = partition.sparse_index(rows.join(sizes, "segment").withColumn("pos", F.col("pos") - F.col("opens") + 1), 50)
+    return partition.joined_index(index.select("segment", "o_totalprice", "o_orderkey", ((F.col("pos") - 1) * 16).alias("before")), sizes.select("segment", "n_bytes"))
+
+
+@query("multi_segment_index", _SEGMENT_SQL + " SELECT segment, k AS o_orderkey, entry, (nth * 16)::BIGINT AS before, (pos * 16)::BIGINT AS global_before FROM e")
+def multi_segment_index(spark, sf_dir):
+    return _segments(spark, sf_dir).select("segment", "o_orderkey", "entry", "before", "global_before")
+
+
+@query("multi_segment_bounds", _SEGMENT_SQL + f" SELECT wanted, count(*) FILTER (price < wanted) AS lower, count(*) FILTER (price <= wanted) AS upper FROM e, (SELECT unnest({_WANTED}::DOUBLE[]) AS wanted) GROUP BY wanted")
+def multi_segment_bounds(spark, sf_dir):
+    """Places of keys in the index of all segments."""
+    return partition.index_bounds(_segments(spark, sf_dir), "o_totalprice", _WANTED)
+
+
 @query("key_frequency", "SELECT l_returnflag, l_linestatus, count(*) AS n_rows FROM lineitem GROUP BY ALL")
 def key_frequency(spark, sf_dir):
     return partition.by_distinct_duplicates(load(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"])
@@ -343,7 +371,7 @@ for _bits, _c in ovc.CHUNK.items():
     )(lambda spark, sf_dir, bits=_bits: _runs(spark, sf_dir, bits).select("id", "run", "ovc"))
 
 
-@query("ovc_consistency", "SELECT c_mktsegment AS run, count(*) AS n_rows, TRUE AS consistent FROM customer GROUP BY ALL")
+@query("ovc_consistency", "SELECT c_mktsegment AS run, count(*) AS n_rows, TRUE AS consistent, TRUE AS optimal FROM customer GROUP BY ALL")
 def ovc_consistency(spark, sf_dir):
     return ovc.consistency(_runs(spark, sf_dir, 32), "key", ["run"], ["id"])
 
@@ -360,6 +388,28 @@ def ovc_prefix_savings(spark, sf_dir):
     return df.groupBy("run").agg(F.sum(plain).alias("plain_bytes"), F.sum(coded).alias("coded_bytes"))
 
 
+_PAIRS_SQL = """
+WITH k AS (SELECT c_mktsegment AS run, c_custkey AS id, c_name || '/' || c_mktsegment AS key FROM customer),
+  p AS (SELECT *, lead(key) OVER w AS other_key, lead(id) OVER w AS other FROM k WINDOW w AS (PARTITION BY run ORDER BY id % 97, id)),
+  q AS (SELECT *, least(key, other_key) AS low, greatest(key, other_key) AS high FROM p WHERE other IS NOT NULL),
+  l AS (SELECT *, coalesce(list_min([j FOR j IN range(1, least(strlen(low), strlen(high)) + 2) IF j > least(strlen(low), strlen(high)) OR substr(low, j, 1) <> substr(high, j, 1)]), 1) - 1 AS lcp FROM q)
+SELECT id, other, CASE WHEN key < other_key THEN -1 WHEN key > other_key THEN 1 ELSE 0 END AS "order",
+  CASE WHEN low = high THEN {dup} ELSE ('0x' || rpad(hex(encode(substr(high, lcp // {c} * {c} + 1, {c}))), {h}, '0'))::BIGINT + (8191 - lcp // {c} * {c}) * {one} + {normal} END::BIGINT AS loser_code FROM l"""
+
+for _bits, _c in ovc.CHUNK.items():
+    _s = 8 * _c
+
+    @query(f"ovc{_bits}_compare", _PAIRS_SQL.format(c=_c, h=2 * _c, one=1 << _s, dup=1 << (_s + 13), normal=2 << (_s + 13)))
+    def _ovc_compare(spark, sf_dir, bits=_bits):
+        """Keys of a run in pairs, compared by their codes after the run's least key; the loser's code is told from these where they differ."""
+        df = _runs(spark, sf_dir, bits).select("run", "id", "key")
+        df = df.join(df.groupBy("run").agg(F.min("key").alias("base")), "run").withColumn("ovc", ovc.code(F.col("key"), F.col("base"), bits))
+        w = Window.partitionBy("run").orderBy(F.col("id") % 97, "id")
+        df = df.withColumns({"other": F.lead("id").over(w), "other_key": F.lead("key").over(w), "other_ovc": F.lead("ovc").over(w)}).where("other is not null")
+        met = ovc.compare(F.col("key"), F.col("ovc"), F.col("other_key"), F.col("other_ovc"), bits)
+        return df.withColumn("met", met).select("id", "other", "met.order", "met.loser_code")
+
+
 # --- verification and statistics -----------------------------------------------------------------------------------
 
 

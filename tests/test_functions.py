@@ -99,6 +99,34 @@ def test_codes_equal_the_plain_rule_and_keep_order(spark, bits):
     assert sorted(r.consistent for r in ovc.consistency(broken, "key", ["run"], ["id"], bits).collect()) == [False, True, True]
 
 
+@pytest.mark.parametrize("bits", [32, 64])
+def test_compare_by_codes(spark, bits):
+    rng = random.Random(bits + 1)
+    some = lambda: bytes(rng.choice(b"\x00a\xff") for _ in range(rng.randrange(0, 14)))
+    rows = []
+    for k in range(400):
+        start = some() if k % 3 else b""
+        x = [start + some() for _ in range(3)] + [start + b"a"] * (k % 2)
+        rows.append((min(x), *rng.sample(x, 2)))
+    df = spark.createDataFrame(rows, "base binary, a binary, b binary")
+    df = df.withColumns({"ca": ovc.code(F.col("a"), F.col("base"), bits), "cb": ovc.code(F.col("b"), F.col("base"), bits)})
+    out = df.withColumn("m", ovc.compare(F.col("a"), F.col("ca"), F.col("b"), F.col("cb"), bits)).collect()
+    for r in out:
+        a, b = bytes(r.a), bytes(r.b)
+        assert r.m.order == (a > b) - (a < b)
+        assert r.m.loser_code == plain_code(max(a, b), min(a, b), bits)
+        assert r.m.by_code == (r.ca != r.cb or ovc.DUPLICATE == r.ca >> (8 * ovc.CHUNK[bits] + 13))
+        assert (r.m.bytes_compared == 0) or not r.m.by_code
+    assert {r.m.by_code for r in out} == {True, False} and {r.m.order for r in out} == {-1, 0, 1}
+
+
+def test_true_codes_need_not_be_the_best(spark):
+    near = 2 << 29 | 8191 << 16 | int.from_bytes(b"ab", "big")
+    df = spark.createDataFrame([(b"abcd", 1, 3 << 29), (b"abce", 2, near), (b"abcf", 3, near + 1)], "key binary, id int, ovc long").withColumn("run", F.lit(0))
+    seen = lambda last: ovc.consistency(df.where(F.col("id") <= last), "key", ["run"], ["id"]).first()
+    assert tuple(seen(1)) == (0, 1, True, True) and tuple(seen(2)) == (0, 2, True, False) and tuple(seen(3)) == (0, 3, False, False)
+
+
 def test_stored_bytes(spark):
     df = spark.createDataFrame([(b"abcdef", 1), (b"abcdef", 2), (b"abcdxx", 3)], "key binary, id int").withColumn("run", F.lit(0))
     out = ovc.with_codes(df, "key", ["run"], ["id"])

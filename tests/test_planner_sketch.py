@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rangeloom.operators import sketch, stats
+from rangeloom.functions import encode
+from rangeloom.operators import partition, sketch, stats, verify
 from rangeloom.plans import planner
 from rangeloom.sources import generate
 
@@ -126,3 +127,36 @@ def test_reports():
     assert stats.throughput(2_000_000, 1 << 30, 2.0) == "1.00 M rows/s, 512.00 MB/s" and stats.throughput(1, 1, 0) == "n/a"
     s = stats.SortStats(stats.RunGenerationStats([(0, 10, 100)], 1.0), [stats.MergeStats(1, [(5, 50), (5, 50)], 1.0)], stats.IoStats(write_bytes=100), stats.IoStats(read_bytes=150) + stats.IoStats())
     assert s.read_amplification() == 1.5 and "1.50" in str(s) and "base" in stats.summary_table([("base", s)])
+
+
+def test_reports_of_runs_merges_and_io():
+    g = stats.RunGenerationStats([(0, 10, 100), (1, 30, 300)], 2.0)
+    io = stats.IoStats(1024, 5, 2048, 6, 0)
+    s = stats.SortStats(g, [stats.MergeStats(2, [(30, 300), (10, 100)], 1.5)], io, None)
+    assert stats.run_generation_table([("a", s)]).split("\n")[2].split() == ["a", "2", "40", "10", "20.0", "30", "400", "B", "2.00"]
+    assert stats.merge_table([("a", s)]).split("\n")[2].split() == ["a", "1", "2", "2", "40", "1.50", "1.50", "1.50"]
+    assert stats.io_table([("a", s)]).split("\n")[2].split() == ["a", "run", "generation", "1.00", "KB", "5", "2.00", "KB", "6", "0", "B"]
+    assert len(stats.merge_table([]).split("\n")) == len(stats.io_table([("a", s)]).split("\n")) - 1 == 2
+
+
+def test_mean_sizes_of_runs():
+    assert partition.mean_sizes([(1, 4.0, 10.0), (3, 8.0, 30.0)]) == (7.0, 25.0)
+    assert partition.mean_sizes([]) == partition.mean_sizes([(0, 9.0, 9.0)]) == (0.0, 0.0)
+
+
+def test_joined_index_counts_segments_without_entries(spark):
+    index = spark.createDataFrame([(1, "a", 0), (1, "d", 128), (3, "h", 0)], "segment int, key string, before long")
+    sizes = spark.createDataFrame([(1, 200), (2, 50), (3, 90)], "segment int, n_bytes long")
+    out = partition.joined_index(index, sizes)
+    assert [(r.key, r.entry, r.global_before) for r in out.orderBy("entry").collect()] == [("a", 0, 0), ("d", 1, 128), ("h", 2, 250)]
+    found = partition.index_bounds(out, "key", ["", "d", "z", "d"]).orderBy("wanted").collect()
+    assert [tuple(r) for r in found] == [("", 0, 0), ("d", 1, 2), ("d", 1, 2), ("z", 3, 3)]
+    assert partition.index_bounds(out.where("false"), "key", ["a"]).collect()[0].upper == 0
+
+
+def test_edges_with_decoded_keys(spark):
+    df = spark.createDataFrame([(k, f"n{k}", k - 5) for k in range(1, 31)], "pos long, name string, v int")
+    df = df.withColumn("key", encode.composite([(F.col("name"), "string"), (F.col("v"), "int")]))
+    out = {r.pos: list(r.parts) for r in verify.decoded_edges(df, "key", ["string", "int"], 2).collect()}
+    assert out == {1: ["n1", "-4"], 2: ["n2", "-3"], 29: ["n29", "24"], 30: ["n30", "25"]}
+    assert verify.decoded_edges(df.limit(3), "key", ["string", "int"], 2).count() == 3
