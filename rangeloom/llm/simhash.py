@@ -270,16 +270,17 @@ def _common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(shingle: int, similarity: float, hot: int, box):
-    """Of each text: the hash of its shingle set, the set's size, sketch and prefix, rare shingles first, and how much of the prefix is before the hot ones."""
+    """Of each text: the hash of its shingle set, its SimHash fingerprint, the set's size, sketch and prefix, rare shingles first, and how much of the prefix is before the hot ones."""
 
     def run(batches):
         common, n = box.value
         for b in batches:
             for at in range(0, b.num_rows, 100):
                 part = b.slice(at, 100)
-                nodes, sizes, cold, firsts, bits = [], [], [], [], []
+                nodes, prints, sizes, cold, firsts, bits = [], [], [], [], [], []
                 for t in part.column("text").cast(pa.binary()):
                     grams = shingles(t.as_py(), shingle)
+                    prints.append(fingerprint(t.as_py()))
                     nodes.append(xxhash.xxh64_intdigest(grams.tobytes(), SEED))
                     sizes.append(len(grams))
                     bits.append(sketch(grams))
@@ -290,8 +291,8 @@ def _prefixes(shingle: int, similarity: float, hot: int, box):
                     order = np.argsort(known, kind="stable")[: prefix_size(len(grams), similarity)]
                     firsts.append(grams[order])
                     cold.append(int((known[order] < hot).sum()))
-                cols = [part.column("doc_id"), part.column("uid"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(cold, pa.int32()), pa.array(bits, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "uid", "node", "size", "cold", "bits", "prefix"])
+                cols = [part.column("doc_id"), part.column("uid"), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, prints)), pa.array(sizes, pa.int32()), pa.array(cold, pa.int32()), pa.array(bits, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "uid", "node", "fp", "size", "cold", "bits", "prefix"])
 
     return run
 
@@ -380,13 +381,25 @@ def _candidates(similarity: float, per_member: int):
     return run
 
 
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """SimHash candidates ``(a, b)`` among rows of ``node, fp``: each node with the first of its fingerprint, and the first nodes of fingerprints that ``links`` joins."""
+    firsts = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "similar-fingerprints")
+    same = nodes.join(firsts, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    met = links(firsts.select("fp"))
+    for c in ("a", "b"):
+        met = met.join(firsts.select(F.col("fp").alias(c), F.col("first").alias("node" + c)), c)
+    return same.union(met.select(F.least("nodea", "nodeb"), F.greatest("nodea", "nodeb")))
+
+
 def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", similarity: float = 0.8, shingle: int = 5, hot: int = 64, hot_again: int = 1024, per_member: int = 8, pivots: int = 16) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, uid, first_id, first``; near copies by verified similarity.
 
-    A node is a set of word n-grams; texts with equal sets are one. Candidates come from a prefix filter, which loses
-    nothing: put in one order, two sets of Jaccard ``similarity`` or more share one of the first fifth or so of their
-    shingles, and at the first one that they share, enough of both is left. Pairs that pass have their parity
-    sketches compared, which bounds how far the sets are apart, then the whole sets, and link at ``similarity`` or more.
+    A node is a set of word n-grams; texts with equal sets are one. The first candidates are those of SimHash (see
+    ``fingerprint_pairs``). Fingerprints 3 bits apart are closer than the similarity asks for, so a prefix filter gives
+    the rest, which loses nothing: put in one order, two sets of Jaccard ``similarity`` or more share one of the first
+    fifth or so of their shingles, and at the first one that they share, enough of both is left. Pairs that pass have
+    their parity sketches compared, which bounds how far the sets are apart, then the whole sets, and link at
+    ``similarity`` or more.
 
     1. The order puts shingles that are common in a sample last. A shingle gives at most ``per_member`` pairs for each
        of its members; one that would give more, or is in ``hot`` texts of the sample, is a crowd.
@@ -406,9 +419,9 @@ def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     uid = F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(id_col).cast("long"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), uid.alias("uid"), F.col(text).alias("text"))
     common = context.broadcast(_common(rows, shingle))
-    found = rows.mapInArrow(lean(_prefixes(shingle, similarity, hot, common)), "doc_id long, uid long, node long, size int, cold int, bits binary, prefix array<long>")
+    found = rows.mapInArrow(lean(_prefixes(shingle, similarity, hot, common)), "doc_id long, uid long, node long, fp long, size int, cold int, bits binary, prefix array<long>")
     found = materialize(found, "similar-prefixes")
-    nodes = found.where("size > 0").groupBy("node").agg(F.min("uid").alias("uid"), F.min("size").alias("size"), F.first("bits").alias("bits"))
+    nodes = found.where("size > 0").groupBy("node").agg(F.min("uid").alias("uid"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.first("bits").alias("bits"))
     nodes = materialize(nodes, "similar-nodes")
     others = found.where("size > 0").select("node", "uid").join(nodes.select("node", F.col("uid").alias("first")), "node").where("uid <> first").select("uid").distinct()
     sole = found.where("size > 0").join(held(materialize(others, "similar-others")), "uid", "left_anti")
@@ -445,7 +458,8 @@ def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     begins = F.posexplode(F.slice("prefix", 1, F.col("cold"))).alias("pos", "shingle")
     entries = sole.select("node", "size", begins).select("shingle", "node", "size", (F.col("size") - F.col("pos")).cast("int").alias("rest"))
     pairs, crowd = searched(entries, "similar-met")
-    pairs = materialize(near(pairs), "similar-pairs")
+    simhashed = fingerprint_pairs(nodes.select("node", "fp"))
+    pairs = materialize(near(simhashed.union(pairs)), "similar-pairs")
     again = crowd.select("node").union(sole.where("cold < size(prefix)").select("node")).distinct()
     again = materialize(again, "similar-again")
 
@@ -524,7 +538,7 @@ def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
 
 def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies (five-word shingles, similarity 0.8 or more) the row of smallest id stays, with all columns.
+    """Pipeline stage: of each group of near copies (SimHash, checked and completed at a similarity of 0.8 or more of five-word shingles) the row of smallest id stays, with all columns.
 
     Rows that repeat id and text are one text and stay or go together; empty texts and null texts stay.
     """

@@ -239,3 +239,22 @@ def test_texts_of_the_same_words_keep_their_other_links(spark, lead):
     want = groups_by_all_pairs(rows)
     assert want[2] == want[3] == want[4] == 2 and want[1] == 1
     assert {r.doc_id: r.first_id for r in simhash.similar_groups(docs_of(spark, rows)).collect()} == want
+
+
+def test_stage_takes_its_first_candidates_from_simhash(spark, monkeypatch):
+    rng = random.Random(9)
+    words = prose(rng, 400)
+    texts = {1: " ".join(words), 2: " ".join([*words[:200], "anew", *words[201:]]), 3: " ".join(prose(rng, 300))}
+    prints = {i: plain_fingerprint(t) for i, t in texts.items()}
+    assert 0 < (prints[1] ^ prints[2]).bit_count() <= 3
+    whole, mask, seen = simhash.links, (1 << 64) - 1, []
+
+    def links(fps, *args):
+        out = whole(fps, *args)
+        seen.append(({r.fp & mask for r in fps.collect()}, {frozenset((r.a & mask, r.b & mask)) for r in out.collect()}))
+        return out
+
+    monkeypatch.setattr(simhash, "links", links)
+    out = simhash.simhash_stage(spark, docs_of(spark, [*texts.items(), (4, "")]), "")
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3, 4]
+    assert seen == [(set(prints.values()), {frozenset((prints[1], prints[2]))})]
