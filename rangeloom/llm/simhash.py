@@ -402,12 +402,14 @@ def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     ``similarity`` or more.
 
     1. The order puts shingles that are common in a sample last. A shingle gives at most ``per_member`` pairs for each
-       of its members; one that would give more, or is in ``hot`` texts of the sample, is a crowd.
-    2. Texts of crowds are searched again by themselves, with their shingles ordered by exact counts among them; those
-       in over ``hot_again`` of them are crowds from the start.
-    3. In crowds that are left, mostly families of near copies, each member is compared with the member that has the
-       most shared shingles, then those outside the largest tree with ``pivots`` members of it, then these with all
-       members of other trees. Pairs left out could only join what is joined.
+       of its members; one that would give more is a crowd: each member is compared with the member that has the most
+       shared shingles. A crowd whose members are in one tree by now is done, mostly a family of near copies; one that
+       has up to ``pivots`` pairs for each member between its trees is compared whole.
+    2. Texts of other crowds, or with a shingle in ``hot`` texts of the sample, are searched again by themselves, with
+       their shingles ordered by exact counts among them; those in over ``hot_again`` of them are crowds from the start.
+    3. In crowds that are left, each member is compared with the member that has the most shared shingles, then those
+       outside the largest tree with ``pivots`` members of it, then these with all members of other trees. Pairs left
+       out could only join what is joined.
 
     ``first_id`` is the smallest id of the group and ``first`` is true for the one row that stands for it.
     ``uid`` is a hash of text and id. Empty texts form no group. Rows that repeat id and text are one. Null ids sort last.
@@ -455,15 +457,38 @@ def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         ok = _possible(F.col("sizea"), F.col("resta"), F.col("sizeb"), F.col("restb"), similarity)
         return met.where((F.col("nodea") != F.col("nodeb")) & ok).select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b"))
 
+    def at_hubs(crowd: DataFrame) -> DataFrame:
+        """Possible pairs of each member of a crowd with the one that has the most shared shingles."""
+        hubs = crowd.groupBy("shingle").agg(F.max(F.struct((F.col("rest") / F.col("size")).alias("share"), "node", "size", "rest")).alias("hub"))
+        hubs = hubs.select("shingle", F.col("hub.node").alias("nodeb"), F.col("hub.size").alias("sizeb"), F.col("hub.rest").alias("restb"))
+        return paired(crowd.select("shingle", *side("a")).join(hubs, "shingle"))
+
+    def open_crowds(crowd: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Members of crowds with their trees' roots; the crowds that have several trees, each with its largest."""
+        here = crowd.join(trees, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        here = materialize(here, f"similar-rooted-{name}")
+        largest = here.groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle")
+        largest = largest.agg(F.max(F.struct("n", "root")).alias("t"), F.count("*").alias("trees"), F.sum("n").alias("m"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("apart"))
+        return here, materialize(largest.where("trees > 1").select("shingle", F.col("t.root").alias("top"), (F.col("apart") <= pivots * F.col("m")).alias("few")), f"similar-open-{name}")
+
+    def between(here: DataFrame, pivots: int | None = None) -> DataFrame:
+        """Possible pairs between the trees of open crowds; of the largest tree all members or ``pivots``, and no others then."""
+        outside = here.where("root <> top").select("shingle", *side("a"), F.col("root").alias("roota"))
+        others = here.select("shingle", *side("b"), F.col("root").alias("rootb"), "top")
+        if pivots is not None:
+            nth = F.row_number().over(Window.partitionBy("shingle").orderBy(F.xxhash64("nodeb")))
+            others = others.where("rootb = top").withColumn("nth", nth).where(F.col("nth") <= pivots)
+        # Of two outside the largest tree, one order is enough.
+        return paired(outside.join(others, "shingle").where("roota <> rootb and (rootb = top or nodea < nodeb)"))
+
     begins = F.posexplode(F.slice("prefix", 1, F.col("cold"))).alias("pos", "shingle")
     entries = sole.select("node", "size", begins).select("shingle", "node", "size", (F.col("size") - F.col("pos")).cast("int").alias("rest"))
     pairs, crowd = searched(entries, "similar-met")
     simhashed = fingerprint_pairs(nodes.select("node", "fp"))
-    pairs = materialize(near(simhashed.union(pairs)), "similar-pairs")
-    again = crowd.select("node").union(sole.where("cold < size(prefix)").select("node")).distinct()
-    again = materialize(again, "similar-again")
+    pairs = materialize(near(simhashed.union(pairs).union(at_hubs(crowd))), "similar-pairs")
+    hot_ones = sole.where("cold < size(prefix)").select("node")
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(again).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowd.select("node")).union(hot_ones).distinct()
     wanted = materialize(wanted.join(nodes, "node").select("node", "uid"), "similar-wanted")
     box = context.broadcast(bloom(wanted))
     some = rows.select("uid", "text").withColumns(bloom_bits())
@@ -487,6 +512,11 @@ def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         shared = F.size(F.array_intersect("x", "y"))
         return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared) - EPS).select("a", "b")
 
+    linked = materialize(close(pairs), "similar-links")
+    trees = connected_components(linked)
+    here, largest = open_crowds(crowd, "first")
+    more = near(between(here.join(held(largest.where("few")), "shingle")))
+    again = materialize(here.join(held(largest.where("not few")), "shingle", "left_semi").select("node").union(hot_ones).distinct(), "similar-again")
     crowded = again.limit(1).count() > 0
     if crowded:
         members = texts.join(held(again), "node").dropDuplicates(["node"]).select("node", F.size("grams").alias("size"), F.explode("grams").alias("shingle"))
@@ -495,32 +525,23 @@ def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         ranked = ranked.select("node", "size", F.size("l").alias("shared"), F.posexplode("l").alias("pos", "e"))
         ranked = ranked.select("e.shingle", "e.n", "node", "size", (F.col("shared") - F.col("pos")).cast("int").alias("rest"))
         ranked = materialize(ranked.where(F.col("rest") >= F.ceil(similarity * F.col("size") - EPS)), "similar-ranked")
-        more, crowd = searched(ranked.where(F.col("n") <= hot_again).drop("n"), "similar-met-again")
+        found_again, crowd = searched(ranked.where(F.col("n") <= hot_again).drop("n"), "similar-met-again")
         crowd = materialize(crowd.union(ranked.where(F.col("n") > hot_again).drop("n")), "similar-crowd")
         crowded = crowd.limit(1).count() > 0
-        hubs = crowd.groupBy("shingle").agg(F.max(F.struct((F.col("rest") / F.col("size")).alias("share"), "node", "size", "rest")).alias("hub"))
-        hubs = hubs.select("shingle", F.col("hub.node").alias("nodeb"), F.col("hub.size").alias("sizeb"), F.col("hub.rest").alias("restb"))
-        at_hub = paired(crowd.select("shingle", *side("a")).join(hubs, "shingle"))
-        pairs = materialize(pairs.union(near(more.union(at_hub))).distinct(), "similar-pairs-again")
+        more = more.union(near(found_again.union(at_hubs(crowd))))
+    more = materialize(more.join(pairs, ["a", "b"], "left_anti").distinct(), "similar-pairs-again")
+    pairs = pairs.union(more)
+    more = materialize(close(more), "similar-links-again")
+    if more.limit(1).count():
+        linked = linked.union(more)
+        trees = connected_components(linked)
 
-    linked = materialize(close(pairs), "similar-links")
-    trees = connected_components(linked)
     for name in ("pivots", "rest") if crowded else ():
-        here = crowd.join(trees, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        here = materialize(here, f"similar-rooted-{name}")
-        largest = here.groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("t"), F.count("*").alias("trees"))
-        largest = materialize(largest.where("trees > 1").select("shingle", F.col("t.root").alias("top")), f"similar-open-{name}")
+        here, largest = open_crowds(crowd, name)
         if not largest.limit(1).count():
             break
         here = here.join(largest, "shingle")
-        outside = here.where("root <> top").select("shingle", *side("a"), F.col("root").alias("roota"))
-        others = here.select("shingle", *side("b"), F.col("root").alias("rootb"), "top")
-        if name == "pivots":
-            nth = F.row_number().over(Window.partitionBy("shingle").orderBy(F.xxhash64("nodeb")))
-            others = others.where("rootb = top").withColumn("nth", nth).where(F.col("nth") <= pivots)
-        # Of two outside the largest tree, one order is enough.
-        met = outside.join(others, "shingle").where("roota <> rootb and (rootb = top or nodea < nodeb)")
-        more = materialize(near(paired(met)).join(pairs, ["a", "b"], "left_anti"), f"similar-pairs-{name}")
+        more = materialize(near(between(here, pivots if name == "pivots" else None)).join(pairs, ["a", "b"], "left_anti"), f"similar-pairs-{name}")
         pairs = pairs.union(more)
         more = materialize(close(more), f"similar-links-{name}")
         if more.limit(1).count():

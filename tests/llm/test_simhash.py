@@ -258,3 +258,24 @@ def test_stage_takes_its_first_candidates_from_simhash(spark, monkeypatch):
     out = simhash.simhash_stage(spark, docs_of(spark, [*texts.items(), (4, "")]), "")
     assert sorted(r.doc_id for r in out.collect()) == [1, 3, 4]
     assert seen == [(set(prints.values()), {frozenset((prints[1], prints[2]))})]
+
+
+def test_a_family_of_copies_is_not_searched_again(spark, monkeypatch):
+    """All but two texts link to one of them: what is between the trees is compared, and no text is taken apart a second time."""
+    rng = random.Random(10)
+    words, rows = prose(rng, 400), []
+    for k in range(42):
+        changed = set(rng.sample(range(400), 30 if k > 39 else 4 if k else 0))
+        rows.append((k, " ".join("x" + w if at in changed else w for at, w in enumerate(words))))
+    want, counts, store = groups_by_all_pairs(rows), {}, simhash.materialize
+    assert set(want.values()) == {0, 40, 41}
+
+    def counted(df, name):
+        out = store(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    got = simhash.similar_groups(docs_of(spark, rows)).collect()
+    assert {r.doc_id: r.first_id for r in got} == want
+    assert counts["similar-again"] == 0
